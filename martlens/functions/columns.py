@@ -35,8 +35,8 @@ def weekday_name(ts) -> Column:
 
 
 def md5_key(salt: str, *keys) -> Column:
-    """md5 hex of salt and integer keys joined by '|' (same text in DuckDB)."""
-    parts = [F.lit(salt)] + [_c(k).cast("string") for k in keys]
+    """md5 hex of salt and integer keys joined by '|' (null key -> empty text; same in DuckDB)."""
+    parts = [F.lit(salt)] + [F.coalesce(_c(k).cast("string"), F.lit("")) for k in keys]
     return F.md5(F.concat_ws("|", *parts))
 
 

@@ -23,3 +23,134 @@ def query(name: str):
 @query("monthly_revenue")
 def q_monthly_revenue(spark, sf_dir):
     return M.monthly_revenue(context(spark, sf_dir).fact())
+
+
+# ---- sources, joins, cleaning -------------------------------------------------
+from ..operators import clean as C  # noqa: E402
+from ..operators import facts as J  # noqa: E402
+from ..operators import kernels as K  # noqa: E402
+from ..sources import files as S  # noqa: E402
+
+
+@query("wide_fact")
+def q_wide_fact(spark, sf_dir):
+    return context(spark, sf_dir).wide(dedup=True)
+
+
+@query("item_fact")
+def q_item_fact(spark, sf_dir):
+    return J.build_item_fact(context(spark, sf_dir).raw())
+
+
+@query("join_key_checks")
+def q_join_key_checks(spark, sf_dir):
+    raw = context(spark, sf_dir).raw()
+    parts = [J.key_check(raw["customers"], ["customer_id"], "customers"),
+             J.key_check(raw["products"], ["product_id"], "products"),
+             J.key_check(raw["category"], ["product_category_name"], "category"),
+             J.key_check(raw["order_items"], ["order_id", "order_item_id"], "order_items")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("dedup_report")
+def q_dedup_report(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return C.dedup_report(ctx.wide(dedup=False), ctx.wide(dedup=True))
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    return C.null_profile(context(spark, sf_dir).wide(dedup=True))
+
+
+@query("table_shape")
+def q_table_shape(spark, sf_dir):
+    return S.table_shape(context(spark, sf_dir).raw())
+
+
+@query("preview_orders")
+def q_preview_orders(spark, sf_dir):
+    o = context(spark, sf_dir).fx.orders().select("order_id", "customer_id", "order_status")
+    return S.preview(o, 3, "order_id")
+
+
+@query("clean_fact")
+def q_clean_fact(spark, sf_dir):
+    return context(spark, sf_dir).fact()
+
+
+@query("delivery_days_in_range")
+def q_delivery_days_in_range(spark, sf_dir):
+    f = C.between_days(context(spark, sf_dir).fact(), "delivery_days", 0, 60)
+    return f.groupBy("delivery_days").count().withColumnRenamed("count", "rows")
+
+
+# ---- dashboard / EDA aggregates -------------------------------------------------
+@query("monthly_orders")
+def q_monthly_orders(spark, sf_dir):
+    return M.monthly_orders(context(spark, sf_dir).fact())
+
+
+@query("rows_by_weekday")
+def q_rows_by_weekday(spark, sf_dir):
+    return M.rows_by_weekday(context(spark, sf_dir).fact())
+
+
+@query("rows_by_hour")
+def q_rows_by_hour(spark, sf_dir):
+    return M.rows_by_hour(context(spark, sf_dir).fact())
+
+
+@query("revenue_by_payment")
+def q_revenue_by_payment(spark, sf_dir):
+    return M.revenue_by_payment(context(spark, sf_dir).fact())
+
+
+@query("payment_breakdown")
+def q_payment_breakdown(spark, sf_dir):
+    return M.payment_breakdown(context(spark, sf_dir).fact())
+
+
+@query("kpis")
+def q_kpis(spark, sf_dir):
+    return M.kpis(context(spark, sf_dir).fact())
+
+
+@query("top_categories")
+def q_top_categories(spark, sf_dir):
+    return M.top_categories(context(spark, sf_dir).fact(), 10)
+
+
+@query("top_states")
+def q_top_states(spark, sf_dir):
+    return M.top_states(context(spark, sf_dir).fact(), 10)
+
+
+@query("cumulative_revenue")
+def q_cumulative_revenue(spark, sf_dir):
+    return M.cumulative_revenue(context(spark, sf_dir).fact())
+
+
+@query("price_histogram")
+def q_price_histogram(spark, sf_dir):
+    return K.histogram(context(spark, sf_dir).fact(), "price", 60)
+
+
+@query("delivery_histogram")
+def q_delivery_histogram(spark, sf_dir):
+    f = C.between_days(context(spark, sf_dir).fact(), "delivery_days", 0, 60)
+    return K.histogram(f, "delivery_days", 40)
+
+
+SAMPLE_SALT = "price-freight"
+
+
+@query("price_freight_sample")
+def q_price_freight_sample(spark, sf_dir):
+    f = context(spark, sf_dir).fact().select("order_id", "order_item_id", "product_id", "payment_sequential",
+                                             "price", "freight_value")
+    keys = ["order_id", "order_item_id", "product_id", "payment_sequential"]
+    return K.sample_n(f, 2000, SAMPLE_SALT, keys)

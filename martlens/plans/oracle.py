@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_base import with_ctes
+from .oracle_base import md5_int_sql, md5_sql, md5_unit_sql, with_ctes  # noqa: F401
 
 ORACLE: dict[str, str] = {}
 
@@ -15,3 +15,164 @@ oracle("monthly_revenue", """
 SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month,
        CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM fact GROUP BY 1""", "fact")
+
+
+oracle("wide_fact", "SELECT * FROM wide", "wide")
+
+oracle("item_fact", """
+WITH it AS (SELECT DISTINCT * FROM fx_order_items),
+pay AS (SELECT order_id, count(*) AS payment_count,
+          CAST(sum(CAST(payment_value AS DECIMAL(18,2))) AS DOUBLE) AS payment_value,
+          CAST(max(payment_installments) AS BIGINT) AS payment_installments,
+          arg_min(payment_type, payment_sequential) AS payment_type
+        FROM fx_payments GROUP BY order_id)
+SELECT o.order_id, o.customer_id, o.order_status, o.order_purchase_timestamp, o.order_approved_at,
+  o.order_delivered_customer_date, o.order_estimated_delivery_date,
+  it.order_item_id, it.product_id, it.price, it.freight_value,
+  pay.payment_count, pay.payment_type, pay.payment_installments, pay.payment_value,
+  c.customer_unique_id, c.customer_state, pr.product_category_name, ct.product_category_name_english
+FROM fx_orders o
+LEFT JOIN it ON o.order_id = it.order_id
+LEFT JOIN pay ON o.order_id = pay.order_id
+LEFT JOIN fx_customers c ON o.customer_id = c.customer_id
+LEFT JOIN fx_products pr ON it.product_id = pr.product_id
+LEFT JOIN fx_category_translation ct ON pr.product_category_name = ct.product_category_name""",
+       "fx_orders", "fx_order_items", "fx_payments", "fx_customers", "fx_products", "fx_category_translation")
+
+oracle("join_key_checks", """
+SELECT 'customers' AS table_name, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(DISTINCT customer_id) AS BIGINT) AS distinct_keys,
+       count(*) = count(DISTINCT customer_id) AS "unique" FROM fx_customers
+UNION ALL
+SELECT 'products', count(*), count(DISTINCT product_id), count(*) = count(DISTINCT product_id) FROM fx_products
+UNION ALL
+SELECT 'category', count(*), count(DISTINCT product_category_name),
+       count(*) = count(DISTINCT product_category_name) FROM fx_category_translation
+UNION ALL
+SELECT 'order_items', count(*), (SELECT count(*) FROM (SELECT DISTINCT order_id, order_item_id FROM fx_order_items)),
+       count(*) = (SELECT count(*) FROM (SELECT DISTINCT order_id, order_item_id FROM fx_order_items))
+FROM fx_order_items""", "fx_customers", "fx_products", "fx_category_translation", "fx_order_items")
+
+oracle("dedup_report", """
+SELECT CAST((SELECT count(*) FROM wide_all) AS BIGINT) AS rows_before,
+       CAST((SELECT count(*) FROM wide) AS BIGINT) AS rows_after,
+       CAST((SELECT count(*) FROM wide_all) - (SELECT count(*) FROM wide) AS BIGINT) AS removed""",
+       "wide_all", "wide")
+
+oracle("null_profile", """
+WITH u AS (
+  UNPIVOT (SELECT
+    count(*) FILTER (WHERE order_id IS NULL) AS order_id,
+    count(*) FILTER (WHERE customer_id IS NULL) AS customer_id,
+    count(*) FILTER (WHERE order_status IS NULL) AS order_status,
+    count(*) FILTER (WHERE order_purchase_timestamp IS NULL) AS order_purchase_timestamp,
+    count(*) FILTER (WHERE order_approved_at IS NULL) AS order_approved_at,
+    count(*) FILTER (WHERE order_delivered_customer_date IS NULL) AS order_delivered_customer_date,
+    count(*) FILTER (WHERE order_estimated_delivery_date IS NULL) AS order_estimated_delivery_date,
+    count(*) FILTER (WHERE order_item_id IS NULL) AS order_item_id,
+    count(*) FILTER (WHERE product_id IS NULL) AS product_id,
+    count(*) FILTER (WHERE price IS NULL) AS price,
+    count(*) FILTER (WHERE freight_value IS NULL) AS freight_value,
+    count(*) FILTER (WHERE payment_sequential IS NULL) AS payment_sequential,
+    count(*) FILTER (WHERE payment_type IS NULL) AS payment_type,
+    count(*) FILTER (WHERE payment_installments IS NULL) AS payment_installments,
+    count(*) FILTER (WHERE payment_value IS NULL) AS payment_value,
+    count(*) FILTER (WHERE customer_unique_id IS NULL) AS customer_unique_id,
+    count(*) FILTER (WHERE customer_state IS NULL) AS customer_state,
+    count(*) FILTER (WHERE product_category_name IS NULL) AS product_category_name,
+    count(*) FILTER (WHERE product_category_name_english IS NULL) AS product_category_name_english
+  FROM wide) ON COLUMNS(*) INTO NAME column_name VALUE nulls)
+SELECT column_name, CAST(nulls AS BIGINT) AS nulls,
+       round_even(nulls * 100.0 / (SELECT count(*) FROM wide), 2) AS null_pct
+FROM u WHERE nulls > 0""", "wide")
+
+oracle("table_shape", """
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS rows, CAST(7 AS BIGINT) AS columns FROM fx_orders
+UNION ALL SELECT 'order_items', count(*), 5 FROM fx_order_items
+UNION ALL SELECT 'payments', count(*), 5 FROM fx_payments
+UNION ALL SELECT 'customers', count(*), 3 FROM fx_customers
+UNION ALL SELECT 'products', count(*), 2 FROM fx_products
+UNION ALL SELECT 'category', count(*), 2 FROM fx_category_translation""",
+       "fx_orders", "fx_order_items", "fx_payments", "fx_customers", "fx_products", "fx_category_translation")
+
+oracle("preview_orders", """
+SELECT order_id, customer_id, order_status FROM fx_orders ORDER BY order_id LIMIT 3""", "fx_orders")
+
+oracle("clean_fact", "SELECT * FROM fact", "fact")
+
+oracle("delivery_days_in_range", """
+SELECT delivery_days, count(*) AS rows FROM fact
+WHERE delivery_days IS NOT NULL AND delivery_days BETWEEN 0 AND 60 GROUP BY delivery_days""", "fact")
+
+oracle("monthly_orders", """
+SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, CAST(count(DISTINCT order_id) AS BIGINT) AS orders
+FROM fact GROUP BY 1""", "fact")
+
+oracle("rows_by_weekday", """
+WITH days AS (SELECT * FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'),
+                                    (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) AS t(day_index, day)),
+c AS (SELECT dayname(order_purchase_timestamp) AS day, count(*) AS orders, count(DISTINCT order_id) AS distinct_orders
+      FROM fact GROUP BY 1)
+SELECT days.day_index, days.day, CAST(c.orders AS BIGINT) AS orders, CAST(c.distinct_orders AS BIGINT) AS distinct_orders
+FROM days LEFT JOIN c ON days.day = c.day""", "fact")
+
+oracle("rows_by_hour", """
+SELECT CAST(hour(order_purchase_timestamp) AS BIGINT) AS hour, CAST(count(*) AS BIGINT) AS order_count
+FROM fact GROUP BY 1 ORDER BY 1""", "fact")
+
+oracle("revenue_by_payment", """
+SELECT payment_type AS payment, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM fact WHERE payment_type IS NOT NULL GROUP BY 1""", "fact")
+
+oracle("payment_breakdown", """
+SELECT payment_type, CAST(count(*) AS BIGINT) AS count,
+       CAST(round(sum(CAST(payment_value AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_value
+FROM fact GROUP BY payment_type ORDER BY count DESC""", "fact")
+
+oracle("kpis", """
+SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
+       CAST(count(DISTINCT order_id) AS BIGINT) AS total_orders,
+       CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS total_customers,
+       round(CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT order_id), 6) AS avg_order_value
+FROM fact""", "fact")
+
+oracle("top_categories", """
+SELECT product_category_name_english AS category, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM fact GROUP BY 1 ORDER BY revenue DESC, category LIMIT 10""", "fact")
+
+oracle("top_states", """
+SELECT customer_state, CAST(round(sum(CAST(price AS DECIMAL(18,2))), 2) AS DOUBLE) AS revenue,
+       CAST(count(DISTINCT order_id) AS BIGINT) AS orders
+FROM fact GROUP BY customer_state ORDER BY revenue DESC, customer_state LIMIT 10""", "fact")
+
+oracle("cumulative_revenue", """
+WITH m AS (SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, sum(CAST(price AS DECIMAL(18,2))) AS rev
+           FROM fact GROUP BY 1)
+SELECT month, CAST(rev AS DOUBLE) AS revenue,
+       CAST(sum(rev) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cumulative
+FROM m""", "fact")
+
+
+def histogram_sql(source: str, col: str, bins: int, where: str = "TRUE") -> str:
+    n = float(bins)
+    return f"""
+WITH hv AS (SELECT CAST({col} AS DOUBLE) AS v FROM {source} WHERE {col} IS NOT NULL AND ({where})),
+hs AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+              CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi, count(*) AS n FROM hv),
+hb AS (SELECT CAST(least(floor(CAST({n} AS DOUBLE) * (hv.v - hs.lo) / (hs.hi - hs.lo)) + 1, {bins}) AS BIGINT) AS bin,
+              count(*) AS c FROM hv, hs GROUP BY 1),
+hg AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, {bins + 1}))
+SELECT hg.bin, round(hs.lo + (hs.hi - hs.lo) * (hg.bin - 1) / CAST({n} AS DOUBLE), 6) AS bin_lo,
+       round(hs.lo + (hs.hi - hs.lo) * hg.bin / CAST({n} AS DOUBLE), 6) AS bin_hi,
+       CAST(coalesce(hb.c, 0) AS BIGINT) AS count
+FROM hg CROSS JOIN hs LEFT JOIN hb ON hg.bin = hb.bin"""
+
+
+oracle("price_histogram", histogram_sql("fact", "price", 60), "fact")
+oracle("delivery_histogram", histogram_sql("fact", "delivery_days", 40, "delivery_days BETWEEN 0 AND 60"), "fact")
+
+oracle("price_freight_sample", f"""
+SELECT order_id, order_item_id, product_id, payment_sequential, price, freight_value FROM fact
+ORDER BY {md5_sql('price-freight', 'order_id', 'order_item_id', 'product_id', 'payment_sequential')},
+         order_id, order_item_id, product_id, payment_sequential
+LIMIT 2000""", "fact")

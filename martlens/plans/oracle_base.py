@@ -117,7 +117,24 @@ def with_ctes(body: str, *needed: str) -> str:
 
     for n in needed:
         visit(n)
+    body = body.strip()
     if not order:
-        return body.strip()
+        return body
     parts = ",\n".join(f"{n} AS (\n{CTE[n]}\n)" for n in order)
-    return f"WITH {parts}\n{body.strip()}"
+    if body[:5].upper() == "WITH ":
+        return f"WITH {parts},\n{body[5:]}"
+    return f"WITH {parts}\n{body}"
+
+
+def md5_sql(salt: str, *cols: str) -> str:
+    """md5 of salt and keys joined by '|', null key as empty text (matches functions.md5_key)."""
+    parts = [f"'{salt}'"] + [f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols]
+    return "md5(" + " || '|' || ".join(parts) + ")"
+
+
+def md5_unit_sql(salt: str, *cols: str) -> str:
+    return f"CAST(('0x' || substr({md5_sql(salt, *cols)}, 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+
+
+def md5_int_sql(salt: str, *cols: str) -> str:
+    return f"CAST(('0x' || substr({md5_sql(salt, *cols)}, 1, 8))::UBIGINT AS BIGINT)"
