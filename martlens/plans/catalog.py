@@ -154,3 +154,54 @@ def q_price_freight_sample(spark, sf_dir):
                                              "price", "freight_value")
     keys = ["order_id", "order_item_id", "product_id", "payment_sequential"]
     return K.sample_n(f, 2000, SAMPLE_SALT, keys)
+
+
+# ---- RFM and cohorts --------------------------------------------------------------
+from ..operators import cohort as CH  # noqa: E402
+from ..operators import rfm as R  # noqa: E402
+from ..sources.fixtures import SNAPSHOT  # noqa: E402
+
+
+def rfm_table(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("rfm_segments", lambda: R.rfm_segments(ctx.fact(), SNAPSHOT))
+
+
+@query("rfm_base")
+def q_rfm_base(spark, sf_dir):
+    return R.rfm_base(context(spark, sf_dir).fact(), SNAPSHOT)
+
+
+@query("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    return rfm_table(spark, sf_dir)
+
+
+@query("rfm_describe")
+def q_rfm_describe(spark, sf_dir):
+    return R.describe_exact(R.rfm_base(context(spark, sf_dir).fact(), SNAPSHOT), ["recency", "frequency", "monetary"])
+
+
+@query("rfm_edge_check")
+def q_rfm_edge_check(spark, sf_dir):
+    return R.quintile_edge_check(R.rfm_base(context(spark, sf_dir).fact(), SNAPSHOT), ["recency", "monetary"])
+
+
+@query("segment_counts")
+def q_segment_counts(spark, sf_dir):
+    return M.label_counts(rfm_table(spark, sf_dir), "Segment", "count")
+
+
+@query("cohort_counts")
+def q_cohort_counts(spark, sf_dir):
+    return CH.cohort_counts(context(spark, sf_dir).fact())
+
+
+@query("cohort_retention")
+def q_cohort_retention(spark, sf_dir):
+    return CH.cohort_retention(context(spark, sf_dir).fact(), 6)
+
+
+@query("cohort_pivot")
+def q_cohort_pivot(spark, sf_dir):
+    return CH.cohort_pivot(context(spark, sf_dir).fact(), 6)

@@ -17,7 +17,7 @@ from ..operators.facts import build_wide_fact
 from ..session import configure
 from ..sources.fixtures import Fixtures
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _CONTEXTS: dict[tuple, "StageContext"] = {}
 
 

@@ -176,3 +176,88 @@ SELECT order_id, order_item_id, product_id, payment_sequential, price, freight_v
 ORDER BY {md5_sql('price-freight', 'order_id', 'order_item_id', 'product_id', 'payment_sequential')},
          order_id, order_item_id, product_id, payment_sequential
 LIMIT 2000""", "fact")
+
+
+SNAP = "TIMESTAMP '2001-08-02 00:00:00'"
+RFM_BASE = f"""
+SELECT customer_unique_id,
+       CAST(floor(epoch({SNAP} - max(order_purchase_timestamp)) / 86400) AS BIGINT) AS recency,
+       CAST(count(DISTINCT order_id) AS BIGINT) AS frequency,
+       CAST(round(sum(CAST(price AS DECIMAL(18,2))), 2) AS DOUBLE) AS monetary
+FROM fact WHERE order_purchase_timestamp < {SNAP} GROUP BY customer_unique_id"""
+
+oracle("rfm_base", RFM_BASE, "fact")
+
+RFM_SCORED = f"""
+WITH rfm AS ({RFM_BASE}),
+e AS (SELECT quantile_cont(recency, [0.2, 0.4, 0.6, 0.8]) AS er,
+             quantile_cont(monetary, [0.2, 0.4, 0.6, 0.8]) AS em, count(*) AS n FROM rfm),
+rk AS (SELECT rfm.*, row_number() OVER (ORDER BY frequency, customer_unique_id) AS rn FROM rfm),
+sc AS (
+  SELECT rk.customer_unique_id, rk.recency, rk.frequency, rk.monetary,
+    CAST(6 - (1 + CAST(rk.recency > e.er[1] AS INT) + CAST(rk.recency > e.er[2] AS INT)
+                + CAST(rk.recency > e.er[3] AS INT) + CAST(rk.recency > e.er[4] AS INT)) AS BIGINT) AS R_score,
+    CAST(CASE WHEN rk.rn = 1 OR e.n <= 1 THEN 1 ELSE (5 * (rk.rn - 1) + e.n - 2) // (e.n - 1) END AS BIGINT) AS F_score,
+    CAST(1 + CAST(rk.monetary > e.em[1] AS INT) + CAST(rk.monetary > e.em[2] AS INT)
+           + CAST(rk.monetary > e.em[3] AS INT) + CAST(rk.monetary > e.em[4] AS INT) AS BIGINT) AS M_score
+  FROM rk, e),
+seg AS (
+  SELECT sc.*, R_score + F_score + M_score AS RFM_score,
+    CASE WHEN R_score + F_score + M_score >= 13 THEN 'Champions'
+         WHEN R_score + F_score + M_score >= 10 THEN 'Loyal Customers'
+         WHEN R_score + F_score + M_score >= 7 THEN 'Potential Loyalists'
+         WHEN R_score + F_score + M_score >= 5 THEN 'At Risk' ELSE 'Lost' END AS Segment
+  FROM sc)"""
+
+oracle("rfm_segments", RFM_SCORED + "\nSELECT * FROM seg", "fact")
+
+oracle("rfm_describe", f"""
+WITH rfm AS ({RFM_BASE}),
+s AS (
+  SELECT 'recency' AS column_name, CAST(recency AS DOUBLE) AS x, CAST(recency AS DECIMAL(38,6)) AS d FROM rfm
+  UNION ALL SELECT 'frequency', CAST(frequency AS DOUBLE), CAST(frequency AS DECIMAL(38,6)) FROM rfm
+  UNION ALL SELECT 'monetary', monetary, CAST(monetary AS DECIMAL(38,6)) FROM rfm)
+SELECT column_name, CAST(count(*) AS BIGINT) AS count,
+  round_even(CAST(sum(d) AS DOUBLE) / count(*), 2) AS mean, round_even(stddev_samp(x), 2) AS std,
+  round_even(min(x), 2) AS min, round_even(quantile_cont(x, 0.25), 2) AS p25,
+  round_even(quantile_cont(x, 0.5), 2) AS p50, round_even(quantile_cont(x, 0.75), 2) AS p75,
+  round_even(max(x), 2) AS max
+FROM s GROUP BY column_name""", "fact")
+
+oracle("rfm_edge_check", f"""
+WITH rfm AS ({RFM_BASE})
+SELECT 'recency' AS column_name,
+       CAST(len(list_distinct(quantile_cont(recency, [0.2, 0.4, 0.6, 0.8]))) AS BIGINT) AS distinct_edges FROM rfm
+UNION ALL
+SELECT 'monetary', CAST(len(list_distinct(quantile_cont(monetary, [0.2, 0.4, 0.6, 0.8]))) AS BIGINT) FROM rfm""",
+       "fact")
+
+oracle("segment_counts", RFM_SCORED + """
+SELECT Segment, CAST(count(*) AS BIGINT) AS count,
+       round(count(*) * 100.0 / (SELECT count(*) FROM seg), 6) AS share_pct
+FROM seg GROUP BY Segment ORDER BY count DESC, Segment""", "fact")
+
+COHORT = """
+WITH cm AS (SELECT DISTINCT customer_unique_id, date_trunc('month', order_purchase_timestamp) AS order_month FROM fact),
+c1 AS (SELECT customer_unique_id, min(order_month) AS cohort_month FROM cm GROUP BY 1),
+cp AS (SELECT cm.customer_unique_id, c1.cohort_month,
+          12 * (year(cm.order_month) - year(c1.cohort_month)) + month(cm.order_month) - month(c1.cohort_month) AS period_number
+       FROM cm JOIN c1 USING (customer_unique_id)),
+cc AS (SELECT strftime(cohort_month, '%Y-%m') AS cohort, CAST(period_number AS BIGINT) AS period_number,
+              CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS customers FROM cp GROUP BY 1, 2),
+kp AS (SELECT period_number, dense_rank() OVER (ORDER BY period_number) AS period_rank
+       FROM (SELECT DISTINCT period_number FROM cc)),
+rt AS (SELECT cc.cohort, cc.period_number, CAST(kp.period_rank AS INT) AS period_rank, cc.customers, sz.customers AS cohort_size,
+              round_even(cc.customers / sz.customers, 3) * 100.0 AS retention_pct
+       FROM cc JOIN kp ON cc.period_number = kp.period_number
+       LEFT JOIN (SELECT cohort, customers FROM cc WHERE period_number = 0) sz ON cc.cohort = sz.cohort
+       WHERE kp.period_rank <= 6)"""
+
+oracle("cohort_counts", COHORT + "\nSELECT * FROM cc", "fact")
+oracle("cohort_retention", COHORT + "\nSELECT * FROM rt", "fact")
+oracle("cohort_pivot", COHORT + """
+SELECT cohort, max(retention_pct) FILTER (WHERE period_rank = 1) AS p0,
+  max(retention_pct) FILTER (WHERE period_rank = 2) AS p1, max(retention_pct) FILTER (WHERE period_rank = 3) AS p2,
+  max(retention_pct) FILTER (WHERE period_rank = 4) AS p3, max(retention_pct) FILTER (WHERE period_rank = 5) AS p4,
+  max(retention_pct) FILTER (WHERE period_rank = 6) AS p5
+FROM rt GROUP BY cohort""", "fact")
