@@ -205,3 +205,100 @@ def q_cohort_retention(spark, sf_dir):
 @query("cohort_pivot")
 def q_cohort_pivot(spark, sf_dir):
     return CH.cohort_pivot(context(spark, sf_dir).fact(), 6)
+
+
+# ---- two-arm experiment --------------------------------------------------------------
+from ..operators import experiment as X  # noqa: E402
+
+
+def exp_arms(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("exp_arms", lambda: X.assign_arms(ctx.fact().select(X.KEY)))
+
+
+def exp_rows(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("exp_rows", lambda: X.experiment_rows(ctx.fact(), exp_arms(spark, sf_dir)))
+
+
+@query("arm_assignment")
+def q_arm_assignment(spark, sf_dir):
+    return exp_arms(spark, sf_dir)
+
+
+@query("experiment_rows")
+def q_experiment_rows(spark, sf_dir):
+    r = exp_rows(spark, sf_dir)
+    return r.select("arm", X.KEY, *X.ROW_KEYS, (r.cents / 100.0).alias("price"), "origin")
+
+
+@query("conversion")
+def q_conversion(spark, sf_dir):
+    return X.conversion(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir))
+
+
+@query("chi_square")
+def q_chi_square(spark, sf_dir):
+    return X.chi_square_2x2(X.conversion(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("order_values")
+def q_order_values(spark, sf_dir):
+    ov = X.order_values(exp_rows(spark, sf_dir))
+    return ov.select("arm", "order_id", (ov.cents / 100.0).alias("order_value"))
+
+
+@query("aov_lift")
+def q_aov_lift(spark, sf_dir):
+    return X.aov_lift(exp_rows(spark, sf_dir))
+
+
+@query("welch_t")
+def q_welch_t(spark, sf_dir):
+    return X.welch_t(X.order_values(exp_rows(spark, sf_dir)))
+
+
+@query("customer_revenue")
+def q_customer_revenue(spark, sf_dir):
+    c = X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir))
+    return c.select("arm", X.KEY, (c.cents / 100.0).alias("revenue"))
+
+
+@query("revenue_lift")
+def q_revenue_lift(spark, sf_dir):
+    return X.revenue_lift(X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("mann_whitney")
+def q_mann_whitney(spark, sf_dir):
+    return X.mann_whitney_u(X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("cohens_d")
+def q_cohens_d(spark, sf_dir):
+    return X.cohens_d(X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("required_sample_size")
+def q_required_sample_size(spark, sf_dir):
+    return X.required_sample_size(X.conversion(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("ab_summary")
+def q_ab_summary(spark, sf_dir):
+    return X.ab_summary(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir))
+
+
+@query("lift_table")
+def q_lift_table(spark, sf_dir):
+    return X.lift_table(X.ab_summary(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+@query("order_value_histogram")
+def q_order_value_histogram(spark, sf_dir):
+    return X.order_value_histogram(exp_rows(spark, sf_dir))
+
+
+@query("revenue_box_stats")
+def q_revenue_box_stats(spark, sf_dir):
+    return X.revenue_box_stats(X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))

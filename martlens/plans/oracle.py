@@ -261,3 +261,157 @@ SELECT cohort, max(retention_pct) FILTER (WHERE period_rank = 1) AS p0,
   max(retention_pct) FILTER (WHERE period_rank = 4) AS p3, max(retention_pct) FILTER (WHERE period_rank = 5) AS p4,
   max(retention_pct) FILTER (WHERE period_rank = 6) AS p5
 FROM rt GROUP BY cohort""", "fact")
+
+
+# ---- experiment -------------------------------------------------------------------
+_RK = ("order_id", "order_item_id", "product_id", "payment_sequential")
+_RKS = ", ".join(_RK)
+EXP = f"""
+WITH ids AS (SELECT DISTINCT customer_unique_id FROM fact),
+ranked AS (SELECT customer_unique_id,
+             row_number() OVER (ORDER BY {md5_sql('arm', 'customer_unique_id')}, customer_unique_id) AS rn,
+             count(*) OVER () AS n FROM ids),
+arms AS (SELECT customer_unique_id, CASE WHEN rn <= n // 2 THEN 'A' ELSE 'B' END AS arm FROM ranked),
+base AS (SELECT a.arm, f.customer_unique_id, {", ".join("f." + c for c in _RK)},
+                CAST(round(f.price * 100) AS BIGINT) AS cents
+         FROM fact f JOIN arms a ON f.customer_unique_id = a.customer_unique_id),
+tnum AS (SELECT customer_unique_id, row_number() OVER (ORDER BY customer_unique_id) - 1 AS tn,
+                count(*) OVER () AS nt FROM arms WHERE arm = 'B'),
+upl AS (SELECT arm, customer_unique_id, {_RKS},
+               (cents * (104000000 + (8000000 * {md5_int_sql('uplift', *_RK)}) // 4294967296) + 50000000) // 100000000 AS cents,
+               'base' AS origin
+        FROM base WHERE arm = 'B'),
+extra AS (SELECT 'B' AS arm, t.customer_unique_id, {", ".join("b." + c for c in _RK)}, b.cents, 'injected' AS origin
+          FROM base b JOIN tnum t ON {md5_int_sql('target', *("b." + c for c in _RK))} % t.nt = t.tn
+          WHERE b.arm = 'A' AND {md5_int_sql('extra', *("b." + c for c in _RK))} < 171798692),
+rows AS (SELECT arm, customer_unique_id, {_RKS}, cents, 'base' AS origin FROM base WHERE arm = 'A'
+         UNION ALL SELECT * FROM upl UNION ALL SELECT * FROM extra),
+conv AS (SELECT a.arm, CAST(count(*) AS BIGINT) AS assigned, CAST(coalesce(max(b.converted), 0) AS BIGINT) AS converted,
+                coalesce(max(b.converted), 0) / count(*) AS conversion_rate
+         FROM arms a LEFT JOIN (SELECT arm, count(DISTINCT customer_unique_id) AS converted FROM rows GROUP BY arm) b
+           ON a.arm = b.arm GROUP BY a.arm),
+ov AS (SELECT arm, order_id, sum(cents) AS cents FROM rows GROUP BY arm, order_id),
+cr AS (SELECT a.arm, a.customer_unique_id, CAST(coalesce(s.c, 0) AS BIGINT) AS cents
+       FROM arms a LEFT JOIN (SELECT arm, customer_unique_id, sum(cents) AS c FROM rows GROUP BY 1, 2) s
+         ON a.arm = s.arm AND a.customer_unique_id = s.customer_unique_id),
+ovm AS (SELECT arm, count(*) AS n, CAST(sum(cents) AS DOUBLE) / count(*) / 100.0 AS mean,
+               CAST(count(*) * sum(CAST(cents AS HUGEINT) * cents) - sum(CAST(cents AS HUGEINT)) * sum(CAST(cents AS HUGEINT)) AS DOUBLE)
+                 / CAST(count(*) * (count(*) - 1) AS DOUBLE) / 10000.0 AS var FROM ov GROUP BY arm),
+crm AS (SELECT arm, count(*) AS n, CAST(sum(cents) AS DOUBLE) / count(*) / 100.0 AS mean,
+               CAST(count(*) * sum(CAST(cents AS HUGEINT) * cents) - sum(CAST(cents AS HUGEINT)) * sum(CAST(cents AS HUGEINT)) AS DOUBLE)
+                 / CAST(count(*) * (count(*) - 1) AS DOUBLE) / 10000.0 AS var FROM cr GROUP BY arm)"""
+
+
+def _tail(x: str) -> str:
+    """A&S 26.2.17 upper tail of |x| >= 0 (same polynomial as functions.stats)."""
+    t = f"(1.0 / (1.0 + 0.2316419 * ({x})))"
+    poly = (f"({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * "
+            f"(-1.821255978 + {t} * 1.330274429)))))")
+    return f"(0.3989422804014327 * exp(-(({x}) * ({x})) / 2.0) * {poly})"
+
+
+def normal_sf_sql(z: str) -> str:
+    return f"(CASE WHEN ({z}) >= 0 THEN {_tail(z)} ELSE 1.0 - {_tail('abs(' + z + ')')} END)"
+
+
+oracle("arm_assignment", EXP + "\nSELECT customer_unique_id, arm FROM arms", "fact")
+oracle("experiment_rows", EXP + f"\nSELECT arm, customer_unique_id, {_RKS}, cents / 100.0 AS price, origin FROM rows",
+       "fact")
+oracle("conversion", EXP + "\nSELECT * FROM conv", "fact")
+
+oracle("chi_square", EXP + """,
+w AS (SELECT max(CASE WHEN arm = 'A' THEN CAST(converted AS DOUBLE) END) AS ca,
+             max(CASE WHEN arm = 'A' THEN CAST(assigned AS DOUBLE) END) AS na,
+             max(CASE WHEN arm = 'B' THEN CAST(converted AS DOUBLE) END) AS cb,
+             max(CASE WHEN arm = 'B' THEN CAST(assigned AS DOUBLE) END) AS nb FROM conv),
+cells AS (
+  SELECT o, row_t * col_t / (na + nb) AS e FROM (
+    SELECT ca AS o, na AS row_t, ca + cb AS col_t, na, nb FROM w
+    UNION ALL SELECT na - ca, na, na + nb - ca - cb, na, nb FROM w
+    UNION ALL SELECT cb, nb, ca + cb, na, nb FROM w
+    UNION ALL SELECT nb - cb, nb, na + nb - ca - cb, na, nb FROM w)),
+adj AS (SELECT e, o + sign(e - o) * least(0.5, abs(e - o)) AS oa FROM cells),
+s AS (SELECT sum(CASE WHEN e = 0 THEN NULL ELSE (oa - e) * (oa - e) / e END) AS chi, bool_or(e = 0) AS zero FROM adj)
+SELECT CASE WHEN zero THEN NULL ELSE round(chi, 6) END AS chi2,
+       CASE WHEN zero THEN 1.0 ELSE round(2.0 * """ + _tail("sqrt(chi)") + """, 6) END AS p_value,
+       CAST(1 AS BIGINT) AS dof
+FROM s""", "fact")
+
+oracle("order_values", EXP + "\nSELECT arm, order_id, cents / 100.0 AS order_value FROM ov", "fact")
+
+oracle("aov_lift", EXP + """
+SELECT round(max(mean) FILTER (WHERE arm = 'A'), 6) AS mean_aov_A, round(max(mean) FILTER (WHERE arm = 'B'), 6) AS mean_aov_B,
+       round((max(mean) FILTER (WHERE arm = 'B') - max(mean) FILTER (WHERE arm = 'A')) / max(mean) FILTER (WHERE arm = 'A') * 100.0, 6)
+         AS aov_lift_pct
+FROM ovm""", "fact")
+
+oracle("welch_t", EXP + """,
+w AS (SELECT max(mean) FILTER (WHERE arm = 'A') AS ma, max(mean) FILTER (WHERE arm = 'B') AS mb,
+             max(var / n) FILTER (WHERE arm = 'A') AS sa, max(var / n) FILTER (WHERE arm = 'B') AS sb,
+             max(n) FILTER (WHERE arm = 'A') AS na, max(n) FILTER (WHERE arm = 'B') AS nb FROM ovm)
+SELECT round((ma - mb) / sqrt(sa + sb), 6) AS t_stat,
+       round((sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)), 6) AS df FROM w""", "fact")
+
+oracle("customer_revenue", EXP + "\nSELECT arm, customer_unique_id, cents / 100.0 AS revenue FROM cr", "fact")
+
+oracle("revenue_lift", EXP + """
+SELECT round(max(mean) FILTER (WHERE arm = 'A'), 6) AS mean_rev_A, round(max(mean) FILTER (WHERE arm = 'B'), 6) AS mean_rev_B,
+       round((max(mean) FILTER (WHERE arm = 'B') - max(mean) FILTER (WHERE arm = 'A')) / max(mean) FILTER (WHERE arm = 'A') * 100.0, 6)
+         AS rev_lift_pct
+FROM crm""", "fact")
+
+oracle("mann_whitney", EXP + """,
+rk AS (SELECT arm, cents, rank() OVER (ORDER BY cents) AS r0, count(*) OVER (PARTITION BY cents) AS t FROM cr),
+s AS (SELECT sum(CASE WHEN arm = 'A' THEN r0 - 1 + (t + 1) / 2.0 END) AS r1,
+             CAST(count(*) FILTER (WHERE arm = 'A') AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE arm = 'B') AS DOUBLE) AS n2
+      FROM rk),
+tt AS (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT count(*) AS t FROM cr GROUP BY cents)),
+z AS (SELECT r1 - n1 * (n1 + 1) / 2.0 AS u1,
+             (n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0) - n1 * n2 / 2.0 - 0.5)
+               / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z
+      FROM s, tt)
+SELECT round(u1, 6) AS u_stat, round(z, 6) AS z, round(least(greatest(""" + normal_sf_sql("z") + """, 0.0), 1.0), 6) AS p_value
+FROM z""", "fact")
+
+oracle("cohens_d", EXP + """,
+w AS (SELECT max(mean) FILTER (WHERE arm = 'A') AS ma, max(mean) FILTER (WHERE arm = 'B') AS mb,
+             max(var) FILTER (WHERE arm = 'A') AS va, max(var) FILTER (WHERE arm = 'B') AS vb FROM crm),
+d AS (SELECT (mb - ma) / sqrt((va + vb) / 2.0) AS d FROM w)
+SELECT round(d, 6) AS cohens_d,
+       CASE WHEN abs(d) < 0.2 THEN 'Small' WHEN abs(d) < 0.5 THEN 'Medium' ELSE 'Large' END AS effect FROM d""", "fact")
+
+oracle("required_sample_size", EXP + """,
+w AS (SELECT max(conversion_rate) FILTER (WHERE arm = 'A') AS p1, max(conversion_rate) FILTER (WHERE arm = 'B') AS p2,
+             sum(assigned) AS n FROM conv),
+r AS (SELECT CAST(floor(2.0 * pow(1.959963984540054 * sqrt(2.0 * ((p1 + p2) / 2.0) * (1.0 - (p1 + p2) / 2.0))
+                               + 0.8416212335729143 * sqrt(p1 * (1.0 - p1) + p2 * (1.0 - p2)), 2)
+                         / greatest((p2 - p1) * (p2 - p1), 1e-10)) AS BIGINT) AS required_n,
+             CAST(n // 2 AS BIGINT) AS actual_per_group FROM w)
+SELECT required_n, actual_per_group, actual_per_group >= required_n AS powered FROM r""", "fact")
+
+oracle("revenue_box_stats", EXP + """,
+v AS (SELECT arm, cents / 100.0 AS revenue FROM cr),
+k AS (SELECT * FROM v WHERE revenue <= (SELECT quantile_cont(revenue, 0.98) FROM v)),
+q AS (SELECT arm, quantile_cont(revenue, 0.25) AS q1, quantile_cont(revenue, 0.5) AS median,
+             quantile_cont(revenue, 0.75) AS q3 FROM k GROUP BY arm),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT f.arm, CAST(count(*) AS BIGINT) AS n, round(f.q1, 6) AS q1, round(f.median, 6) AS median, round(f.q3, 6) AS q3,
+       round(f.iqr, 6) AS iqr, round(min(k.revenue) FILTER (WHERE k.revenue BETWEEN f.lo AND f.hi), 6) AS whisker_lo,
+       round(max(k.revenue) FILTER (WHERE k.revenue BETWEEN f.lo AND f.hi), 6) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE NOT (k.revenue BETWEEN f.lo AND f.hi)) AS BIGINT) AS outliers
+FROM k JOIN f ON k.arm = f.arm GROUP BY f.arm, f.q1, f.median, f.q3, f.iqr""", "fact")
+
+oracle("order_value_histogram", EXP + """,
+v0 AS (SELECT arm, cents / 100.0 AS value FROM ov),
+e AS (SELECT arm, quantile_cont(value, 0.99) AS edge FROM v0 GROUP BY arm),
+hv AS (SELECT v0.arm, least(v0.value, e.edge) AS v FROM v0 JOIN e ON v0.arm = e.arm),
+hs AS (SELECT arm, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+              CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi, count(*) AS n FROM hv GROUP BY arm),
+hb AS (SELECT hv.arm, CAST(least(floor(CAST(40 AS DOUBLE) * (hv.v - hs.lo) / (hs.hi - hs.lo)) + 1, 40) AS BIGINT) AS bin,
+              count(*) AS c FROM hv JOIN hs ON hv.arm = hs.arm GROUP BY 1, 2),
+hg AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, 41))
+SELECT hs.arm, hg.bin, round(hs.lo + (hs.hi - hs.lo) * (hg.bin - 1) / CAST(40 AS DOUBLE), 6) AS bin_lo,
+       round(hs.lo + (hs.hi - hs.lo) * hg.bin / CAST(40 AS DOUBLE), 6) AS bin_hi,
+       CAST(coalesce(hb.c, 0) AS BIGINT) AS count,
+       round(coalesce(hb.c, 0) / (hs.n * ((hs.hi - hs.lo) / CAST(40 AS DOUBLE))), 9) AS density
+FROM hs CROSS JOIN hg LEFT JOIN hb ON hs.arm = hb.arm AND hg.bin = hb.bin""", "fact")
