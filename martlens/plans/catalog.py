@@ -302,3 +302,77 @@ def q_order_value_histogram(spark, sf_dir):
 @query("revenue_box_stats")
 def q_revenue_box_stats(spark, sf_dir):
     return X.revenue_box_stats(X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
+
+
+# ---- churn --------------------------------------------------------------------------
+from ..operators import churn as CU  # noqa: E402
+from ..sources.fixtures import CHURN_DAYS  # noqa: E402
+
+
+def churn_table(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("churn_matrix", lambda: CU.churn_matrix(ctx.fact(), SNAPSHOT, CHURN_DAYS))
+
+
+def churn_split(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("churn_split", lambda: CU.stratified_split(churn_table(spark, sf_dir)))
+
+
+def fixed_predictions(spark, sf_dir):
+    return CU.fixed_score(churn_table(spark, sf_dir))
+
+
+@query("churn_labels")
+def q_churn_labels(spark, sf_dir):
+    return CU.churn_labels(context(spark, sf_dir).fact(), SNAPSHOT, CHURN_DAYS)
+
+
+@query("churn_rate")
+def q_churn_rate(spark, sf_dir):
+    return CU.churn_rate(CU.churn_labels(context(spark, sf_dir).fact(), SNAPSHOT, CHURN_DAYS))
+
+
+@query("customer_features")
+def q_customer_features(spark, sf_dir):
+    return CU.customer_features(context(spark, sf_dir).fact(), SNAPSHOT)
+
+
+@query("churn_matrix")
+def q_churn_matrix(spark, sf_dir):
+    return churn_table(spark, sf_dir)
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return churn_split(spark, sf_dir).select(CU.KEY, "churn", "part")
+
+
+@query("auc_fixed_score")
+def q_auc_fixed_score(spark, sf_dir):
+    return CU.auc(fixed_predictions(spark, sf_dir))
+
+
+@query("roc_fixed_score")
+def q_roc_fixed_score(spark, sf_dir):
+    return CU.roc_points(fixed_predictions(spark, sf_dir))
+
+
+@query("confusion_fixed_score")
+def q_confusion_fixed_score(spark, sf_dir):
+    return CU.confusion(fixed_predictions(spark, sf_dir))
+
+
+@query("class_report_fixed_score")
+def q_class_report_fixed_score(spark, sf_dir):
+    return CU.class_report(fixed_predictions(spark, sf_dir))
+
+
+@query("probability_histogram_fixed_score")
+def q_probability_histogram_fixed_score(spark, sf_dir):
+    return CU.probability_histogram(fixed_predictions(spark, sf_dir))
+
+
+@query("recency_orders_by_class")
+def q_recency_orders_by_class(spark, sf_dir):
+    return churn_table(spark, sf_dir).select(CU.KEY, "recency", "total_orders", "churn")

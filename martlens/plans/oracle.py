@@ -415,3 +415,117 @@ SELECT hs.arm, hg.bin, round(hs.lo + (hs.hi - hs.lo) * (hg.bin - 1) / CAST(40 AS
        CAST(coalesce(hb.c, 0) AS BIGINT) AS count,
        round(coalesce(hb.c, 0) / (hs.n * ((hs.hi - hs.lo) / CAST(40 AS DOUBLE))), 9) AS density
 FROM hs CROSS JOIN hg LEFT JOIN hb ON hs.arm = hb.arm AND hg.bin = hb.bin""", "fact")
+
+
+# ---- churn ------------------------------------------------------------------------
+LABELS = f"""
+SELECT customer_unique_id, strftime(max(order_purchase_timestamp), '%Y-%m-%d %H:%M:%S') AS last_purchase,
+       CAST(floor(epoch({SNAP} - max(order_purchase_timestamp)) / 86400) AS BIGINT) AS days_since,
+       CAST(floor(epoch({SNAP} - max(order_purchase_timestamp)) / 86400) > 180 AS INT) AS churn
+FROM fact GROUP BY customer_unique_id"""
+
+oracle("churn_labels", LABELS, "fact")
+oracle("churn_rate", f"""
+WITH l AS ({LABELS})
+SELECT churn, CAST(count(*) AS BIGINT) AS customers, (SELECT round(avg(churn) * 100.0, 6) FROM l) AS churn_rate_pct
+FROM l GROUP BY churn""", "fact")
+
+FEATS = f"""
+SELECT customer_unique_id,
+  CAST(count(DISTINCT order_id) AS BIGINT) AS total_orders,
+  round(CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE), 6) AS total_revenue,
+  round(CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(price), 6) AS avg_order_value,
+  round(max(price), 6) AS max_order_value, round(min(price), 6) AS min_order_value,
+  CAST(count(order_item_id) AS BIGINT) AS total_items,
+  round(CAST(sum(CAST(order_item_id AS DECIMAL(38,6))) AS DOUBLE) / count(order_item_id), 6) AS avg_items_order,
+  round(CAST(sum(CAST(freight_value AS DECIMAL(18,2))) AS DOUBLE), 6) AS total_freight,
+  round(CAST(sum(CAST(freight_value AS DECIMAL(18,2))) AS DOUBLE) / count(freight_value), 6) AS avg_freight,
+  CAST(count(DISTINCT product_category_name_english) AS BIGINT) AS unique_categories,
+  round(CAST(sum(CAST(delivery_days AS DECIMAL(38,6))) AS DOUBLE) / count(delivery_days), 6) AS avg_delivery_days,
+  round(CAST(sum(CAST(payment_installments AS DECIMAL(38,6))) AS DOUBLE) / count(payment_installments), 6) AS payment_installments,
+  CAST(floor(epoch({SNAP} - max(order_purchase_timestamp)) / 86400) AS BIGINT) AS recency,
+  CAST(floor(epoch(max(order_purchase_timestamp) - min(order_purchase_timestamp)) / 86400) AS BIGINT) AS days_active,
+  round(count(DISTINCT order_id) / (floor(epoch(max(order_purchase_timestamp) - min(order_purchase_timestamp)) / 86400) + 1), 6)
+    AS purchase_frequency,
+  round(CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT order_id), 6) AS revenue_per_order
+FROM fact GROUP BY customer_unique_id"""
+
+oracle("customer_features", FEATS, "fact")
+
+_FCOLS = ["total_orders", "total_revenue", "avg_order_value", "max_order_value", "min_order_value",
+          "total_items", "avg_items_order", "total_freight", "avg_freight", "unique_categories",
+          "avg_delivery_days", "payment_installments", "recency", "days_active", "purchase_frequency",
+          "revenue_per_order"]
+MATRIX = f"""
+WITH feats AS ({FEATS}), labels AS ({LABELS}),
+m AS (SELECT feats.*, labels.churn FROM feats JOIN labels USING (customer_unique_id)),
+med AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med_{c}" for c in _FCOLS)} FROM m),
+mx AS (SELECT customer_unique_id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), med_{c}), 6) AS {c}" for c in _FCOLS)}, churn
+       FROM m, med)"""
+
+oracle("churn_matrix", MATRIX + "\nSELECT * FROM mx", "fact")
+oracle("recency_orders_by_class", MATRIX + "\nSELECT customer_unique_id, recency, total_orders, churn FROM mx", "fact")
+
+oracle("stratified_split", MATRIX + f""",
+r AS (SELECT customer_unique_id, churn,
+        row_number() OVER (PARTITION BY churn ORDER BY {md5_sql('split', 'customer_unique_id')}, customer_unique_id) AS rn,
+        count(*) OVER (PARTITION BY churn) AS n FROM mx)
+SELECT customer_unique_id, churn, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part FROM r""", "fact")
+
+FIXED = MATRIX + f""",
+pred AS (SELECT customer_unique_id, churn AS label,
+           round({md5_unit_sql('score', 'customer_unique_id')} * 0.6 + least(recency, 400) / 400.0 * 0.4, 3) AS score
+         FROM mx),
+pr AS (SELECT *, CAST(score >= 0.5 AS INT) AS prediction FROM pred)"""
+
+oracle("auc_fixed_score", FIXED + """,
+rk AS (SELECT label, rank() OVER (ORDER BY score) AS r0, count(*) OVER (PARTITION BY score) AS t FROM pr)
+SELECT round((sum(CASE WHEN label = 1 THEN r0 - 1 + (t + 1) / 2.0 END)
+              - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+             / (CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) * count(*) FILTER (WHERE label = 0)), 6) AS auc
+FROM rk""", "fact")
+
+oracle("roc_fixed_score", FIXED + """,
+d AS (SELECT score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM pr GROUP BY score),
+tot AS (SELECT sum(p) AS tp, sum(n) AS tn FROM d)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT d1.score AS threshold,
+       round((SELECT sum(n) FROM d d2 WHERE d2.score >= d1.score) / tot.tn, 6) AS fpr,
+       round((SELECT sum(p) FROM d d2 WHERE d2.score >= d1.score) / tot.tp, 6) AS tpr
+FROM d d1, tot""", "fact")
+
+oracle("confusion_fixed_score", FIXED + """
+SELECT g.actual, g.predicted, CAST(count(pr.label) AS BIGINT) AS count
+FROM (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(actual, predicted)) g
+LEFT JOIN pr ON pr.label = g.actual AND pr.prediction = g.predicted
+GROUP BY g.actual, g.predicted""", "fact")
+
+oracle("class_report_fixed_score", FIXED + """,
+c AS (SELECT CAST(count(*) FILTER (WHERE label = 0 AND prediction = 0) AS DOUBLE) AS c00,
+             CAST(count(*) FILTER (WHERE label = 0 AND prediction = 1) AS DOUBLE) AS c01,
+             CAST(count(*) FILTER (WHERE label = 1 AND prediction = 0) AS DOUBLE) AS c10,
+             CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) AS DOUBLE) AS c11 FROM pr),
+per AS (
+  SELECT 'Active' AS class, coalesce(c00 / nullif(c00 + c10, 0), 0.0) AS precision,
+         coalesce(c00 / nullif(c00 + c01, 0), 0.0) AS recall, c00 + c01 AS support FROM c
+  UNION ALL
+  SELECT 'Churned', coalesce(c11 / nullif(c11 + c01, 0), 0.0), coalesce(c11 / nullif(c11 + c10, 0), 0.0), c10 + c11 FROM c),
+per2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM per),
+allr AS (
+  SELECT class, precision, recall, f1, support FROM per2
+  UNION ALL SELECT 'accuracy', NULL, NULL, (c00 + c11) / (c00 + c01 + c10 + c11), c00 + c01 + c10 + c11 FROM c
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per2
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) FROM per2)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM allr""", "fact")
+
+oracle("probability_histogram_fixed_score", FIXED + """,
+hb AS (SELECT label, CAST(least(floor(CAST(40 AS DOUBLE) * (score - 0.0) / (1.0 - 0.0)) + 1, 40) AS BIGINT) AS bin,
+              count(*) AS c FROM pr WHERE score BETWEEN 0.0 AND 1.0 GROUP BY 1, 2),
+hl AS (SELECT DISTINCT label FROM pr WHERE score BETWEEN 0.0 AND 1.0),
+hg AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, 41))
+SELECT hl.label, hg.bin, round(0.0 + (1.0 - 0.0) * (hg.bin - 1) / CAST(40 AS DOUBLE), 6) AS bin_lo,
+       round(0.0 + (1.0 - 0.0) * hg.bin / CAST(40 AS DOUBLE), 6) AS bin_hi, CAST(coalesce(hb.c, 0) AS BIGINT) AS count
+FROM hl CROSS JOIN hg LEFT JOIN hb ON hl.label = hb.label AND hg.bin = hb.bin""", "fact")
