@@ -376,3 +376,57 @@ def q_probability_histogram_fixed_score(spark, sf_dir):
 @query("recency_orders_by_class")
 def q_recency_orders_by_class(spark, sf_dir):
     return churn_table(spark, sf_dir).select(CU.KEY, "recency", "total_orders", "churn")
+
+
+# ---- review text -------------------------------------------------------------------
+from ..operators import text as T  # noqa: E402
+
+
+def scored_reviews(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("scored_reviews", lambda: T.review_sentiment(ctx.fx.reviews(), ctx.fx.lexicon()))
+
+
+@query("clean_reviews")
+def q_clean_reviews(spark, sf_dir):
+    return T.clean_reviews(context(spark, sf_dir).fx.reviews()).select("order_id", "review_score", "clean_comment")
+
+
+@query("review_sentiment")
+def q_review_sentiment(spark, sf_dir):
+    return scored_reviews(spark, sf_dir).select("order_id", "review_score", "sentiment_score", "sentiment")
+
+
+@query("filtered_tokens")
+def q_filtered_tokens(spark, sf_dir):
+    return scored_reviews(spark, sf_dir).select("order_id", "filtered_text")
+
+
+@query("sentiment_counts")
+def q_sentiment_counts(spark, sf_dir):
+    return M.label_counts(scored_reviews(spark, sf_dir), "sentiment", "count")
+
+
+@query("sentiment_by_score")
+def q_sentiment_by_score(spark, sf_dir):
+    return T.sentiment_by_score(scored_reviews(spark, sf_dir))
+
+
+@query("score_counts")
+def q_score_counts(spark, sf_dir):
+    return T.score_counts(context(spark, sf_dir).fx.reviews())
+
+
+@query("sentiment_by_month")
+def q_sentiment_by_month(spark, sf_dir):
+    return T.sentiment_by_month(scored_reviews(spark, sf_dir))
+
+
+@query("term_frequencies")
+def q_term_frequencies(spark, sf_dir):
+    return T.term_frequencies(scored_reviews(spark, sf_dir), 80)
+
+
+@query("bag_of_words_vocabulary")
+def q_bag_of_words_vocabulary(spark, sf_dir):
+    return T.vocabulary(scored_reviews(spark, sf_dir), 1000, 5, 0.8)

@@ -529,3 +529,102 @@ hg AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, 41))
 SELECT hl.label, hg.bin, round(0.0 + (1.0 - 0.0) * (hg.bin - 1) / CAST(40 AS DOUBLE), 6) AS bin_lo,
        round(0.0 + (1.0 - 0.0) * hg.bin / CAST(40 AS DOUBLE), 6) AS bin_hi, CAST(coalesce(hb.c, 0) AS BIGINT) AS count
 FROM hl CROSS JOIN hg LEFT JOIN hb ON hl.label = hb.label AND hg.bin = hb.bin""", "fact")
+
+
+# ---- review text -------------------------------------------------------------------
+from ..functions.text import (  # noqa: E402
+    BOOSTERS_DOWN, BOOSTERS_UP, DOMAIN_STOPWORDS, ENGLISH_STOPWORDS, NEGATORS,
+)
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_BOOST_VALUES = ", ".join([f"('{w}', 0.293)" for w in BOOSTERS_UP] + [f"('{w}', -0.293)" for w in BOOSTERS_DOWN])
+_NEG_VALUES = ", ".join(f"('{w}')" for w in NEGATORS)
+_STOP = _sql_list(ENGLISH_STOPWORDS + DOMAIN_STOPWORDS)
+
+TEXT = r"""
+WITH c AS (
+  SELECT order_id, review_score, review_creation_date,
+    trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(review_comment_message, '')),
+      'http\S+|www\S+', '', 'g'), '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g')) AS clean_comment
+  FROM fx_reviews),
+cr AS (SELECT * FROM c WHERE length(clean_comment) > 5),
+tk AS (SELECT order_id, list_filter(string_split(clean_comment, ' '), lambda x: length(x) > 1) AS toks FROM cr),
+u AS (SELECT order_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
+bst AS (SELECT * FROM (VALUES __BOOST__) AS t(w, b)),
+neg AS (SELECT * FROM (VALUES __NEG__) AS t(w)),
+ul AS (SELECT order_id, pos, tok,
+         lag(tok, 1) OVER (PARTITION BY order_id ORDER BY pos) AS w1,
+         lag(tok, 2) OVER (PARTITION BY order_id ORDER BY pos) AS w2,
+         lag(tok, 3) OVER (PARTITION BY order_id ORDER BY pos) AS w3 FROM u),
+uj AS (SELECT ul.*, lx.valence AS lv, b0.b AS tb,
+         l1.term IS NOT NULL AS lex1, coalesce(b1.b, 0.0) AS b1, n1.w IS NOT NULL AS neg1,
+         l2.term IS NOT NULL AS lex2, coalesce(b2.b, 0.0) AS b2, n2.w IS NOT NULL AS neg2,
+         l3.term IS NOT NULL AS lex3, coalesce(b3.b, 0.0) AS b3, n3.w IS NOT NULL AS neg3
+       FROM ul
+       LEFT JOIN fx_lexicon lx ON ul.tok = lx.term LEFT JOIN bst b0 ON ul.tok = b0.w
+       LEFT JOIN fx_lexicon l1 ON ul.w1 = l1.term LEFT JOIN bst b1 ON ul.w1 = b1.w LEFT JOIN neg n1 ON ul.w1 = n1.w
+       LEFT JOIN fx_lexicon l2 ON ul.w2 = l2.term LEFT JOIN bst b2 ON ul.w2 = b2.w LEFT JOIN neg n2 ON ul.w2 = n2.w
+       LEFT JOIN fx_lexicon l3 ON ul.w3 = l3.term LEFT JOIN bst b3 ON ul.w3 = b3.w LEFT JOIN neg n3 ON ul.w3 = n3.w),
+s0 AS (SELECT *, CASE WHEN tb IS NOT NULL THEN 0.0 ELSE coalesce(lv, 0.0) END AS v0 FROM uj),
+s1 AS (SELECT *, CASE WHEN w1 IS NOT NULL AND NOT lex1 THEN
+         (v0 + CASE WHEN v0 < 0 THEN -(b1 * 1.0) ELSE b1 * 1.0 END) * CASE WHEN neg1 THEN -0.74 ELSE 1.0 END
+         ELSE v0 END AS v1 FROM s0),
+s2 AS (SELECT *, CASE WHEN w2 IS NOT NULL AND NOT lex2 THEN
+         (v1 + CASE WHEN v1 < 0 THEN -(b2 * 0.95) ELSE b2 * 0.95 END) * CASE WHEN neg2 THEN -0.74 ELSE 1.0 END
+         ELSE v1 END AS v2 FROM s1),
+s3 AS (SELECT *, CASE WHEN w3 IS NOT NULL AND NOT lex3 THEN
+         (v2 + CASE WHEN v2 < 0 THEN -(b3 * 0.9) ELSE b3 * 0.9 END) * CASE WHEN neg3 THEN -0.74 ELSE 1.0 END
+         ELSE v2 END AS v3 FROM s2),
+bp AS (SELECT order_id, min(pos) FILTER (WHERE tok = 'but') AS bpos FROM u GROUP BY order_id),
+tv AS (SELECT s3.order_id, s3.pos,
+         CASE WHEN lv IS NOT NULL AND tb IS NULL THEN v3 ELSE 0.0 END
+         * CASE WHEN bp.bpos IS NULL THEN 1.0 WHEN s3.pos < bp.bpos THEN 0.5 WHEN s3.pos > bp.bpos THEN 1.5 ELSE 1.0 END AS v
+       FROM s3 JOIN bp ON s3.order_id = bp.order_id),
+tot AS (SELECT order_id, sum(v ORDER BY pos) AS x FROM tv GROUP BY order_id),
+scored AS (
+  SELECT cr.order_id, cr.review_score, cr.review_creation_date, cr.clean_comment,
+    CASE WHEN tot.x IS NULL THEN 0.0
+         ELSE round(least(greatest(tot.x / sqrt(tot.x * tot.x + 15.0), -1.0), 1.0), 4) END AS sentiment_score,
+    array_to_string(list_filter(string_split(cr.clean_comment, ' '),
+        lambda w: length(w) >= 3 AND NOT list_contains(__STOP__, w)), ' ') AS filtered_text
+  FROM cr LEFT JOIN tot ON cr.order_id = tot.order_id),
+sc AS (SELECT *, CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative'
+                      ELSE 'Neutral' END AS sentiment FROM scored)"""
+TEXT = TEXT.replace("__BOOST__", _BOOST_VALUES).replace("__NEG__", _NEG_VALUES).replace("__STOP__", _STOP)
+
+oracle("clean_reviews", TEXT + "\nSELECT order_id, review_score, clean_comment FROM cr", "fx_reviews", "fx_lexicon")
+oracle("review_sentiment", TEXT + "\nSELECT order_id, review_score, sentiment_score, sentiment FROM sc",
+       "fx_reviews", "fx_lexicon")
+oracle("filtered_tokens", TEXT + "\nSELECT order_id, filtered_text FROM sc", "fx_reviews", "fx_lexicon")
+oracle("sentiment_counts", TEXT + """
+SELECT sentiment, CAST(count(*) AS BIGINT) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM sc), 6) AS share_pct
+FROM sc GROUP BY sentiment ORDER BY count DESC, sentiment""", "fx_reviews", "fx_lexicon")
+oracle("sentiment_by_score", TEXT + """
+SELECT review_score, round_even(CAST(sum(CAST(sentiment_score AS DECIMAL(12,4))) AS DOUBLE) / count(*), 3) AS avg_sentiment
+FROM sc GROUP BY review_score ORDER BY review_score""", "fx_reviews", "fx_lexicon")
+oracle("score_counts", """
+SELECT review_score, CAST(count(*) AS BIGINT) AS count FROM fx_reviews WHERE review_score IS NOT NULL
+GROUP BY review_score ORDER BY review_score""", "fx_reviews")
+oracle("sentiment_by_month", TEXT + """
+SELECT strftime(review_creation_date, '%Y-%m') AS month,
+       round(CAST(sum(CAST(sentiment_score AS DECIMAL(12,4))) AS DOUBLE) / count(*), 6) AS avg_sentiment
+FROM sc WHERE review_creation_date IS NOT NULL GROUP BY 1""", "fx_reviews", "fx_lexicon")
+oracle("term_frequencies", TEXT + """,
+tw AS (SELECT sentiment, unnest(list_filter(string_split(filtered_text, ' '), lambda x: length(x) > 0)) AS term FROM sc),
+g AS (SELECT sentiment AS "group", term, count(*) AS count FROM tw WHERE sentiment IN ('Positive', 'Negative') GROUP BY 1, 2
+      UNION ALL SELECT 'All', term, count(*) FROM tw GROUP BY 2),
+r AS (SELECT "group", term, CAST(count AS BIGINT) AS count,
+             row_number() OVER (PARTITION BY "group" ORDER BY count DESC, term) AS rank FROM g)
+SELECT "group", term, count, CAST(rank AS INT) AS rank FROM r WHERE rank <= 80""", "fx_reviews", "fx_lexicon")
+oracle("bag_of_words_vocabulary", TEXT + """,
+tw AS (SELECT order_id, unnest(list_filter(string_split(filtered_text, ' '), lambda x: length(x) > 0)) AS term FROM sc),
+st AS (SELECT term, CAST(count(DISTINCT order_id) AS BIGINT) AS doc_freq, CAST(count(*) AS BIGINT) AS term_count
+       FROM tw GROUP BY term),
+k AS (SELECT * FROM st WHERE doc_freq >= 5 AND doc_freq <= 0.8 * (SELECT count(*) FROM sc)
+      ORDER BY term_count DESC, term LIMIT 1000)
+SELECT term, doc_freq, term_count, CAST(row_number() OVER (ORDER BY term_count DESC, term) - 1 AS BIGINT) AS term_index
+FROM k""", "fx_reviews", "fx_lexicon")
