@@ -159,3 +159,51 @@ def vocabulary(scored: DataFrame, size: int = 1000, min_df: int = 5, max_df: flo
         Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1).cast("bigint")).drop("_nd")
 
 
+
+
+# ---- topics (MLlib) ----------------------------------------------------------------
+
+def lda_topics(scored: DataFrame, vocab: DataFrame, k: int = 5, passes: int = 15, seed: int = 42,
+               key: str = "order_id", text: str = "filtered_text"):
+    """N6 + N7: counts over the given vocabulary, then online variational LDA.
+
+    Priors 1/k, learning offset 10 and decay 0.7 as in the source's topic
+    model; every iteration is one pass over the whole corpus
+    (subsamplingRate 1), so ``passes`` iterations.  The vocabulary (at most
+    vocabSize terms) is model state and is read to the driver once.
+    Returns (fitted LDA model, counted documents, ordered vocabulary list).
+    """
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizerModel
+
+    terms = [r["term"] for r in vocab.orderBy("term_index").select("term").collect()]
+    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="features")
+    docs = cv.transform(scored.select(key, words(F.col(text)).alias("_words")))
+    lda = LDA(k=k, optimizer="online", seed=seed, maxIter=passes, learningDecay=0.7, learningOffset=10.0,
+              docConcentration=[1.0 / k], topicConcentration=1.0 / k, optimizeDocConcentration=False,
+              subsamplingRate=1.0, featuresCol="features")
+    return lda.fit(docs), docs, terms
+
+
+def topic_words(model, vocab: DataFrame, n: int = 10) -> DataFrame:
+    """Top-n terms per topic with their (normalised) weights and the topic
+    label made of the first five terms joined by ' | '."""
+    t = model.describeTopics(n)
+    ex = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
+    ex = ex.select("topic", (F.col("rank") + 1).alias("rank"), F.col("tw.termIndices").cast("bigint").alias("term_index"),
+                   F.round(F.col("tw.termWeights"), 6).alias("weight"))
+    j = ex.join(F.broadcast(vocab.select("term_index", "term")), "term_index")
+    from pyspark.sql import Window
+
+    lab = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term")).over(
+        Window.partitionBy("topic"))), lambda s: s["term"]), 1, 5), " | ")
+    return j.select("topic", "rank", "term", "weight", lab.alias("topic_label"))
+
+
+def dominant_topic(model, docs: DataFrame, key: str = "order_id") -> DataFrame:
+    """Topic with the largest share for each comment (first on ties)."""
+    from pyspark.ml.functions import vector_to_array
+
+    t = model.transform(docs)
+    arr = vector_to_array(F.col("topicDistribution"))
+    return t.select(key, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("topic"))

@@ -430,3 +430,134 @@ def q_term_frequencies(spark, sf_dir):
 @query("bag_of_words_vocabulary")
 def q_bag_of_words_vocabulary(spark, sf_dir):
     return T.vocabulary(scored_reviews(spark, sf_dir), 1000, 5, 0.8)
+
+
+# ---- models (rows-only checks: no SQL oracle can fit a forest or a topic model) ------------
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def fitted_models(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    with ctx_lock():
+        if "models" not in ctx._stages:
+            ctx._stages["models"] = CU.fit_models(churn_split(spark, sf_dir))
+        return ctx._stages["models"]
+
+
+def ctx_lock():
+    from .context import _LOCK
+    return _LOCK
+
+
+def test_predictions(spark, sf_dir, name):
+    test = churn_split(spark, sf_dir).where(F.col("part") == "test")
+    return CU.score(fitted_models(spark, sf_dir)[name], test).withColumnRenamed("churn", "label")
+
+
+MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("model_test_auc")
+def q_model_test_auc(spark, sf_dir):
+    rows = _union([CU.auc(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "auc")
+                   for n in MODEL_NAMES])
+    from pyspark.sql import Window
+
+    best = F.row_number().over(Window.orderBy(F.desc("auc"), "model")) == 1  # three rows
+    return rows.withColumn("best", best)
+
+
+@query("model_cv_auc")
+def q_model_cv_auc(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return ctx.stage("model_cv_auc", lambda: CU.cv_auc(churn_table(spark, sf_dir)))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    return q_model_test_auc(spark, sf_dir).join(q_model_cv_auc(spark, sf_dir), "model")
+
+
+@query("model_class_report")
+def q_model_class_report(spark, sf_dir):
+    return _union([CU.class_report(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "*")
+                   for n in MODEL_NAMES])
+
+
+@query("model_roc_points")
+def q_model_roc_points(spark, sf_dir):
+    return _union([CU.roc_points(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "*")
+                   for n in MODEL_NAMES])
+
+
+@query("best_model_confusion")
+def q_best_model_confusion(spark, sf_dir):
+    best = q_model_test_auc(spark, sf_dir).where("best").select("model")
+    return _union([CU.confusion(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "*")
+                   for n in MODEL_NAMES]).join(best, "model", "left_semi")
+
+
+@query("best_model_probability_histogram")
+def q_best_model_probability_histogram(spark, sf_dir):
+    best = q_model_test_auc(spark, sf_dir).where("best").select("model")
+    return _union([CU.probability_histogram(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "*")
+                   for n in MODEL_NAMES]).join(best, "model", "left_semi")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return CU.feature_importance(fitted_models(spark, sf_dir)["Random Forest"], CU.FEATURES, spark, 12)
+
+
+@query("score_customers")
+def q_score_customers(spark, sf_dir):
+    m = churn_table(spark, sf_dir)
+    s = CU.score(fitted_models(spark, sf_dir)["Random Forest"], CU.class_weights(m))
+    return s.select(CU.KEY, "recency", "total_orders", "total_revenue", "churn",
+                    F.round("score", 6).alias("churn_probability"))
+
+
+def topic_model(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    with ctx_lock():
+        if "lda" not in ctx._stages:
+            scored = scored_reviews(spark, sf_dir)
+            vocab = q_bag_of_words_vocabulary(spark, sf_dir)
+            ctx._stages["lda"] = (T.lda_topics(scored, vocab), vocab)
+        return ctx._stages["lda"]
+
+
+@query("topic_words")
+def q_topic_words(spark, sf_dir):
+    (model, _, _), vocab = topic_model(spark, sf_dir)
+    return T.topic_words(model, vocab, 10)
+
+
+@query("topic_weights")
+def q_topic_weights(spark, sf_dir):
+    (model, _, _), vocab = topic_model(spark, sf_dir)
+    return T.topic_words(model, vocab, 7).where(F.col("topic") < 3).drop("topic_label")
+
+
+@query("dominant_topic")
+def q_dominant_topic(spark, sf_dir):
+    (model, docs, _), _ = topic_model(spark, sf_dir)
+    return T.dominant_topic(model, docs)
+
+
+@query("topic_counts")
+def q_topic_counts(spark, sf_dir):
+    return q_dominant_topic(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).cast("bigint").alias("reviews")).orderBy("topic")
+
+
+@query("sentiment_results")
+def q_sentiment_results(spark, sf_dir):
+    s = scored_reviews(spark, sf_dir).select("order_id", "review_score", "sentiment", "sentiment_score")
+    return s.join(q_dominant_topic(spark, sf_dir), "order_id", "left")
