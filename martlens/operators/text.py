@@ -32,18 +32,38 @@ def clean_reviews(reviews: DataFrame, min_len: int = 5, lang: str | None = None)
     return r.where(F.length("clean_comment") > min_len)
 
 
-def lexicon_map(lexicon: DataFrame) -> DataFrame:
-    """One-row frame holding the (term -> valence) map; its size is checked
-    before it is broadcast (a lexicon is a dictionary, not data)."""
-    n = lexicon.count()
+def word_table(lexicon: DataFrame) -> DataFrame:
+    """(term, lv, b, ng): lexicon valence (null when absent), booster value and
+    negator flag for every word that has any of them."""
+    spark = lexicon.sparkSession
+    lex = lexicon.select(F.col("term"), F.col("valence").cast("double").alias("lv"),
+                         F.lit(0.0).alias("b"), F.lit(False).alias("ng"))
+    fixed = ([(w, None, BOOSTER_INCREMENT, False) for w in BOOSTERS_UP]
+             + [(w, None, BOOSTER_DECREMENT, False) for w in BOOSTERS_DOWN]
+             + [(w, None, 0.0, True) for w in NEGATORS])
+    fx = spark.createDataFrame(fixed, "term string, lv double, b double, ng boolean")
+    return lex.unionByName(fx).groupBy("term").agg(
+        F.max("lv").alias("lv"), F.sum("b").alias("b"), F.max(F.col("ng").cast("int")).cast("boolean").alias("ng"))
+
+
+def word_lookup_row(lexicon: DataFrame) -> DataFrame:
+    """One row holding the word table as a hash-bucketed array (bucket =
+    pmod(hash(term), nb)), so a token lookup is one hash and a scan of a
+    bucket of ~1 entry instead of a linear scan of a map.  The word count is
+    checked before the row is broadcast."""
+    words_t = word_table(lexicon)
+    n = words_t.count()
     if n > LEXICON_MAX_TERMS:
-        raise ValueError(f"lexicon has {n} terms; above {LEXICON_MAX_TERMS} use a joined lexicon")
-    return lexicon.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("term"), F.col("valence").cast("double")))).alias("_lex"))
-
-
-def _word_map(pairs) -> Column:
-    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
+        raise ValueError(f"lexicon has {n} terms; above {LEXICON_MAX_TERMS} it is not broadcast")
+    nb = 1
+    while nb < max(n, 1):
+        nb *= 2
+    keyed = words_t.withColumn("_b", F.pmod(F.hash("term"), F.lit(nb)))
+    grouped = keyed.groupBy("_b").agg(F.collect_list(F.struct("term", "lv", "b", "ng")).alias("_e"))
+    slots = words_t.agg(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_b"))
+    dense = slots.join(grouped, "_b", "left").agg(
+        F.sort_array(F.collect_list(F.struct("_b", "_e"))).alias("_s"))
+    return dense.select(F.transform("_s", lambda x: x["_e"]).alias("_wb"), F.lit(nb).alias("_nb"))
 
 
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comment",
@@ -56,36 +76,39 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     (sign of the running valence; x0.95 at distance 2, x0.9 at 3) and, if it
     is a negator, multiplies the running valence by -0.74.  Valences before the
     first 'but' are halved, after it x1.5.  Sum x -> x / sqrt(x^2 + 15),
-    clipped, 4 decimals.  Empty text -> 0.
+    clipped, 4 decimals.  Empty text -> 0.  No shuffle: the word table rides
+    along as one broadcast row.
     """
-    lex = F.col("_lex")
-    boost = _word_map([(w, BOOSTER_INCREMENT) for w in BOOSTERS_UP] + [(w, BOOSTER_DECREMENT) for w in BOOSTERS_DOWN])
-    neg = _word_map([(w, True) for w in NEGATORS])
     toks = F.filter(words(F.col(text)), lambda w: F.length(w) > 1)
-    d = df.crossJoin(F.broadcast(lexicon_map(lexicon))).withColumn("_tok", toks)
-    # one lookup pass: (lexicon valence or null, booster value, negator flag) per token
-    d = d.withColumn("_f", F.transform("_tok", lambda w: F.struct(
-        F.element_at(lex, w).alias("lv"),
-        F.coalesce(F.element_at(boost, w), F.lit(0.0)).alias("b"),
-        F.coalesce(F.element_at(neg, w), F.lit(False)).alias("ng"))))
+    d = df.crossJoin(F.broadcast(word_lookup_row(lexicon))).withColumn("_tok", toks)
+    wb, nb = F.col("_wb"), F.col("_nb")
+
+    def lookup(w):
+        bucket = F.element_at(wb, F.pmod(F.hash(w), nb) + 1)
+        return F.get(F.filter(bucket, lambda e: e["term"] == w), 0)
+
+    # one lookup per token: struct(term, lv, b, ng) or null
+    d = d.withColumn("_f", F.transform("_tok", lookup))
     # first 'but' (1-based, 0 when absent), computed once per text, not per token
     d = d.withColumn("_but", F.array_position(F.col("_tok"), "but"))
-    f = F.col("_f")
-    but_at = F.col("_but")
+    f, but_at = F.col("_f"), F.col("_but")
 
     def scored(x, i):
-        start = F.when(x["b"] != 0, F.lit(0.0)).otherwise(F.coalesce(x["lv"], F.lit(0.0)))
+        lv = x["lv"]
+        b0 = F.coalesce(x["b"], F.lit(0.0))
 
         def step(acc, dist):
             p = F.get(f, i - dist)
             applies = (i >= dist) & p["lv"].isNull()
             damp = F.when(dist == 2, F.lit(0.95)).when(dist == 3, F.lit(0.9)).otherwise(F.lit(1.0))
-            bb = p["b"] * damp
-            nv = (acc + F.when(acc < 0, -bb).otherwise(bb)) * F.when(p["ng"], F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+            bb = F.coalesce(p["b"], F.lit(0.0)) * damp
+            neg = F.coalesce(p["ng"], F.lit(False))
+            nv = (acc + F.when(acc < 0, -bb).otherwise(bb)) * F.when(neg, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
             return F.when(applies, nv).otherwise(acc)
 
-        v = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, step)
-        v = F.when(x["lv"].isNotNull() & (x["b"] == 0), v).otherwise(F.lit(0.0))
+        # the look-back runs only for lexicon words that are not boosters
+        v = F.when(lv.isNotNull() & (b0 == 0), F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), lv, step)) \
+            .otherwise(F.lit(0.0))
         pos = i + 1
         return (F.when((but_at > 0) & (pos < but_at), v * 0.5)
                 .when((but_at > 0) & (pos > but_at), v * 1.5).otherwise(v))
@@ -94,7 +117,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     comp = total / F.sqrt(total * total + F.lit(NORMALIZE_ALPHA))
     comp = F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))
     score = F.when(F.size(f) == 0, F.lit(0.0)).otherwise(F.round(comp, 4))
-    return d.withColumn(out, score).drop("_lex", "_tok", "_f", "_but")
+    return d.withColumn(out, score).drop("_wb", "_nb", "_tok", "_f", "_but")
 
 
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, lang: str | None = None) -> DataFrame:
