@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
+from .kernels import broadcast_bounded
+
+# A category-name table is a code list; broadcast it after checking its size.
+CATEGORY_BROADCAST_ROWS = 100_000
+
+
+def distinct_on_key(df: DataFrame, key: str) -> DataFrame:
+    """Full-row distinct clustered on the join key: the hash partitioning on
+    ``key`` satisfies both the distinct and the following join, so the table
+    is shuffled once instead of twice."""
+    return df.repartition(key).distinct()
 
 ORDER_COLS = ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
               "order_delivered_customer_date", "order_estimated_delivery_date"]
@@ -37,7 +48,11 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True) -> DataFrame:
     core = orders.join(items, "order_id", "left").join(payments, "order_id", "left")
     if dedup:
         core = core.distinct()
-        customers, products, category = customers.distinct(), products.distinct(), category.distinct()
+        customers = distinct_on_key(customers, "customer_id")
+        products = distinct_on_key(products, "product_id")
+        category = category.distinct()
+    # hashing the fact on a handful of category names would skew; the code list is broadcast
+    category = broadcast_bounded(category, CATEGORY_BROADCAST_ROWS)
     wide = (core.join(customers, "customer_id", "left")
             .join(products, "product_id", "left")
             .join(category, "product_category_name", "left"))
@@ -57,7 +72,8 @@ def build_item_fact(raw: dict[str, DataFrame]) -> DataFrame:
     )
     customers = raw["customers"].select("customer_id", *CUSTOMER_COLS)
     products = raw["products"].select("product_id", *PRODUCT_COLS)
-    category = raw["category"].select("product_category_name", *CATEGORY_COLS)
+    category = broadcast_bounded(raw["category"].select("product_category_name", *CATEGORY_COLS),
+                                 CATEGORY_BROADCAST_ROWS)
     fact = (orders.join(items, "order_id", "left").join(pay, "order_id", "left")
             .join(customers, "customer_id", "left").join(products, "product_id", "left")
             .join(category, "product_category_name", "left"))

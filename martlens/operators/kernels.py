@@ -79,7 +79,7 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None
                 carried += int(cs[-1])
             yield pdf
 
-    local = cut_lineage(ranged.mapInPandas(running, schema))
+    local = cut_lineage(ranged.mapInPandas(running, schema), "prefix")
     totals = local.groupBy("_pid").agg(F.sum(wname).alias("_t"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: a bounded table, prefix-summed in one task and broadcast

@@ -64,11 +64,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint into the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Used where a plan must not be recomputed differently (range-partition
-    membership that later offsets refer to).  Never a local checkpoint.
+    membership that later offsets refer to).  A written table survives lost
+    executors, and unlike an RDD checkpoint it is computed once (no second
+    pass to save it).  Never a local checkpoint, never a machine-local folder
+    on a cluster.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/martlens-cut/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -97,7 +97,10 @@ class Fixtures:
     def customers(self) -> DataFrame:
         c = self._t("customer").select("c_custkey", "c_nationkey")
         n = self._t("nation").select("n_nationkey", "n_name")
-        return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        # nation is a 25-row code list in TPC-H at every scale; still checked before broadcasting
+        from ..operators.kernels import broadcast_bounded
+
+        return c.join(broadcast_bounded(n, 10_000), c.c_nationkey == n.n_nationkey).select(
             F.col("c_custkey").alias("customer_id"),
             F.col("c_custkey").alias("customer_unique_id"),
             F.col("n_name").alias("customer_state"),
