@@ -561,3 +561,11 @@ def q_topic_counts(spark, sf_dir):
 def q_sentiment_results(spark, sf_dir):
     s = scored_reviews(spark, sf_dir).select("order_id", "review_score", "sentiment", "sentiment_score")
     return s.join(q_dominant_topic(spark, sf_dir), "order_id", "left")
+
+
+@query("english_review_sentiment")
+def q_english_review_sentiment(spark, sf_dir):
+    """The README's English-only scoring (the code it mirrors scores every language)."""
+    ctx = context(spark, sf_dir)
+    s = T.review_sentiment(ctx.fx.reviews(), ctx.fx.lexicon(), lang="en")
+    return s.select("order_id", "review_score", "sentiment_score", "sentiment")

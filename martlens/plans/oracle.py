@@ -628,3 +628,7 @@ k AS (SELECT * FROM st WHERE doc_freq >= 5 AND doc_freq <= 0.8 * (SELECT count(*
       ORDER BY term_count DESC, term LIMIT 1000)
 SELECT term, doc_freq, term_count, CAST(row_number() OVER (ORDER BY term_count DESC, term) - 1 AS BIGINT) AS term_index
 FROM k""", "fx_reviews", "fx_lexicon")
+
+oracle("english_review_sentiment",
+       TEXT.replace("  FROM fx_reviews),\ncr AS", "  FROM fx_reviews WHERE lang = 'en'),\ncr AS")
+       + "\nSELECT order_id, review_score, sentiment_score, sentiment FROM sc", "fx_reviews", "fx_lexicon")
