@@ -52,7 +52,6 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None
     way on every run.  Range partition membership is fixed by a reliable
     checkpoint before the per-partition offsets are derived from it.
     """
-    n = _num_partitions(df, num_partitions)
     w = weight
     if w is None:
         w = "_w1"
@@ -60,7 +59,10 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None
     else:
         df = df.withColumn(w, F.coalesce(F.col(w).cast("bigint"), F.lit(0).cast("bigint")))
     order_cols = _cols(order)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may coalesce the range partitions; coalesced
+    # partitions are contiguous key ranges, so partition order stays key order
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols)).sortWithinPartitions(*order_cols)
     schema = StructType(list(ranged.schema.fields) + [
         StructField("_pid", IntegerType(), False), StructField("_local", LongType(), False)])
     wname = w

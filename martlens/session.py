@@ -47,21 +47,29 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder.
 
-    Read from the session (``spark.checkpoint.dir`` / the context's directory);
-    only when the session has none (local tests) is a private one created.
+    Read from the session (the context's checkpoint directory, else
+    ``spark.checkpoint.dir``); only when the session has none and runs in
+    local mode (tests) is a private one created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote sessions have no context object)
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        master = sc.master or ""
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required on a cluster")
         configured = tempfile.mkdtemp(prefix="martlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
