@@ -233,9 +233,15 @@ def positive_probability(scored: DataFrame) -> Column:
     return vector_to_array(F.col("probability")).getItem(1)
 
 
+def stable_layout(df: DataFrame, key: str = KEY, partitions: int = 8) -> DataFrame:
+    """Hash partitions on the id, sorted inside: the same input layout on every
+    run, so seeded bootstrap / subsampling in the estimators repeats exactly."""
+    return df.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def fit_models(split: DataFrame, features: Sequence[str] = FEATURES) -> dict:
     """M3-M6: fit the three estimators on the train part (driver loop; Spark jobs)."""
-    train = class_weights(split.where(F.col("part") == "train"))
+    train = stable_layout(class_weights(split.where(F.col("part") == "train")))
     n_train = train.count()
     fitted = {}
     for name, est in _models(n_train, features).items():
@@ -260,7 +266,7 @@ def cv_auc(m: DataFrame, features: Sequence[str] = FEATURES, k: int = 5, paralle
 
     def one(name_fold):
         name, f = name_fold
-        train = folded.where(F.col("fold") != f)
+        train = stable_layout(folded.where(F.col("fold") != f))
         test = folded.where(F.col("fold") == f)
         est = _models(total - sizes.get(f, 0), features)[name]
         pred = score(est.fit(train), test).withColumnRenamed("churn", "label")

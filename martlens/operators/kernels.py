@@ -25,6 +25,11 @@ from ..functions.columns import md5_key
 from ..session import cut_lineage
 
 BROADCAST_MAX_ROWS = 1_000_000
+# Adaptive thresholds (checked with a count first, like a broadcast threshold):
+# at or below them one task may hold the whole state; above them the
+# distributed kernels run.  Tests force the distributed path with ``force=True``.
+SINGLE_TASK_ORDER_ROWS = 100_000
+SINGLE_TASK_QUANTILE_VALUES = 1_000_000
 
 
 def _cols(cs) -> list[Column]:
@@ -37,14 +42,32 @@ def _num_partitions(df: DataFrame, requested: int | None = None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_ROW_COUNTS: dict[tuple, int] = {}
+
+
+def _plan_key(df: DataFrame):
+    try:
+        return (df.sparkSession.sparkContext.applicationId, df._jdf.queryExecution().analyzed().semanticHash())
+    except Exception:  # noqa: BLE001  (no JVM handle: do not cache)
+        return None
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked; beyond it the planner's join is kept."""
-    n = df.count()
+    """Broadcast hint only after the row count is checked; beyond it the planner's join is kept.
+
+    The count of a given plan is remembered for the session, so a code list
+    reused by many queries is counted once."""
+    key = _plan_key(df)
+    n = _ROW_COUNTS.get(key) if key is not None else None
+    if n is None:
+        n = df.count()
+        if key is not None:
+            _ROW_COUNTS[key] = n
     return F.broadcast(df) if n <= max_rows else df
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None = None,
-               out: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
+               out: str = "cum_before", num_partitions: int | None = None, force: bool = False) -> DataFrame:
     """Adds ``out`` = sum of ``weight`` (1 per row when None) over all rows strictly
     before each row in the global ``order``.
 
@@ -59,6 +82,11 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None
     else:
         df = df.withColumn(w, F.coalesce(F.col(w).cast("bigint"), F.lit(0).cast("bigint")))
     order_cols = _cols(order)
+    if not force and df.count() <= SINGLE_TASK_ORDER_ROWS:
+        # checked small: one ordered window in one task is cheaper than the kernel's jobs
+        w_before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        res = df.withColumn(out, F.coalesce(F.sum(w).over(w_before), F.lit(0)).cast("bigint"))
+        return res.drop("_w1") if weight is None else res
     # without an explicit count AQE may coalesce the range partitions; coalesced
     # partitions are contiguous key ranges, so partition order stays key order
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
@@ -92,9 +120,10 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "row_number",
-                      num_partitions: int | None = None) -> DataFrame:
-    """1-based position in a global total order, without a single-partition window."""
-    r = prefix_sum(df, order, None, "_before", num_partitions)
+                      num_partitions: int | None = None, force: bool = False) -> DataFrame:
+    """1-based position in a global total order, without a single-partition window
+    beyond the checked small case."""
+    r = prefix_sum(df, order, None, "_before", num_partitions, force)
     return r.withColumn(out, F.col("_before") + F.lit(1)).drop("_before")
 
 
@@ -106,7 +135,8 @@ def _value_counts(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, num_partitions: int | None = None,
+                    force: bool = False) -> DataFrame:
     """Linear-interpolation quantiles (NumPy 'linear', SQL percentile / quantile_cont)
     of ``col`` per group of ``by``; one row per group, one column per probability.
 
@@ -116,7 +146,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     vc = _value_counts(df, col, by)
-    cum = prefix_sum(vc, [*by, "_v"], "_cnt", "_before", num_partitions)
+    if not force and vc.count() <= SINGLE_TASK_QUANTILE_VALUES:
+        # checked small: the value->count map of each group fits one task
+        q = vc.groupBy(*by).agg(F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_cnt")).alias("_q"))
+        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    cum = prefix_sum(vc, [*by, "_v"], "_cnt", "_before", num_partitions, force=True)
     if by:
         g = cum.groupBy(*by).agg(F.min("_before").alias("_g0"), F.sum("_cnt").alias("_n"))
         cum = cum.join(g, by).withColumn("_before", F.col("_before") - F.col("_g0"))
