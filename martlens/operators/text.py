@@ -120,12 +120,27 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     return d.withColumn(out, score).drop("_wb", "_nb", "_tok", "_f", "_but")
 
 
+def filter_stopwords(df: DataFrame, text: str = "clean_comment", out: str = "filtered_text",
+                     min_len: int = 3) -> DataFrame:
+    """Words not in the stopword list (hash-set lookups in the JVM
+    transformer) and at least ``min_len`` letters, joined by blanks."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    from ..functions.text import DOMAIN_STOPWORDS, ENGLISH_STOPWORDS
+
+    rm = StopWordsRemover(inputCol="_words", outputCol="_kept", caseSensitive=True,
+                          stopWords=ENGLISH_STOPWORDS + DOMAIN_STOPWORDS)
+    w = rm.transform(df.withColumn("_words", words(F.col(text))))
+    kept = F.filter(F.col("_kept"), lambda x: F.length(x) >= min_len)
+    return w.withColumn(out, F.array_join(kept, " ")).drop("_words", "_kept")
+
+
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, lang: str | None = None) -> DataFrame:
     """Cleaned, scored, classed and stopword-filtered comments."""
     c = clean_reviews(reviews, lang=lang)
     s = lexicon_sentiment(c, lexicon)
-    return (s.withColumn("sentiment", sentiment_class(F.col("sentiment_score")))
-            .withColumn("filtered_text", stopword_filter(F.col("clean_comment"))))
+    s = s.withColumn("sentiment", sentiment_class(F.col("sentiment_score")))
+    return filter_stopwords(s)
 
 
 def sentiment_by_score(scored: DataFrame) -> DataFrame:
