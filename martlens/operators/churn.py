@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_key, md5_unit, money, whole_days
 from .clean import impute_median
-from .kernels import exact_median_columns, global_row_number, histogram, prefix_sum
+from .kernels import exact_median_columns, global_row_number, histogram, prefix_sum, with_row
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -39,8 +39,7 @@ def churn_labels(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: s
 def churn_rate(labels: DataFrame) -> DataFrame:
     """Customers per class with the overall churn rate (%)."""
     c = labels.groupBy("churn").agg(F.count(F.lit(1)).cast("bigint").alias("customers"))
-    r = labels.agg(F.round(F.avg("churn") * 100.0, 6).alias("churn_rate_pct"))
-    return c.crossJoin(F.broadcast(r))
+    return c.withColumn("churn_rate_pct", labels.agg(F.round(F.avg("churn") * 100.0, 6)).scalar())
 
 
 def _mean(c: str, dec: bool = False) -> Column:
@@ -136,11 +135,11 @@ def roc_points(pred: DataFrame, score: str = "score", label: str = "label") -> D
     cp = prefix_sum(desc, ["_desc"], "_p", "_p_before")
     cn = prefix_sum(cp, ["_desc"], "_neg_cnt", "_n_before")
     tot = sc.agg(F.sum("_p").alias("_tot_pos"), F.sum("_neg_cnt").alias("_tot_neg"))
-    j = cn.crossJoin(F.broadcast(tot))
+    j = with_row(cn, tot)
     pts = j.select(F.col("_s").alias("threshold"),
                    F.round((F.col("_n_before") + F.col("_neg_cnt")) / F.col("_tot_neg"), 6).alias("fpr"),
                    F.round((F.col("_p_before") + F.col("_p")) / F.col("_tot_pos"), 6).alias("tpr"))
-    start = tot.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = sc.agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
@@ -222,8 +221,8 @@ def _models(n_train: int, features: Sequence[str]):
 def class_weights(m: DataFrame, label: str = "churn") -> DataFrame:
     """'balanced' weights n / (2 n_class) as a column w."""
     c = m.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    t = m.agg(F.count(F.lit(1)).alias("_nt"))
-    w = c.crossJoin(t).select(label, (F.col("_nt") / (2.0 * F.col("_nc"))).alias("w"))
+    nt = m.agg(F.count(F.lit(1))).scalar()
+    w = c.select(label, (nt / (2.0 * F.col("_nc"))).alias("w"))
     return m.join(F.broadcast(w), label)
 
 

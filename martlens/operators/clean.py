@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.columns import whole_days
 from ..session import checkpoint_dir
-from .kernels import exact_quantiles
+from .kernels import exact_quantiles, with_row
 
 DATE_COLS = ["order_purchase_timestamp", "order_approved_at", "order_delivered_customer_date",
              "order_estimated_delivery_date"]
@@ -33,8 +33,8 @@ def parse_timestamps(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def dedup_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """C2 report: rows before and after the full-row distinct, and removed."""
     b = before.agg(F.count(F.lit(1)).cast("bigint").alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).cast("bigint").alias("rows_after"))
-    return b.crossJoin(a).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
+    return (b.withColumn("rows_after", after.agg(F.count(F.lit(1)).cast("bigint")).scalar())
+            .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def only_status(df: DataFrame, status: str = "delivered") -> DataFrame:
 def cap_at_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep rows with col <= its q-quantile (exact, linear), per group of ``by``."""
     edge = exact_quantiles(df, col, [q], by=by, names=["_edge"])
-    j = df.crossJoin(F.broadcast(edge)) if not by else df.join(F.broadcast(edge), list(by))
+    j = with_row(df, edge) if not by else df.join(F.broadcast(edge), list(by))
     return j.where(F.col(col) <= F.col("_edge")).drop("_edge")
 
 
 def clip_at_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """C17: winsorise col at its q-quantile per group (values above become the edge)."""
     edge = exact_quantiles(df, col, [q], by=by, names=["_edge"])
-    j = df.crossJoin(F.broadcast(edge)) if not by else df.join(F.broadcast(edge), list(by))
+    j = with_row(df, edge) if not by else df.join(F.broadcast(edge), list(by))
     return j.withColumn(col, F.least(F.col(col).cast("double"), F.col("_edge"))).drop("_edge")
 
 
@@ -93,7 +93,7 @@ def between_days(df: DataFrame, col: str = "delivery_days", lo: int = 0, hi: int
 def impute_median(df: DataFrame, cols: Sequence[str], medians: DataFrame) -> DataFrame:
     """Nulls of each column replaced by the one-row ``medians`` frame's value."""
     m = medians.select(*[F.col(c).alias(f"_med_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(m))
+    j = with_row(df, m)
     for c in cols:
         j = j.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")))
     return j.drop(*[f"_med_{c}" for c in cols])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int, md5_key
 from ..functions.stats import Z_ALPHA_975, Z_POWER_80, chi2_1df_sf, normal_sf, t_two_sided_p
-from .kernels import box_stats, exact_quantiles, global_row_number, histogram
+from .kernels import box_stats, exact_quantiles, global_row_number, histogram, with_row
 
 KEY = "customer_unique_id"
 ROW_KEYS = ["order_id", "order_item_id", "product_id", "payment_sequential"]
@@ -39,9 +39,8 @@ def assign_arms(ids: DataFrame, salt: str = SALT_ARM, key: str = KEY) -> DataFra
     (an exact-size draw without replacement), treatment 'B' = the rest."""
     u = ids.select(key).distinct()
     ranked = global_row_number(u.withColumn("_h", md5_key(salt, key)), ["_h", key], "_rn")
-    n = u.agg(F.count(F.lit(1)).alias("_n"))
-    control = (ranked.crossJoin(F.broadcast(n)).where(F.col("_rn") <= F.floor(F.col("_n") / 2))
-               .select(key))
+    n = u.agg(F.count(F.lit(1))).scalar()
+    control = ranked.where(F.col("_rn") <= F.floor(n / 2)).select(key)
     treatment = arm_complement(u, control, key)
     return control.withColumn("arm", F.lit("A")).unionByName(treatment.withColumn("arm", F.lit("B")))
 
@@ -74,9 +73,9 @@ def inject_orders(control_rows: DataFrame, treatment_ids: DataFrame, fraction: f
     md5(row key) mod (number of treatment ids); ids numbered by a global rank."""
     picked = sample_fraction_rows(control_rows, fraction, salt_pick)
     numbered = global_row_number(treatment_ids.select(key), [key], "_tn").withColumn("_tn", F.col("_tn") - 1)
-    nt = treatment_ids.agg(F.count(F.lit(1)).alias("_nt"))
-    picked = picked.crossJoin(F.broadcast(nt)).withColumn("_tn", F.pmod(md5_int(salt_target, *ROW_KEYS), F.col("_nt")))
-    return (picked.drop(key, "_nt").join(numbered, "_tn").drop("_tn")
+    nt = treatment_ids.agg(F.count(F.lit(1))).scalar()
+    picked = picked.withColumn("_tn", F.pmod(md5_int(salt_target, *ROW_KEYS), nt))
+    return (picked.drop(key).join(numbered, "_tn").drop("_tn")
             .withColumn("arm", F.lit("B")).withColumn("origin", F.lit("injected")))
 
 
@@ -256,7 +255,7 @@ def ab_summary(rows: DataFrame, arms: DataFrame) -> DataFrame:
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(p)
+        out = with_row(out, p)
     launch = (F.col("p_conv") < ALPHA) & (F.col("p_aov") < ALPHA)
     return out.withColumn("launch", launch)
 
@@ -282,6 +281,6 @@ def order_value_histogram(rows: DataFrame, bins: int = 40, q: float = 0.99) -> D
 def revenue_box_stats(cust: DataFrame, q: float = 0.98) -> DataFrame:
     """A27 (U4): revenue per customer, rows above the q-quantile of both arms dropped, box numbers per arm."""
     v = cust.withColumn("revenue", F.col("cents") / F.lit(100.0))
-    edge = exact_quantiles(v, "revenue", [q], names=["_edge"])
-    kept = v.crossJoin(F.broadcast(edge)).where(F.col("revenue") <= F.col("_edge")).drop("_edge")
+    edge = exact_quantiles(v, "revenue", [q], names=["_edge"]).select("_edge").scalar()
+    kept = v.where(F.col("revenue") <= edge)
     return box_stats(kept, "revenue", by=["arm"])

@@ -32,6 +32,17 @@ SINGLE_TASK_ORDER_ROWS = 100_000
 SINGLE_TASK_QUANTILE_VALUES = 1_000_000
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct-valued scalar subquery (computed once, no join)."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row")).scalar()
+
+
+def with_row(df: DataFrame, row_df: DataFrame) -> DataFrame:
+    """Adds every column of a one-row frame to ``df`` as scalar values."""
+    r = one_row(row_df)
+    return df.withColumns({c: r[c] for c in row_df.columns})
+
+
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -155,8 +166,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         g = cum.groupBy(*by).agg(F.min("_before").alias("_g0"), F.sum("_cnt").alias("_n"))
         cum = cum.join(g, by).withColumn("_before", F.col("_before") - F.col("_g0"))
     else:
-        g = cum.agg(F.sum("_cnt").alias("_n"))
-        cum = cum.crossJoin(F.broadcast(g))
+        cum = cum.withColumn("_n", cum.agg(F.sum("_cnt")).scalar())
     aggs = [F.first("_n").alias("_n")]
     end = F.col("_before") + F.col("_cnt")
     for i, p in enumerate(probs):
@@ -202,7 +212,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), densit
         stats = stats.select(*by, "_n",
                              F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                              F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    joined = v.crossJoin(F.broadcast(stats)) if not by else v.join(F.broadcast(stats), by)
+    joined = with_row(v, stats) if not by else v.join(F.broadcast(stats), by)
     b = F.least(F.floor(F.lit(float(bins)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
                 F.lit(bins)).cast("bigint")
     counts = joined.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -227,7 +237,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr")).withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr"))
     v = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    j = v.crossJoin(F.broadcast(q)) if not by else v.join(F.broadcast(q), by)
+    j = with_row(v, q) if not by else v.join(F.broadcast(q), by)
     inside = (F.col("_v") >= F.col("fence_lo")) & (F.col("_v") <= F.col("fence_hi"))
     agg = j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -235,7 +245,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
         F.sum(F.when(~inside, 1).otherwise(0)).cast("bigint").alias("outliers"),
     )
-    out = agg.join(q, by) if by else agg.crossJoin(q)
+    out = agg.join(q, by) if by else with_row(agg, q)
     return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in
                                   ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]], "outliers")
 

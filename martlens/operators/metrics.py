@@ -73,8 +73,8 @@ def label_counts(df: DataFrame, col: str, out: str = "count", share: bool = True
     """A10: rows per label (null labels dropped), count descending, with percent share."""
     c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias(out))
     if share:
-        tot = c.agg(F.sum(out).alias("_tot"))
-        c = c.crossJoin(F.broadcast(tot)).withColumn("share_pct", F.round(F.col(out) * 100.0 / F.col("_tot"), 6)).drop("_tot")
+        tot = c.agg(F.sum(out)).scalar()
+        c = c.withColumn("share_pct", F.round(F.col(out) * 100.0 / tot, 6))
     return c.orderBy(F.desc(out), col)
 
 

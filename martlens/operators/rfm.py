@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, whole_days
-from .kernels import exact_quantiles, global_row_number
+from .kernels import exact_quantiles, global_row_number, with_row
 
 TS = "order_purchase_timestamp"
 QUINTILE_EDGES = [0.2, 0.4, 0.6, 0.8]
@@ -37,7 +37,7 @@ def quantile_score(df: DataFrame, col: str, out: str, n: int = 5, reverse: bool
     instead of failing.  ``reverse`` labels n..1."""
     probs = [i / n for i in range(1, n)]
     edges = exact_quantiles(df, col, probs, names=[f"_e{i}" for i in range(len(probs))])
-    j = df.crossJoin(F.broadcast(edges))
+    j = with_row(df, edges)
     b = F.lit(1)
     for i in range(len(probs)):
         b = b + F.when(F.col(col).cast("double") > F.col(f"_e{i}"), 1).otherwise(0)
@@ -50,8 +50,7 @@ def first_rank_score(df: DataFrame, col: str, out: str, tiebreak: Sequence[str],
     falls in bin 1 if r = 1, else ceil(n (r - 1) / (m - 1)).  Ties in ``col``
     are ordered by ``tiebreak`` (ascending customer id)."""
     ranked = global_row_number(df, [col, *tiebreak], "_r")
-    m = ranked.agg(F.count(F.lit(1)).alias("_m"))
-    j = ranked.crossJoin(F.broadcast(m))
+    j = ranked.withColumn("_m", ranked.agg(F.count(F.lit(1))).scalar())
     r, cnt = F.col("_r"), F.col("_m")
     bin_ = F.when((r == 1) | (cnt <= 1), F.lit(1)).otherwise(
         F.floor((F.lit(n) * (r - 1) + cnt - 2) / (cnt - 1)))

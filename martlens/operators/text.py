@@ -80,6 +80,9 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     along as one broadcast row.
     """
     toks = F.filter(words(F.col(text)), lambda w: F.length(w) > 1)
+    # The one-row, size-checked word table rides along as a broadcast (fetched
+    # once per executor); as a scalar literal it would be serialised into every
+    # task.  One row on the build side: no pairs are formed.
     d = df.crossJoin(F.broadcast(word_lookup_row(lexicon))).withColumn("_tok", toks)
     wb, nb = F.col("_wb"), F.col("_nb")
 
@@ -183,18 +186,17 @@ def vocabulary(scored: DataFrame, size: int = 1000, min_df: int = 5, max_df: flo
     most ``max_df`` of them, the ``size`` most frequent (term asc on ties),
     with their 0-based index."""
     docs = scored.select(F.col(key).alias("_doc"), words(F.col(text)).alias("_w"))
-    n_docs = scored.agg(F.count(F.lit(1)).alias("_nd"))
+    n_docs = scored.agg(F.count(F.lit(1))).scalar()
     tf = docs.select("_doc", F.explode("_w").alias("term")).groupBy("term", "_doc").agg(F.count(F.lit(1)).alias("_c"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("doc_freq"),
                                    F.sum("_c").cast("bigint").alias("term_count"))
-    kept = stats.crossJoin(F.broadcast(n_docs)).where(
-        (F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= F.lit(max_df) * F.col("_nd")))
+    kept = stats.where((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= F.lit(max_df) * n_docs))
     top = kept.orderBy(F.desc("term_count"), F.asc("term")).limit(size)
     from pyspark.sql import Window
 
     # at most ``size`` rows: a bounded window
     return top.withColumn("term_index", (F.row_number().over(
-        Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1).cast("bigint")).drop("_nd")
+        Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1).cast("bigint"))
 
 
 
