@@ -38,9 +38,12 @@ def one_row(df: DataFrame) -> Column:
 
 
 def with_row(df: DataFrame, row_df: DataFrame) -> DataFrame:
-    """Adds every column of a one-row frame to ``df`` as scalar values."""
-    r = one_row(row_df)
-    return df.withColumns({c: r[c] for c in row_df.columns})
+    """Adds every column of a one-row frame to ``df`` as scalar values.
+
+    The struct is projected once and its fields read from that column; reading
+    fields straight off the subquery would run it once per field."""
+    out = df.withColumn("_row", one_row(row_df))
+    return out.withColumns({c: F.col("_row")[c] for c in row_df.columns}).drop("_row")
 
 
 def _cols(cs) -> list[Column]:
