@@ -78,14 +78,21 @@ def customer_features(fact: DataFrame, snapshot: dt.datetime, key: str = KEY) ->
 
 
 def churn_matrix(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: str = KEY,
-                 exclude: Sequence[str] = ()) -> DataFrame:
+                 exclude: Sequence[str] = (), fit_on: str = "all") -> DataFrame:
     """J3 + C16 + M1 input: features joined to labels, every feature's nulls
-    filled with its exact median over all customers."""
+    filled with its exact median.  ``fit_on='all'`` takes the medians over all
+    customers as the source does (test rows included); ``'train'`` takes them
+    over the training part of ``stratified_split`` only."""
     feats = customer_features(fact, snapshot, key)
     labels = churn_labels(fact, snapshot, days, key).select(key, "churn")
     m = feats.join(labels, key)
     cols = [c for c in FEATURES if c not in exclude]
-    med = exact_median_columns(m, cols)
+    basis = m
+    if fit_on == "train":
+        basis = stratified_split(m, key=key).where(F.col("part") == "train")
+    elif fit_on != "all":
+        raise ValueError("fit_on is 'all' or 'train'")
+    med = exact_median_columns(basis, cols)
     m = impute_median(m, cols, med)
     return m.select(key, *[F.round(c, 6).alias(c) for c in cols], "churn")
 

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+Every input of the reference is a whole file read once; it has no stream
+source, watermark, window or state, so there is no streaming operator to
+rebuild.  A batch stage of this package can be pointed at a Structured
+Streaming micro-batch (``foreachBatch``) without change, because every
+operator is DataFrame in / DataFrame out with no actions inside.
+"""

@@ -48,3 +48,16 @@ def test_topics(spark):
     dom = E.queries()["dominant_topic"](spark, SF_SMALL)
     assert dom.where((F.col("topic") < 0) | (F.col("topic") > 4)).count() == 0
     assert dom.count() == E.queries()["review_sentiment"](spark, SF_SMALL).count()
+
+
+def test_median_fill_on_train_only_and_leak_exclusion(spark):
+    from martlens.operators.churn import FEATURES, churn_matrix
+    from martlens.plans.context import context
+    from martlens.sources.fixtures import SNAPSHOT
+
+    fact = context(spark, SF_SMALL).fact()
+    a = churn_matrix(fact, SNAPSHOT, fit_on="train")
+    assert a.count() == churn_matrix(fact, SNAPSHOT).count()
+    assert a.where(F.col("avg_delivery_days").isNull()).count() == 0
+    b = churn_matrix(fact, SNAPSHOT, exclude=["recency"])
+    assert "recency" not in b.columns and len(b.columns) == len(FEATURES) + 1
