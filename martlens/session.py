@@ -24,6 +24,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _driver_memory() -> str:
+    """Local-mode heap: about 60 % of physical memory, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gb = max(1, min(16, int(total * 0.6 / 2**30)))
+    except (ValueError, OSError, AttributeError):
+        gb = 4
+    return f"{gb}g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "martlens") -> SparkSession:
     """Local session for tests and the bench.  On a cluster, use the cluster's session."""
     master = master or os.environ.get("MARTLENS_MASTER", "local[8]")
@@ -34,7 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
