@@ -16,10 +16,11 @@ def monthly_revenue(fact: DataFrame) -> DataFrame:
             .agg(F.sum(money("price")).cast("double").alias("revenue")))
 
 
-def monthly_orders(fact: DataFrame) -> DataFrame:
-    """A2: distinct orders per purchase month."""
-    return (fact.groupBy(month_label(TS).alias("month"))
-            .agg(F.countDistinct("order_id").cast("bigint").alias("orders")))
+def monthly_orders(fact: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """A2: distinct orders per purchase month (exact; ``approx=True`` uses the
+    HyperLogLog++ sketch with relative error ``rsd``, a fixed-size state)."""
+    n = F.approx_count_distinct("order_id", rsd) if approx else F.countDistinct("order_id")
+    return fact.groupBy(month_label(TS).alias("month")).agg(n.cast("bigint").alias("orders"))
 
 
 def rows_by_weekday(fact: DataFrame) -> DataFrame:

@@ -61,3 +61,27 @@ def test_median_fill_on_train_only_and_leak_exclusion(spark):
     assert a.where(F.col("avg_delivery_days").isNull()).count() == 0
     b = churn_matrix(fact, SNAPSHOT, exclude=["recency"])
     assert "recency" not in b.columns and len(b.columns) == len(FEATURES) + 1
+
+
+def test_exact_auc_agrees_with_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from martlens.operators.churn import auc, fixed_score
+    from martlens.plans.catalog import churn_table
+
+    p = fixed_score(churn_table(spark, SF_SMALL))
+    ours = auc(p).first()[0]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0)
+    theirs = ev.evaluate(p.withColumn("label", F.col("label").cast("double")))
+    assert math.isclose(ours, theirs, abs_tol=1e-6)
+
+
+def test_approximate_monthly_orders_close_to_exact(spark):
+    from martlens.operators.metrics import monthly_orders
+    from martlens.plans.context import context
+
+    fact = context(spark, SF_SMALL).fact()
+    exact = {r["month"]: r["orders"] for r in monthly_orders(fact).collect()}
+    approx = {r["month"]: r["orders"] for r in monthly_orders(fact, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[m] - exact[m]) <= max(1, 0.05 * exact[m]) for m in exact)
