@@ -74,13 +74,13 @@ QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_fingerprints, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_warc_normaliser,
     op7_secret_scan, op8_toxicity, op9_minhash_near_dup, op10_substring_dedup)}
 
-_WORDS = r"list_filter(string_split_regex(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE = {
     "op9_minhash_near_dup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, unnest(s) AS h FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b
