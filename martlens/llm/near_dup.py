@@ -4,8 +4,8 @@
    ``ROWS x BANDS`` minima, the band keys of the full minima, and the packed
    low ``BITS`` of every minimum.
 2. Classes that share a band key are candidates.  The similarity of a candidate pair is
-   estimated by counting equal b-bit values, corrected for chance agreement;
-   pairs far below the limit and pairs whose sizes exclude the limit are left out.
+   estimated by counting equal b-bit values (bit counts over packed planes, inside the join), corrected
+   for chance agreement; pairs far below the limit and pairs whose sizes exclude it are left out.
 3. What remains is confirmed on the full shingle sets.
 
 Large groups are never paired all with all.  In star rounds every class of a
@@ -25,25 +25,29 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bound_batches, cut_lineage, rows_to_batch, shingle_hashes, texts_of
 
-ROWS, BANDS, BITS = 4, 32, 8
+ROWS, BANDS, BITS = 4, 32, 4
 HASHES = ROWS * BANDS
 _RNG = np.random.default_rng(977)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+#: Fine sketch of the classes that stay open after the star rounds: more hash functions, one bit of each.
+FINE = 1024
+_FINE_MUL = _RNG.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_ADD = _RNG.integers(0, 1 << 63, FINE, dtype=np.uint64)
 LIMIT = 75  # per cent
-#: A pair is left out if its estimate is this many standard deviations below the limit (128 values: 0.038 each).
-SLACK = 6.0
-STAR_ROUNDS = 3
+#: A pair is left out if its estimate is this many standard deviations below the limit.
+SLACK = 4.0
+STAR_ROUNDS = 2
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     """The least value of each hash function over a set, in bounded steps."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     step = 4096
     for i in range(0, len(s), step):
         c = s[i:i + step]
-        for k in range(0, HASHES, 16):
-            h = c[None, :] * _MUL[k:k + 16, None] + _ADD[k:k + 16, None]
+        for k in range(0, len(mul), 16):
+            h = c[None, :] * mul[k:k + 16, None] + add[k:k + 16, None]
             h ^= h >> np.uint64(29)
             np.minimum(out[k:k + 16], h.min(axis=1), out=out[k:k + 16])
     return out
@@ -58,8 +62,10 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def packed(m: np.ndarray) -> bytes:
-    return (m & np.uint64((1 << BITS) - 1)).astype(np.uint8).tobytes()
+def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits as bit planes of 64-bit words: the lowest bits of all minima, then the next."""
+    planes = [np.packbits(((m >> np.uint64(j)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for j in range(bits)]
+    return np.concatenate(planes)
 
 
 def set_of(data: bytes, cache: WordHashes) -> np.ndarray:
@@ -75,7 +81,7 @@ def set_key(s: np.ndarray) -> str:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, _row, n_shingles, key, bands, sig); key, bands and sig are null without words."""
     out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()),
-                     ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+                     ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
@@ -87,36 +93,47 @@ def signatures(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, 0, None, None, None))
                     continue
                 m = minima(s)
-                rows.append((doc_id, len(s), set_key(s), band_keys(m).tolist(), packed(m)))
+                rows.append((doc_id, len(s), set_key(s), band_keys(m).tolist(), packed(m).tolist()))
             yield rows_to_batch(rows, out)
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key string, bands array<long>, sig binary")
+        run, "doc_id long, n_shingles long, key string, bands array<long>, sig array<long>")
 
 
-def estimate(a: bytes, b: bytes) -> float:
+def estimate(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> float:
     """Similarity by the count of equal b-bit values, corrected for chance agreement."""
-    same = float(np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)))
-    c = 2.0 ** -BITS
-    return (same - c) / (1.0 - c)
-
-
-def plausible(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, n_a, n_b, sig_a, sig_b) -> (a, b) that can reach the limit."""
-    least = LIMIT / 100 - SLACK * (0.25 * 0.75 / HASHES) ** 0.5
-    out = pa.schema([("a", pa.string()), ("b", pa.string())])
-    sized = pairs.where(100 * F.least("n_a", "n_b") >= LIMIT * F.greatest("n_a", "n_b"))
+    n, chance = len(a) * 64 // bits, 2.0 ** -bits
+    differ = np.bitwise_or.reduce((a ^ b).reshape(bits, -1)).view(np.uint64)
+    return ((n - int(np.bitwise_count(differ).sum())) / n - chance) / (1.0 - chance)
+
+
+def can_reach(n_a: Column, sig_a: Column, n_b: Column, sig_b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
+    """Whether the sizes allow the limit and the estimate is not far below it; bit counts, inside the join."""
+    words, chance = hashes // 64, 2.0 ** -bits
+    rate = LIMIT / 100 * (1.0 - chance) + chance  # of equal values at the limit
+    least = rate - SLACK * (rate * (1.0 - rate) / hashes) ** 0.5
+    equal = None
+    for w in range(words):
+        differ = None
+        for j in range(bits):
+            x = sig_a[j * words + w].bitwiseXOR(sig_b[j * words + w])
+            differ = x if differ is None else differ.bitwiseOR(x)
+        c = 64 - F.bit_count(differ)
+        equal = c if equal is None else equal + c
+    return (100 * F.least(n_a, n_b) >= LIMIT * F.greatest(n_a, n_b)) & (equal >= int(np.floor(hashes * least)))
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(key, fine): one bit of each of FINE minima of a full set."""
+    out = pa.schema([("key", pa.string()), ("fine", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            c = 2.0 ** -BITS
-            est = ((sa == sb).mean(axis=1) - c) / (1.0 - c)
-            yield batch.select(["a", "b"]).filter(pa.array(est >= least))
+        for b in batches:
+            yield rows_to_batch([(k, packed(minima(np.frombuffer(s, np.uint64), _FINE_MUL, _FINE_ADD), 1).tolist())
+                                 for k, s in zip(b.column("key").to_pylist(), b.column("s").to_pylist())], out)
 
-    bound_batches(pairs.sparkSession, rows=2048)
-    return sized.mapInArrow(run, out_ddl(out)).distinct()
+    return sets.mapInArrow(run, "key string, fine array<long>")
 
 
 def out_ddl(schema: pa.Schema) -> str:
@@ -204,48 +221,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = cut_lineage(member.join(shared, ["band", "bucket"]), "near-members")
     # the class that shares most buckets with others is the likeliest original of its copies: it leads in round 0
     degree = member.groupBy("key").agg(F.sum("c").alias("degree"))
-    member = cut_lineage(member.select("band", "bucket", "key").join(degree, "key"), "near-ranked")
-    info = reps.select("key", "n", "sig")
-    judged = None  # pairs compared so far
-    label = None  # (node, label): components so far
-    links = None
-    known = None  # sets read so far
+    member = cut_lineage(member.select("band", "bucket", "key").join(
+        degree.join(reps.select("key", "n", "sig"), "key"), "key"), "near-ranked")
+    judged = label = links = known = None  # pairs compared, components, confirmed links and sets read so far
     for step in range(STAR_ROUNDS + 1):
-        m = member
-        if label is None:
-            m = m.withColumn("label", F.col("key"))
-        else:
-            m = m.join(label, m["key"] == label["node"], "left").select("band", "bucket", "key", "degree", F.coalesce("label", "key").alias("label"))
+        m = member.withColumn("label", F.col("key")) if label is None else member.join(
+            label, member["key"] == label["node"], "left").withColumn("label", F.coalesce("label", "key"))
         lead = F.struct(-F.col("degree"), F.col("key")) if step == 0 else F.struct(F.xxhash64("label", F.lit(step)), F.col("key"))
-        bucket = m.groupBy("band", "bucket").agg(F.min_by(F.struct("label", "key"), lead).alias("head"), F.min("label").alias("one"), F.max("label").alias("most"))
-        open_ = bucket.where(F.col("one") != F.col("most")).select("band", "bucket", F.col("head.label").alias("top"), F.col("head.key").alias("head"))
-        inside = m.join(open_, ["band", "bucket"])
+        bucket = m.groupBy("band", "bucket").agg(F.min_by(F.struct("label", "key", "n", "sig"), lead).alias("head"),
+                                                 F.min("label").alias("one"), F.max("label").alias("most"))
+        open_ = bucket.where(F.col("one") != F.col("most")).select("band", "bucket", "head")
         if step < STAR_ROUNDS:
-            cand = inside.where(F.col("label") != F.col("top")).select(F.col("key").alias("a"), F.col("head").alias("b"))
+            cand = m.join(open_, ["band", "bucket"]).where(
+                (F.col("label") != F.col("head.label"))
+                & can_reach(F.col("n"), F.col("sig"), F.col("head.n"), F.col("head.sig"))).select(
+                F.col("key").alias("a"), F.col("head.key").alias("b"))
         else:
-            inside = cut_lineage(inside.select("band", "bucket", "key", "label"), "near-open")
-            other = inside.select("band", "bucket", F.col("key").alias("key2"), F.col("label").alias("label2"))
-            cand = inside.join(other, ["band", "bucket"]).where(F.col("label") < F.col("label2")).select(
-                F.col("key").alias("a"), F.col("key2").alias("b"))
+            inside = cut_lineage(m.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "key", "label", "n", "sig"), "near-inside")
+            x, y = inside.alias("x"), inside.alias("y")
+            # only rows with a partner in their bucket that the coarse estimate allows
+            inside = cut_lineage(x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
+                                        & (F.col("x.label") != F.col("y.label"))
+                                        & can_reach(F.col("x.n"), F.col("x.sig"), F.col("y.n"), F.col("y.sig")), "left_semi").drop("sig"), "near-partnered")
+            keys = cut_lineage(inside.select("key").distinct(), "near-open-keys")
+            fresh = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys if known is None else keys.join(
+                known.select("key"), "key", "left_anti")), "near-sets")
+            known = fresh if known is None else known.unionByName(fresh)
+            inside = cut_lineage(inside.join(fine_sketches(known.join(keys, "key")), "key"), "near-open")
+            x, y = inside.alias("x"), inside.alias("y")
+            cand = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
+                          & (F.col("x.label") < F.col("y.label"))
+                          & can_reach(F.col("x.n"), F.col("x.fine"), F.col("y.n"), F.col("y.fine"), FINE, 1)).select(
+                F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
             cand = cand.join(judged, ["a", "b"], "left_anti")
-        full = cand.join(info.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a") \
-            .join(info.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-        pairs = cut_lineage(plausible(full), "near-pairs")
+        pairs = cut_lineage(cand, "near-pairs")
         if pairs.isEmpty():
-            if step < STAR_ROUNDS:
-                continue
-            break
+            continue
         judged = pairs if judged is None else judged.unionByName(pairs)
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        if known is not None:
-            keys = keys.join(known.select("key"), "key", "left_anti")
-        sets = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys), "near-sets")
-        known = sets if known is None else known.unionByName(sets)
+        if step < STAR_ROUNDS:
+            keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+            if known is not None:
+                keys = keys.join(known.select("key"), "key", "left_anti")
+            sets = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys), "near-sets")
+            known = sets if known is None else known.unionByName(sets)
         found = cut_lineage(confirmed(pairs, known), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if not links.isEmpty():
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             label = components(links)
     out = some.select("doc_id", "n_shingles", "key")
     least = reps.select("key", "rep")
