@@ -124,6 +124,14 @@ def can_reach(n_a: Column, sig_a: Column, n_b: Column, sig_b: Column, hashes: in
     return (100 * F.least(n_a, n_b) >= LIMIT * F.greatest(n_a, n_b)) & (equal >= int(np.floor(hashes * least)))
 
 
+def first_shared(band: Column, bands_a: Column, bands_b: Column) -> Column:
+    """Whether no earlier band is shared, so that a pair comes out of one bucket only."""
+    earlier = F.lit(False)
+    for i in range(BANDS - 1):
+        earlier = earlier | ((band > i) & (bands_a[i] == bands_b[i]))
+    return ~earlier
+
+
 def fine_sketches(sets: DataFrame) -> DataFrame:
     """(key, fine): one bit of each of FINE minima of a full set."""
     out = pa.schema([("key", pa.string()), ("fine", pa.list_(pa.int64()))])
@@ -247,11 +255,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             fresh = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys if known is None else keys.join(
                 known.select("key"), "key", "left_anti")), "near-sets")
             known = fresh if known is None else known.unionByName(fresh)
-            inside = cut_lineage(inside.join(fine_sketches(known.join(keys, "key")), "key"), "near-open")
+            fine = fine_sketches(known.join(keys, "key")).join(reps.select("key", "bands"), "key").withColumn(
+                "bands", F.transform("bands", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")))
+            inside = cut_lineage(inside.join(fine, "key"), "near-open")
             x, y = inside.alias("x"), inside.alias("y")
             cand = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
                           & (F.col("x.label") < F.col("y.label"))
-                          & can_reach(F.col("x.n"), F.col("x.fine"), F.col("y.n"), F.col("y.fine"), FINE, 1)).select(
+                          & can_reach(F.col("x.n"), F.col("x.fine"), F.col("y.n"), F.col("y.fine"), FINE, 1)
+                          & first_shared(F.col("x.band"), F.col("x.bands"), F.col("y.bands"))).select(
                 F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
