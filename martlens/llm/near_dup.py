@@ -126,10 +126,8 @@ def can_reach(n_a: Column, sig_a: Column, n_b: Column, sig_b: Column, hashes: in
 
 def first_shared(band: Column, bands_a: Column, bands_b: Column) -> Column:
     """Whether no earlier band is shared, so that a pair comes out of one bucket only."""
-    earlier = F.lit(False)
-    for i in range(BANDS - 1):
-        earlier = earlier | ((band > i) & (bands_a[i] == bands_b[i]))
-    return ~earlier
+    # a higher-order function keeps the generated join code small enough to be compiled
+    return ~F.exists(F.slice(F.zip_with(bands_a, bands_b, lambda x, y: x == y), F.lit(1), band), lambda x: x)
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
