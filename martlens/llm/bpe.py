@@ -21,6 +21,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ def _unz(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane, compressed."""
+    return _z(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unz(blob), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def pack_strings(items: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, items), "<u4", len(items))
     return _z(np.array([len(items)], "<u4").tobytes() + lens.tobytes() + b"".join(items))
@@ -62,26 +72,27 @@ def _ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
 
 
 BLOCKS = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                    ("codes", _BIN), ("words", pa.list_(_BIN))])
+                    ("codes", _BIN), ("share_of", _BIN), ("words", pa.list_(_BIN))])
 
 
 def pretoken_blocks(docs: DataFrame, pattern: str, shares: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per block: its documents as numbered pre-tokens and, per hash share, its distinct words."""
 
     def finish(doc_ids, counts, codes, numbers):
-        words = [w.encode("utf-8") for w in numbers]
-        share = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words),
-                            np.uint64, len(words)) % np.uint64(shares)
+        flat = np.concatenate(codes) if codes else np.zeros(0, "<u4")
+        rank = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+        renumber = np.empty(len(numbers), "<u4")
+        renumber[rank] = np.arange(len(numbers), dtype="<u4")
+        listed = list(numbers)
+        words = [listed[i].encode("utf-8") for i in rank.tolist()]
+        share = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(shares)
         order = np.argsort(share, kind="stable")
-        place = np.empty(len(words), dtype="<u4")
-        place[order] = np.arange(len(words), dtype="<u4")
         cuts = np.searchsorted(share[order], np.arange(shares + 1, dtype=np.uint64))
         lists = [pack_strings([words[i] for i in order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
-        flat = np.concatenate(codes) if codes else np.zeros(0, "<u4")
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), pa.array([doc_ids], pa.list_(pa.int64())),
-             pa.array([counts], pa.list_(pa.int64())), pa.array([_z(place[flat].astype("<u4").tobytes())], _BIN),
-             pa.array([lists], pa.list_(_BIN))], schema=BLOCKS)
+             pa.array([counts], pa.list_(pa.int64())), pa.array([pack_numbers(renumber[flat])], _BIN),
+             pa.array([pack_numbers(share.astype("<u4"))], _BIN), pa.array([lists], pa.list_(_BIN))], schema=BLOCKS)
 
     def run(batches):
         import regex
@@ -103,7 +114,7 @@ def pretoken_blocks(docs: DataFrame, pattern: str, shares: int, block_bytes: int
             yield finish(doc_ids, counts, codes, numbers)
 
     return read_docs(docs, "doc_id", "text").mapInArrow(
-        run, "block string, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
+        run, "block string, doc_ids array<long>, counts array<long>, codes binary, share_of binary, words array<binary>")
 
 
 def encode_distinct(words: DataFrame, ranks_path: str) -> DataFrame:
@@ -126,9 +137,8 @@ def encode_distinct(words: DataFrame, ranks_path: str) -> DataFrame:
                 ids = [known[w] for w in words]
                 lens = np.fromiter(map(len, ids), "<u4", len(ids))
                 flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-                raw = np.array([len(ids)], "<u4").tobytes() + lens.tobytes() + flat.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([s], pa.int32()), pa.array([_z(raw)], _BIN)],
-                                                 schema=out)
+                raw = pack_numbers(np.concatenate((np.array([len(ids)], "<u4"), lens, flat)))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([s], pa.int32()), pa.array([raw], _BIN)], schema=out)
 
     spread = words.repartition(n_parts(words.sparkSession), "share").sortWithinPartitions("share")
     return spread.mapInArrow(run, "block string, share int, ids binary")
@@ -170,7 +180,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_bytes
     words = blocks.select("block", F.posexplode("words").alias("share", "blob"))
     ids = encode_distinct(words, ranks_path).groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("share", "ids"))).alias("shares"))
-    joined = blocks.select("block", "doc_ids", "counts", "codes").join(ids, "block")
+    joined = blocks.select("block", "doc_ids", "counts", "codes", "share_of").join(ids, "block")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
@@ -181,21 +191,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_bytes
     def assemble(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                doc_ids, counts, codes, shared = (batch.column(c)[r].as_py() for c in ("doc_ids", "counts", "codes", "shares"))
+                doc_ids, counts, codes, share_of, shared = (
+                    batch.column(c)[r].as_py() for c in ("doc_ids", "counts", "codes", "share_of", "shares"))
                 lens, flat = [], []
                 for s in shared:
-                    raw = _unz(s["ids"])
-                    n = int(np.frombuffer(raw, "<u4", 1)[0])
-                    lens.append(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))
-                    flat.append(np.frombuffer(raw, "<u4", -1, 4 + 4 * n))
+                    raw = unpack_numbers(s["ids"])
+                    n = int(raw[0])
+                    lens.append(raw[1:1 + n].astype(np.int64))
+                    flat.append(raw[1 + n:])
                 lens, flat = np.concatenate(lens), np.concatenate(flat)
-                starts = np.cumsum(lens) - lens
-                codes = np.frombuffer(_unz(codes), "<u4")
+                order = np.argsort(unpack_numbers(share_of), kind="stable")  # the shares list words by number
+                starts, sizes = np.empty_like(lens), np.empty_like(lens)
+                starts[order], sizes[order] = np.cumsum(lens) - lens, lens
+                codes = unpack_numbers(codes)
                 cols, at = [[] for _ in fields], 0
                 for doc_id, n in zip(doc_ids, counts):
                     c = codes[at:at + n]
                     at += n
-                    ids = _ragged(flat, starts[c], lens[c]).astype("<u4")
+                    ids = _ragged(flat, starts[c], sizes[c]).astype("<u4")
                     decoded = decode_ids(ids, ranks_path)
                     row = [doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                     if keep_ids:
