@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut_lineage, n_parts, read_docs, texts_of
 from .packing import bpe_encoder
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 _BIN = pa.binary()
 
 
-def _z(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _z(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unz(data: bytes) -> bytes:
@@ -52,7 +52,7 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
 
 def pack_strings(items: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, items), "<u4", len(items))
-    return _z(np.array([len(items)], "<u4").tobytes() + lens.tobytes() + b"".join(items))
+    return _z(np.array([len(items)], "<u4").tobytes() + lens.tobytes() + b"".join(items), 9)
 
 
 def unpack_strings(blob: bytes) -> list[bytes]:
@@ -80,11 +80,12 @@ def pretoken_blocks(docs: DataFrame, pattern: str, shares: int, block_bytes: int
 
     def finish(doc_ids, counts, codes, numbers):
         flat = np.concatenate(codes) if codes else np.zeros(0, "<u4")
-        rank = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+        # frequent words get small numbers; words of like frequency are in order, as that packs best
+        scale = np.log2(np.maximum(np.bincount(flat, minlength=len(numbers)), 1)).astype(int).tolist()
+        ranked = sorted((-c, w.encode("utf-8"), i) for i, (w, c) in enumerate(zip(numbers, scale)))
         renumber = np.empty(len(numbers), "<u4")
-        renumber[rank] = np.arange(len(numbers), dtype="<u4")
-        listed = list(numbers)
-        words = [listed[i].encode("utf-8") for i in rank.tolist()]
+        renumber[[i for _, _, i in ranked]] = np.arange(len(numbers), dtype="<u4")
+        words = [w for _, w, _ in ranked]
         share = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(shares)
         order = np.argsort(share, kind="stable")
         cuts = np.searchsorted(share[order], np.arange(shares + 1, dtype=np.uint64))
