@@ -25,9 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each near-duplicate group stays, the one with the smallest doc_id.
+
+    Equal rows become one; different texts of one doc_id stay or go together; rows without an id stay."""
+    gone = near_dup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where(~F.col("_kept")).select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    return left.dropDuplicates(["doc_id", "_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
