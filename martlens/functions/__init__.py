@@ -1,10 +1,10 @@
 from .columns import (
-    whole_days, month_label, month_start, weekday_name, md5_unit, md5_key, money, money_sum,
-    ratio, round6, WEEKDAYS,
+    whole_days, month_label, month_start, md5_unit, md5_key, money,
+    ratio, WEEKDAYS,
 )
 from .stats import normal_sf, chi2_1df_sf, t_two_sided_p
 
 __all__ = [
-    "whole_days", "month_label", "month_start", "weekday_name", "md5_unit", "md5_key", "money",
-    "money_sum", "ratio", "round6", "WEEKDAYS", "normal_sf", "chi2_1df_sf", "t_two_sided_p",
+    "whole_days", "month_label", "month_start", "md5_unit", "md5_key", "money",
+    "ratio", "WEEKDAYS", "normal_sf", "chi2_1df_sf", "t_two_sided_p",
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Weekday names, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
@@ -30,9 +31,6 @@ def month_start(ts) -> Column:
     return F.trunc(_c(ts).cast("date"), "MM")
 
 
-def weekday_name(ts) -> Column:
-    return F.date_format(_c(ts), "EEEE")
-
 
 def md5_key(salt: str, *keys) -> Column:
     """md5 hex of salt and integer keys joined by '|' (null key -> empty text; same in DuckDB)."""
@@ -55,14 +53,7 @@ def money(c) -> Column:
     return _c(c).cast("decimal(18,2)")
 
 
-def money_sum(c) -> Column:
-    return F.sum(money(c))
-
 
 def ratio(num, den) -> Column:
     """num / den as double, null when den is 0 or null (ANSI mode would raise)."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
-
-
-def round6(c) -> Column:
-    return F.round(_c(c).cast("double"), 6)

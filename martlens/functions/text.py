@@ -73,13 +73,6 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: F.length(w) > 0)
 
 
-def stopword_filter(c: Column, extra=DOMAIN_STOPWORDS, min_len: int = 3) -> Column:
-    """Words not in the stopword list and at least ``min_len`` letters, joined by blanks."""
-    stop = F.array(*[F.lit(w) for w in ENGLISH_STOPWORDS + list(extra)])
-    kept = F.filter(words(c), lambda w: (~F.array_contains(stop, w)) & (F.length(w) >= min_len))
-    return F.array_join(kept, " ")
-
-
 def sentiment_class(score: Column) -> Column:
     """N4."""
     return (F.when(score >= POSITIVE_AT, "Positive").when(score <= NEGATIVE_AT, "Negative")

@@ -9,7 +9,6 @@ driver only loops over three estimators, the work runs as Spark jobs.
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_key, md5_unit, money, whole_days
 from .clean import impute_median
-from .kernels import exact_median_columns, global_row_number, histogram, prefix_sum, with_row
+from ..session import cut_lineage
+from .kernels import exact_median_columns, global_row_number, histogram, join_groups, prefix_sum, with_row
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"
+# The feature names of the churn matrix, in order.
 FEATURES = ["total_orders", "total_revenue", "avg_order_value", "max_order_value", "min_order_value",
             "total_items", "avg_items_order", "total_freight", "avg_freight", "unique_categories",
             "avg_delivery_days", "payment_installments", "recency", "days_active", "purchase_frequency",
@@ -28,12 +29,14 @@ FEATURES = ["total_orders", "total_revenue", "avg_order_value", "max_order_value
 
 
 def churn_labels(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: str = KEY) -> DataFrame:
-    """Last purchase, whole days since it at the snapshot, churn = days > threshold."""
+    """Last purchase, whole days since it at the snapshot, churn = days > threshold.
+
+    Rows without a customer are dropped; a customer without any date is not churned."""
     snap = F.lit(snapshot).cast("timestamp_ntz")
-    g = fact.groupBy(key).agg(F.max(TS).alias("last_purchase"))
+    g = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(TS).alias("last_purchase"))
     ds = whole_days(F.col("last_purchase"), snap)
     return g.select(key, F.date_format("last_purchase", "yyyy-MM-dd HH:mm:ss").alias("last_purchase"),
-                    ds.alias("days_since"), (ds > days).cast("int").alias("churn"))
+                    ds.alias("days_since"), F.coalesce(ds > days, F.lit(False)).cast("int").alias("churn"))
 
 
 def churn_rate(labels: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def customer_features(fact: DataFrame, snapshot: dt.datetime, key: str = KEY) ->
     ordinal, as in the source.)  Money means are exact decimal sums / counts.
     """
     snap = F.lit(snapshot).cast("timestamp_ntz")
-    g = fact.groupBy(key).agg(
+    g = fact.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.countDistinct("order_id").cast("bigint").alias("total_orders"),
         F.sum(money("price")).cast("double").alias("total_revenue"),
         _mean("price", True).alias("avg_order_value"),
@@ -83,9 +86,10 @@ def churn_matrix(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: s
     filled with its exact median.  ``fit_on='all'`` takes the medians over all
     customers as the source does (test rows included); ``'train'`` takes them
     over the training part of ``stratified_split`` only."""
+    # the label is a function of the feature `recency` (both are days since the last purchase), so one
+    # aggregation gives both; written once, as the medians and the rows read it
     feats = customer_features(fact, snapshot, key)
-    labels = churn_labels(fact, snapshot, days, key).select(key, "churn")
-    m = feats.join(labels, key)
+    m = cut_lineage(feats.withColumn("churn", F.coalesce(F.col("recency") > days, F.lit(False)).cast("int")), "features")
     cols = [c for c in FEATURES if c not in exclude]
     basis = m
     if fit_on == "train":
@@ -104,16 +108,19 @@ def stratified_split(m: DataFrame, test_share: float = 0.2, salt: str = "split",
     h = m.withColumn("_h", md5_key(salt, key))
     ranked = global_row_number(h, [label, "_h", key], "_rn")
     g = ranked.groupBy(label).agg(F.min("_rn").alias("_r0"), F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(F.broadcast(g), label)
+    j = join_groups(ranked, g, [label])
     pos = F.col("_rn") - F.col("_r0") + 1
     part = F.when(pos <= F.ceil(F.lit(test_share) * F.col("_n")), "test").otherwise("train")
     return j.withColumn("part", part).drop("_h", "_rn", "_r0", "_n")
 
 
-def fold_column(m: DataFrame, k: int = 5, salt: str = "fold", key: str = KEY) -> DataFrame:
-    """M8 folds: md5 bucket of the id (0..k-1)."""
-    return m.withColumn("fold", F.pmod(F.conv(F.substring(md5_key(salt, key), 1, 8), 16, 10).cast("bigint"),
-                                       F.lit(k)).cast("int"))
+def fold_column(m: DataFrame, k: int = 5, salt: str = "fold", key: str = KEY, label: str = "churn") -> DataFrame:
+    """M8 folds (0..k-1), stratified: each class is dealt out in md5 order of the id, so its
+    counts in the folds differ by at most one."""
+    ranked = global_row_number(m.withColumn("_h", md5_key(salt, key)), [label, "_h", key], "_rn")
+    g = ranked.groupBy(label).agg(F.min("_rn").alias("_r0"))
+    j = join_groups(ranked, g, [label])
+    return j.withColumn("fold", F.pmod(F.col("_rn") - F.col("_r0"), F.lit(k)).cast("int")).drop("_h", "_rn", "_r0")
 
 
 # ---- exact evaluation ----------------------------------------------------------------
@@ -125,12 +132,12 @@ def _score_counts(pred: DataFrame, score: str, label: str) -> DataFrame:
 
 def auc(pred: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """M7: ROC AUC = (R1 - n1(n1+1)/2) / (n1 n0), R1 = sum of average ranks of
-    positives (ties share a rank); one row."""
+    positives (ties share a rank); one row, null with one class only."""
     cum = prefix_sum(_score_counts(pred, score, label), ["_s"], "_t", "_before")
-    avg_rank = F.col("_before") + (F.col("_t") + 1) / 2.0
-    s = cum.agg(F.sum(F.col("_p") * avg_rank).alias("r1"), F.sum("_p").cast("double").alias("n1"),
+    twice = (2 * F.col("_before") + F.col("_t") + 1).cast("decimal(19,0)")  # of the average rank
+    s = cum.agg((F.sum(F.col("_p").cast("decimal(19,0)") * twice).cast("double") / 2.0).alias("r1"), F.sum("_p").cast("double").alias("n1"),
                 (F.sum("_t") - F.sum("_p")).cast("double").alias("n0"))
-    a = (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))
+    a = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
     return s.select(F.round(a, 6).alias("auc"))
 
 
@@ -139,13 +146,12 @@ def roc_points(pred: DataFrame, score: str = "score", label: str = "label") -> D
     positive), plus the (inf, 0, 0) start; all points kept."""
     sc = _score_counts(pred, score, label).withColumn("_neg_cnt", F.col("_t") - F.col("_p"))
     desc = sc.withColumn("_desc", -F.col("_s"))
-    cp = prefix_sum(desc, ["_desc"], "_p", "_p_before")
-    cn = prefix_sum(cp, ["_desc"], "_neg_cnt", "_n_before")
+    cn = prefix_sum(desc, ["_desc"], ["_p", "_neg_cnt"], ["_p_before", "_n_before"])
     tot = sc.agg(F.sum("_p").alias("_tot_pos"), F.sum("_neg_cnt").alias("_tot_neg"))
     j = with_row(cn, tot)
     pts = j.select(F.col("_s").alias("threshold"),
-                   F.round((F.col("_n_before") + F.col("_neg_cnt")) / F.col("_tot_neg"), 6).alias("fpr"),
-                   F.round((F.col("_p_before") + F.col("_p")) / F.col("_tot_pos"), 6).alias("tpr"))
+                   F.round(F.try_divide(F.col("_n_before") + F.col("_neg_cnt"), F.col("_tot_neg")), 6).alias("fpr"),
+                   F.round(F.try_divide(F.col("_p_before") + F.col("_p"), F.col("_tot_pos")), 6).alias("tpr"))
     start = sc.agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
@@ -155,7 +161,7 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
     grid = pred.sparkSession.createDataFrame([(a, p) for a in (0, 1) for p in (0, 1)], "actual int, predicted int")
     c = pred.groupBy(F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted")).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"))
-    return F.broadcast(grid).join(c, ["actual", "predicted"], "left").select(
+    return grid.join(c, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
@@ -230,7 +236,7 @@ def class_weights(m: DataFrame, label: str = "churn") -> DataFrame:
     c = m.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     nt = m.agg(F.count(F.lit(1))).scalar()
     w = c.select(label, (nt / (2.0 * F.col("_nc"))).alias("w"))
-    return m.join(F.broadcast(w), label)
+    return join_groups(m, w, [label])
 
 
 def positive_probability(scored: DataFrame) -> Column:
@@ -239,10 +245,12 @@ def positive_probability(scored: DataFrame) -> Column:
     return vector_to_array(F.col("probability")).getItem(1)
 
 
-def stable_layout(df: DataFrame, key: str = KEY, partitions: int = 8) -> DataFrame:
-    """Hash partitions on the id, sorted inside: the same input layout on every
-    run, so seeded bootstrap / subsampling in the estimators repeats exactly."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
+def stable_layout(df: DataFrame, key: str = KEY) -> DataFrame:
+    """Hash partitions on the id (as many as the session shuffles into), sorted inside and written: the
+    same input layout on every run of a session, so seeded bootstrap / subsampling repeats exactly, and
+    the estimators' passes read a table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key), "train")
 
 
 def fit_models(split: DataFrame, features: Sequence[str] = FEATURES) -> dict:
@@ -266,13 +274,14 @@ def cv_auc(m: DataFrame, features: Sequence[str] = FEATURES, k: int = 5, paralle
     from concurrent.futures import ThreadPoolExecutor
     from functools import reduce
 
-    folded = class_weights(fold_column(m, k))
+    folded = cut_lineage(fold_column(m, k), "folds")
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
 
     def one(name_fold):
         name, f = name_fold
-        train = stable_layout(folded.where(F.col("fold") != f))
+        # weights of the training part alone: the test fold tells the fit nothing
+        train = stable_layout(class_weights(folded.where(F.col("fold") != f)))
         test = folded.where(F.col("fold") == f)
         est = _models(total - sizes.get(f, 0), features)[name]
         pred = score(est.fit(train), test).withColumnRenamed("churn", "label")
@@ -290,7 +299,3 @@ def feature_importance(rf_pipeline_model, features: Sequence[str], spark, k: int
     imp = rf_pipeline_model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(k)
-
-
-def nan_guard(x: float) -> float | None:
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.columns import whole_days
 from ..session import checkpoint_dir
-from .kernels import exact_quantiles, with_row
+from .kernels import exact_quantiles, with_row, join_groups
 
 DATE_COLS = ["order_purchase_timestamp", "order_approved_at", "order_delivered_customer_date",
              "order_estimated_delivery_date"]
@@ -64,14 +64,14 @@ def only_status(df: DataFrame, status: str = "delivered") -> DataFrame:
 def cap_at_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep rows with col <= its q-quantile (exact, linear), per group of ``by``."""
     edge = exact_quantiles(df, col, [q], by=by, names=["_edge"])
-    j = with_row(df, edge) if not by else df.join(F.broadcast(edge), list(by))
+    j = with_row(df, edge) if not by else join_groups(df, edge, by)
     return j.where(F.col(col) <= F.col("_edge")).drop("_edge")
 
 
 def clip_at_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """C17: winsorise col at its q-quantile per group (values above become the edge)."""
     edge = exact_quantiles(df, col, [q], by=by, names=["_edge"])
-    j = with_row(df, edge) if not by else df.join(F.broadcast(edge), list(by))
+    j = with_row(df, edge) if not by else join_groups(df, edge, by)
     return j.withColumn(col, F.least(F.col(col).cast("double"), F.col("_edge"))).drop("_edge")
 
 

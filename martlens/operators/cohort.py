@@ -18,7 +18,8 @@ def customer_months(fact: DataFrame, key: str = "customer_unique_id") -> DataFra
     customer holds at most one row per calendar month, so no window group
     grows with the data even when one customer owns a third of all rows.
     """
-    cm = fact.select(F.col(key), month_start(TS).alias("order_month")).distinct()
+    some = fact.where(F.col(key).isNotNull() & F.col(TS).isNotNull())  # null keys are no group
+    cm = some.select(F.col(key), month_start(TS).alias("order_month")).distinct()
     cm = cm.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy(key)))
     period = (F.lit(12) * (F.year("order_month") - F.year("cohort_month"))
               + F.month("order_month") - F.month("cohort_month"))

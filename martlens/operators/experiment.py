@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int, md5_key
 from ..functions.stats import Z_ALPHA_975, Z_POWER_80, chi2_1df_sf, normal_sf, t_two_sided_p
+from ..session import cut_lineage
 from .kernels import box_stats, exact_quantiles, global_row_number, histogram, with_row
 
 KEY = "customer_unique_id"
@@ -116,15 +117,15 @@ def chi_square_2x2(conv: DataFrame) -> DataFrame:
     nA, nB = F.col("assigned_A").cast("double"), F.col("assigned_B").cast("double")
     cells = [(cA, nA, cA + cB), (nA - cA, nA, nA + nB - cA - cB), (cB, nB, cA + cB), (nB - cB, nB, nA + nB - cA - cB)]
     total = nA + nB
-    exp = [row * col / total for _, row, col in cells]
+    exp = [F.try_divide(row * col, total) for _, row, col in cells]
     zero = None
     chi = None
     for (o, _, _), e in zip(cells, exp):
         d = e - o
         adj = o + F.signum(d) * F.least(F.lit(0.5), F.abs(d))
-        term = (adj - e) * (adj - e) / e
+        term = F.try_divide((adj - e) * (adj - e), e)
         chi = term if chi is None else chi + term
-        z = e == 0
+        z = F.coalesce(e == 0, F.lit(True))
         zero = z if zero is None else (zero | z)
     chi2 = F.when(zero, F.lit(None).cast("double")).otherwise(chi)
     return w.select(F.round(chi2, 6).alias("chi2"),
@@ -149,32 +150,42 @@ def moments(values: DataFrame, col: str = "cents") -> DataFrame:
     m = values.groupBy("arm").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.sum(x.cast("decimal(38,0)")).alias("_s1"),
-        F.sum((x * x).cast("decimal(38,0)")).alias("_s2"))
-    n = F.col("n")
-    num = n.cast("decimal(38,0)") * F.col("_s2") - F.col("_s1") * F.col("_s1")
-    return m.select("arm", "n",
-                    (F.col("_s1").cast("double") / n / F.lit(100.0)).alias("mean"),
-                    (num.cast("double") / (n * (n - 1)).cast("double") / F.lit(10000.0)).alias("var"))
+        F.sum(x.cast("decimal(19,0)") * x.cast("decimal(19,0)")).alias("_s2"))
+    n, s1, s2 = F.col("n").cast("decimal(20,0)"), F.col("_s1"), F.col("_s2")
+    # exact while the products fit 38 digits, in double beyond
+    exact = F.try_subtract(F.try_multiply(n, s2).cast("decimal(38,0)"), F.try_multiply(s1, s1).cast("decimal(38,0)"))
+    d1 = s1.cast("double")
+    num = F.coalesce(exact.cast("double"), n.cast("double") * s2.cast("double") - d1 * d1)
+    pairs = F.col("n").cast("double") * (F.col("n") - 1).cast("double")
+    return m.select("arm", "n", (d1 / F.col("n") / F.lit(100.0)).alias("mean"),
+                    (F.try_divide(num, pairs) / F.lit(10000.0)).alias("var"))
 
 
 def lift(a: Column, b: Column) -> Column:
-    return (b - a) / a * F.lit(100.0)
+    """Relative change in per cent; null when the base is zero."""
+    return F.try_divide(b - a, a) * F.lit(100.0)
 
 
 def aov_lift(rows: DataFrame) -> DataFrame:
     """Mean order value per arm and relative lift (%)."""
-    w = _wide(moments(order_values(rows)), ["mean"])
+    return aov_lift_of(order_values(rows))
+
+
+def aov_lift_of(values: DataFrame) -> DataFrame:
+    w = _wide(moments(values), ["mean"])
     return w.select(F.round("mean_A", 6).alias("mean_aov_A"), F.round("mean_B", 6).alias("mean_aov_B"),
                     F.round(lift(F.col("mean_A"), F.col("mean_B")), 6).alias("aov_lift_pct"))
 
 
 def welch_t(values: DataFrame, with_p: bool = False) -> DataFrame:
-    """Welch t of arm A against arm B (A - B), Welch-Satterthwaite df; p two-sided."""
+    """Welch t of arm A against arm B (A - B), Welch-Satterthwaite df; p two-sided.
+
+    Null without variance in both arms, with fewer than two values in an arm, or with an empty arm."""
     w = _wide(moments(values), ["n", "mean", "var"])
     sa = F.col("var_A") / F.col("n_A")
     sb = F.col("var_B") / F.col("n_B")
-    t = (F.col("mean_A") - F.col("mean_B")) / F.sqrt(sa + sb)
-    df = (sa + sb) * (sa + sb) / (sa * sa / (F.col("n_A") - 1) + sb * sb / (F.col("n_B") - 1))
+    t = F.try_divide(F.col("mean_A") - F.col("mean_B"), F.sqrt(sa + sb))
+    df = F.try_divide((sa + sb) * (sa + sb), F.try_divide(sa * sa, F.col("n_A") - 1) + F.try_divide(sb * sb, F.col("n_B") - 1))
     out = w.select(t.alias("t_stat"), df.alias("df"))
     if with_p:
         out = out.withColumn("p_value", F.round(t_two_sided_p(F.col("t_stat"), F.col("df")), 6))
@@ -199,27 +210,28 @@ def mann_whitney_u(values: DataFrame, col: str = "cents") -> DataFrame:
     from .kernels import prefix_sum
 
     cum = prefix_sum(vc, ["_v"], "_t", "_before")
-    avg_rank = F.col("_before") + (F.col("_t") + 1) / 2.0
+    twice = (2 * F.col("_before") + F.col("_t") + 1).cast("decimal(19,0)")  # of the average rank
+    t = F.col("_t").cast("double")
     s = cum.agg(
-        F.sum(F.col("_ta") * avg_rank).alias("r1"),
+        (F.sum(F.col("_ta").cast("decimal(19,0)") * twice).cast("double") / 2.0).alias("r1"),
         F.sum("_ta").cast("double").alias("n1"),
         (F.sum("_t") - F.sum("_ta")).cast("double").alias("n2"),
-        F.sum((F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).cast("double")).alias("ties"))
+        F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u2 = n1 * n2 - u1
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (u2 - n1 * n2 / 2.0 - 0.5) / sd
-    p = F.least(F.greatest(normal_sf(z), F.lit(0.0)), F.lit(1.0))
+    sd = F.sqrt(F.greatest(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))), F.lit(0.0)))
+    z = F.try_divide(u2 - n1 * n2 / 2.0 - 0.5, sd)  # null when all values tie or an arm is empty
+    p = F.when(z.isNotNull(), F.least(F.greatest(normal_sf(z), F.lit(0.0)), F.lit(1.0)))
     return s.select(F.round(u1, 6).alias("u_stat"), F.round(z, 6).alias("z"), F.round(p, 6).alias("p_value"))
 
 
 def cohens_d(cust: DataFrame) -> DataFrame:
     """(mean B - mean A) / sqrt((sd A^2 + sd B^2) / 2), with the size band."""
     w = _wide(moments(cust), ["mean", "var"])
-    d = (F.col("mean_B") - F.col("mean_A")) / F.sqrt((F.col("var_A") + F.col("var_B")) / 2.0)
-    band = F.when(F.abs(d) < 0.2, "Small").when(F.abs(d) < 0.5, "Medium").otherwise("Large")
+    d = F.try_divide(F.col("mean_B") - F.col("mean_A"), F.sqrt((F.col("var_A") + F.col("var_B")) / 2.0))
+    band = F.when(d.isNull(), F.lit(None).cast("string")).when(F.abs(d) < 0.2, "Small").when(F.abs(d) < 0.5, "Medium").otherwise("Large")
     return w.select(F.round(d, 6).alias("cohens_d"), band.alias("effect"))
 
 
@@ -238,16 +250,16 @@ def required_sample_size(conv: DataFrame) -> DataFrame:
 def ab_summary(rows: DataFrame, arms: DataFrame) -> DataFrame:
     """One row: sizes, lifts, p values, effect size, launch advice
     (conversion and order-value p both below .05; revenue p is not used)."""
-    conv = conversion(rows, arms)
+    conv = cut_lineage(conversion(rows, arms), "conversion")
+    orders, cust = cut_lineage(order_values(rows), "order-values"), cut_lineage(customer_revenue(rows, arms), "customer-revenue")
     cw = _wide(conv, ["assigned", "conversion_rate"])
-    cust = customer_revenue(rows, arms)
     parts = [
         cw.select(F.col("assigned_A").alias("n_control"), F.col("assigned_B").alias("n_treatment"),
                   F.round((F.col("conversion_rate_B") - F.col("conversion_rate_A")) * 100.0, 6).alias("conversion_lift_pts"),
                   F.round(lift(F.col("conversion_rate_A"), F.col("conversion_rate_B")), 6).alias("conversion_lift_pct")),
         chi_square_2x2(conv).select(F.col("p_value").alias("p_conv")),
-        aov_lift(rows).select("aov_lift_pct"),
-        welch_t(order_values(rows), with_p=True).select(F.col("p_value").alias("p_aov")),
+        aov_lift_of(orders).select("aov_lift_pct"),
+        welch_t(orders, with_p=True).select(F.col("p_value").alias("p_aov")),
         revenue_lift(cust).select("rev_lift_pct"),
         mann_whitney_u(cust).select(F.col("p_value").alias("p_rev")),
         cohens_d(cust),

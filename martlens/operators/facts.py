@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
-from .kernels import broadcast_bounded
 
 # A category-name table is a code list; broadcast it after checking its size.
-CATEGORY_BROADCAST_ROWS = 100_000
 
 
 def distinct_on_key(df: DataFrame, key: str) -> DataFrame:
@@ -51,11 +49,9 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True) -> DataFrame:
         customers = distinct_on_key(customers, "customer_id")
         products = distinct_on_key(products, "product_id")
         category = category.distinct()
-    # hashing the fact on a handful of category names would skew; the code list is broadcast
-    category = broadcast_bounded(category, CATEGORY_BROADCAST_ROWS)
-    wide = (core.join(customers, "customer_id", "left")
-            .join(products, "product_id", "left")
-            .join(category, "product_category_name", "left"))
+    # names go to the products first, so the fact is never hashed on a handful of category names
+    named = products.join(category, "product_category_name", "left")
+    wide = core.join(customers, "customer_id", "left").join(named, "product_id", "left")
     return wide.select(*WIDE_COLS)
 
 
@@ -72,11 +68,9 @@ def build_item_fact(raw: dict[str, DataFrame]) -> DataFrame:
     )
     customers = raw["customers"].select("customer_id", *CUSTOMER_COLS)
     products = raw["products"].select("product_id", *PRODUCT_COLS)
-    category = broadcast_bounded(raw["category"].select("product_category_name", *CATEGORY_COLS),
-                                 CATEGORY_BROADCAST_ROWS)
+    named = products.join(raw["category"].select("product_category_name", *CATEGORY_COLS), "product_category_name", "left")
     fact = (orders.join(items, "order_id", "left").join(pay, "order_id", "left")
-            .join(customers, "customer_id", "left").join(products, "product_id", "left")
-            .join(category, "product_category_name", "left"))
+            .join(customers, "customer_id", "left").join(named, "product_id", "left"))
     return fact.select(*ORDER_COLS, *ITEM_COLS, "payment_count", "payment_type", "payment_installments",
                        "payment_value", *CUSTOMER_COLS, *PRODUCT_COLS, *CATEGORY_COLS)
 

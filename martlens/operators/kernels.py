@@ -3,9 +3,10 @@ quantiles, histograms, box statistics, top-k per group, samples.
 
 None of them pulls a whole table or an unbounded group into one task:
 
-* a global order is cut into range partitions; each partition is ranked
+* a global order is cut into range partitions; each partition is summed
   locally (Arrow batches, running sum carried across batches), per-partition
-  totals (one row per partition) are prefix-summed and broadcast back;
+  totals (one row per partition) are prefix-summed and broadcast back; the
+  same path runs at every size;
 * quantiles aggregate to (value, count) first, so a value held by a third of
   all rows is one row, then read their neighbours off the prefix sums;
 * top-k per group ranks inside salted sub-groups first, then ranks the
@@ -24,12 +25,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..functions.columns import md5_key
 from ..session import cut_lineage
 
-BROADCAST_MAX_ROWS = 1_000_000
-# Adaptive thresholds (checked with a count first, like a broadcast threshold):
-# at or below them one task may hold the whole state; above them the
-# distributed kernels run.  Tests force the distributed path with ``force=True``.
-SINGLE_TASK_ORDER_ROWS = 100_000
-SINGLE_TASK_QUANTILE_VALUES = 1_000_000
+#: Group tables (one row per group) up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 def one_row(df: DataFrame) -> Column:
@@ -56,88 +53,75 @@ def _num_partitions(df: DataFrame, requested: int | None = None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-_ROW_COUNTS: dict[tuple, int] = {}
+def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins one-row-per-group values back to the rows.
 
+    The group table is written first, so its size is known: it is broadcast up
+    to BROADCAST_GROUPS rows and joined by shuffle beyond."""
+    g = cut_lineage(groups, "groups")
+    return df.join(F.broadcast(g) if g.count() <= BROADCAST_GROUPS else g, list(by), how)
 
-def _plan_key(df: DataFrame):
-    try:
-        return (df.sparkSession.sparkContext.applicationId, df._jdf.queryExecution().analyzed().semanticHash())
-    except Exception:  # noqa: BLE001  (no JVM handle: do not cache)
-        return None
 
-
-def broadcast_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked; beyond it the planner's join is kept.
-
-    The count of a given plan is remembered for the session, so a code list
-    reused by many queries is counted once."""
-    key = _plan_key(df)
-    n = _ROW_COUNTS.get(key) if key is not None else None
-    if n is None:
-        n = df.count()
-        if key is not None:
-            _ROW_COUNTS[key] = n
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | None = None,
-               out: str = "cum_before", num_partitions: int | None = None, force: bool = False) -> DataFrame:
+def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | Sequence[str] | None = None,
+               out: str | Sequence[str] = "cum_before", num_partitions: int | None = None) -> DataFrame:
     """Adds ``out`` = sum of ``weight`` (1 per row when None) over all rows strictly
-    before each row in the global ``order``.
+    before each row in the global ``order``; several weights share one pass.
 
     Give a total order (append a unique key) when ties must be broken the same
-    way on every run.  Range partition membership is fixed by a reliable
-    checkpoint before the per-partition offsets are derived from it.
+    way on every run.  Range partitions are summed locally over Arrow batches
+    (other columns pass through untouched) and written, which fixes partition
+    membership before the offsets, one row per partition, are derived from it.
     """
-    w = weight
-    if w is None:
-        w = "_w1"
-        df = df.withColumn(w, F.lit(1).cast("bigint"))
+    outs = [out] if isinstance(out, str) else list(out)
+    if weight is None:
+        weights = ["_w1"]
+        df = df.withColumn("_w1", F.lit(1).cast("bigint"))
     else:
-        df = df.withColumn(w, F.coalesce(F.col(w).cast("bigint"), F.lit(0).cast("bigint")))
+        weights = [weight] if isinstance(weight, str) else list(weight)
+        df = df.withColumns({w: F.coalesce(F.col(w).cast("bigint"), F.lit(0).cast("bigint")) for w in weights})
     order_cols = _cols(order)
-    if not force and df.count() <= SINGLE_TASK_ORDER_ROWS:
-        # checked small: one ordered window in one task is cheaper than the kernel's jobs
-        w_before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        res = df.withColumn(out, F.coalesce(F.sum(w).over(w_before), F.lit(0)).cast("bigint"))
-        return res.drop("_w1") if weight is None else res
     # without an explicit count AQE may coalesce the range partitions; coalesced
     # partitions are contiguous key ranges, so partition order stays key order
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
               else df.repartitionByRange(*order_cols)).sortWithinPartitions(*order_cols)
-    schema = StructType(list(ranged.schema.fields) + [
-        StructField("_pid", IntegerType(), False), StructField("_local", LongType(), False)])
-    wname = w
+    locals_ = [f"_local{i}" for i in range(len(weights))]
+    schema = StructType(list(ranged.schema.fields) + [StructField("_pid", IntegerType(), False)]
+                        + [StructField(c, LongType(), False) for c in locals_])
+    names, ws = schema.fieldNames(), list(weights)
 
     def running(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carried = 0
-        for pdf in batches:
-            vals = pdf[wname].to_numpy(dtype=np.int64)
-            cs = np.cumsum(vals)
-            pdf["_pid"] = np.int32(pid)
-            pdf["_local"] = cs - vals + carried
-            if len(cs):
-                carried += int(cs[-1])
-            yield pdf
-
-    local = cut_lineage(ranged.mapInPandas(running, schema), "prefix")
-    totals = local.groupBy("_pid").agg(F.sum(wname).alias("_t"))
+        carried = [0] * len(ws)
+        for batch in batches:
+            cols = [*batch.columns, pa.array(np.full(batch.num_rows, pid, np.int32))]
+            for i, w in enumerate(ws):
+                v = batch.column(w)
+                ends = pc.add(pc.cumulative_sum(v), carried[i])
+                cols.append(pc.subtract(ends, v))
+                if batch.num_rows:
+                    carried[i] = ends[-1].as_py()
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    local = cut_lineage(ranged.mapInArrow(running, schema), "prefix")
+    totals = local.groupBy("_pid").agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(weights)])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a bounded table, prefix-summed in one task and broadcast
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).cast("bigint").alias("_off"))
-    res = local.join(F.broadcast(offsets), "_pid").withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-    drop = ["_pid", "_off", "_local"] + (["_w1"] if weight is None else [])
+    # one row per partition: prefix-summed in one task and broadcast
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).cast("bigint").alias(f"_off{i}")
+                                      for i in range(len(weights))])
+    res = local.join(F.broadcast(offsets), "_pid").withColumns({
+        o: (F.col(f"_off{i}") + F.col(f"_local{i}")).cast("bigint") for i, o in enumerate(outs)})
+    drop = ["_pid", *locals_, *[f"_off{i}" for i in range(len(weights))]] + (["_w1"] if weight is None else [])
     return res.drop(*drop)
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "row_number",
-                      num_partitions: int | None = None, force: bool = False) -> DataFrame:
-    """1-based position in a global total order, without a single-partition window
-    beyond the checked small case."""
-    r = prefix_sum(df, order, None, "_before", num_partitions, force)
+                      num_partitions: int | None = None) -> DataFrame:
+    """1-based position in a global total order, without a single-partition window."""
+    r = prefix_sum(df, order, None, "_before", num_partitions)
     return r.withColumn(out, F.col("_before") + F.lit(1)).drop("_before")
 
 
@@ -149,8 +133,7 @@ def _value_counts(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, num_partitions: int | None = None,
-                    force: bool = False) -> DataFrame:
+                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (NumPy 'linear', SQL percentile / quantile_cont)
     of ``col`` per group of ``by``; one row per group, one column per probability.
 
@@ -160,14 +143,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     vc = _value_counts(df, col, by)
-    if not force and vc.count() <= SINGLE_TASK_QUANTILE_VALUES:
-        # checked small: the value->count map of each group fits one task
-        q = vc.groupBy(*by).agg(F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_cnt")).alias("_q"))
-        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    cum = prefix_sum(vc, [*by, "_v"], "_cnt", "_before", num_partitions, force=True)
+    cum = prefix_sum(vc, [*by, "_v"], "_cnt", "_before", num_partitions)
     if by:
         g = cum.groupBy(*by).agg(F.min("_before").alias("_g0"), F.sum("_cnt").alias("_n"))
-        cum = cum.join(g, by).withColumn("_before", F.col("_before") - F.col("_g0"))
+        cum = join_groups(cum, g, by).withColumn("_before", F.col("_before") - F.col("_g0"))
     else:
         cum = cum.withColumn("_n", cum.agg(F.sum("_cnt")).scalar())
     aggs = [F.first("_n").alias("_n")]
@@ -215,7 +194,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), densit
         stats = stats.select(*by, "_n",
                              F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                              F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    joined = with_row(v, stats) if not by else v.join(F.broadcast(stats), by)
+    joined = with_row(v, stats) if not by else join_groups(v, stats, by)
     b = F.least(F.floor(F.lit(float(bins)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
                 F.lit(bins)).cast("bigint")
     counts = joined.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -240,7 +219,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr")).withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr"))
     v = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    j = with_row(v, q) if not by else v.join(F.broadcast(q), by)
+    j = with_row(v, q) if not by else join_groups(v, q, by)
     inside = (F.col("_v") >= F.col("fence_lo")) & (F.col("_v") <= F.col("fence_hi"))
     agg = j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -267,14 +246,8 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return pre.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k).drop("_salt", "_r1")
 
 
-def sample_n(df: DataFrame, n: int, salt: str, keys: Sequence[str]) -> DataFrame:
-    """Reproducible sample of up to n rows: the n smallest md5(salt|keys) (a top-k)."""
+def sample_n(df: DataFrame, n: int, salt: str, keys: Sequence[str], then: Sequence[str] = ()) -> DataFrame:
+    """Reproducible sample of up to n rows: the n smallest md5(salt|keys) (a top-k); rows of equal
+    keys are ordered by the columns ``then``."""
     h = md5_key(salt, *keys)
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
-
-
-def sample_fraction(df: DataFrame, fraction: float, salt: str, keys: Sequence[str]) -> DataFrame:
-    """Reproducible Bernoulli sample: keep rows whose md5 uniform is below the fraction."""
-    from ..functions.columns import md5_unit
-
-    return df.where(md5_unit(salt, *keys) < F.lit(float(fraction)))
+    return df.withColumn("_h", h).orderBy("_h", *keys, *then).limit(n).drop("_h")

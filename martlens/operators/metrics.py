@@ -11,8 +11,8 @@ TS = "order_purchase_timestamp"
 
 
 def monthly_revenue(fact: DataFrame) -> DataFrame:
-    """A1: price sum per purchase month (yyyy-MM)."""
-    return (fact.groupBy(month_label(TS).alias("month"))
+    """A1: price sum per purchase month (yyyy-MM); rows without a date are dropped."""
+    return (fact.where(F.col(TS).isNotNull()).groupBy(month_label(TS).alias("month"))
             .agg(F.sum(money("price")).cast("double").alias("revenue")))
 
 
@@ -20,7 +20,7 @@ def monthly_orders(fact: DataFrame, approx: bool = False, rsd: float = 0.01) ->
     """A2: distinct orders per purchase month (exact; ``approx=True`` uses the
     HyperLogLog++ sketch with relative error ``rsd``, a fixed-size state)."""
     n = F.approx_count_distinct("order_id", rsd) if approx else F.countDistinct("order_id")
-    return fact.groupBy(month_label(TS).alias("month")).agg(n.cast("bigint").alias("orders"))
+    return fact.where(F.col(TS).isNotNull()).groupBy(month_label(TS).alias("month")).agg(n.cast("bigint").alias("orders"))
 
 
 def rows_by_weekday(fact: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def rows_by_weekday(fact: DataFrame) -> DataFrame:
     counts = fact.groupBy(F.date_format(TS, "EEEE").alias("day")).agg(
         F.count(F.lit(1)).cast("bigint").alias("orders"),
         F.countDistinct("order_id").cast("bigint").alias("distinct_orders"))
-    return F.broadcast(days).join(counts, "day", "left").select("day_index", "day", "orders", "distinct_orders")
+    return days.join(counts, "day", "left").select("day_index", "day", "orders", "distinct_orders")
 
 
 def rows_by_hour(fact: DataFrame) -> DataFrame:
     """A4: fact rows per purchase hour, ascending."""
-    return (fact.groupBy(F.hour(TS).cast("bigint").alias("hour"))
+    return (fact.where(F.col(TS).isNotNull()).groupBy(F.hour(TS).cast("bigint").alias("hour"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("order_count")).orderBy("hour"))
 
 
@@ -101,7 +101,7 @@ def top_states(fact: DataFrame, k: int = 10) -> DataFrame:
 
 def cumulative_revenue(fact: DataFrame) -> DataFrame:
     """Monthly revenue with its running total (window over the monthly table only)."""
-    m = fact.groupBy(month_label(TS).alias("month")).agg(F.sum(money("price")).alias("_rev"))
+    m = fact.where(F.col(TS).isNotNull()).groupBy(month_label(TS).alias("month")).agg(F.sum(money("price")).alias("_rev"))
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return m.select("month", F.col("_rev").cast("double").alias("revenue"),
                     F.sum("_rev").over(w).cast("double").alias("cumulative"))

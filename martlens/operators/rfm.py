@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, whole_days
+from ..session import cut_lineage
 from .kernels import exact_quantiles, global_row_number, with_row
 
 TS = "order_purchase_timestamp"
@@ -31,6 +32,21 @@ def rfm_base(fact: DataFrame, snapshot: dt.datetime, key: str = "customer_unique
     )
 
 
+def quintile_edges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: the inner quintile edges of several columns, in one kernel pass, as _e{i}_{column}."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")).select("_s.*")
+    e = exact_quantiles(stacked, "_x", QUINTILE_EDGES, by=["_col"], names=[f"_e{i}" for i in range(4)])
+    return e.agg(*[F.max(F.when(F.col("_col") == c, F.col(f"_e{i}"))).alias(f"_e{i}_{c}") for c in cols for i in range(4)])
+
+
+def _bin(col: str, reverse: bool = False) -> F.Column:
+    b = F.lit(1)
+    for i in range(4):
+        b = b + F.when(F.col(col).cast("double") > F.col(f"_e{i}_{col}"), 1).otherwise(0)
+    return ((F.lit(6) - b) if reverse else b).cast("bigint")
+
+
 def quantile_score(df: DataFrame, col: str, out: str, n: int = 5, reverse: bool = False) -> DataFrame:
     """W4 (qcut): bin 1..n of col between linear-interpolated quantile edges,
     right-closed with the lowest value in bin 1; equal edges collapse bins
@@ -66,10 +82,11 @@ def segment_of(score) -> F.Column:
 
 def rfm_segments(fact: DataFrame, snapshot: dt.datetime, key: str = "customer_unique_id") -> DataFrame:
     """A8 -> W4 -> R1 -> R2: scores 1..5 (recency reversed), total and segment label."""
-    base = rfm_base(fact, snapshot, key)
-    s = quantile_score(base, "recency", "R_score", reverse=True)
-    s = first_rank_score(s, "frequency", "F_score", [key])
-    s = quantile_score(s, "monetary", "M_score")
+    base = cut_lineage(rfm_base(fact, snapshot, key), "rfm")  # read by the ranks, the edges and the scores
+    edges = quintile_edges(base, ["recency", "monetary"])
+    s = first_rank_score(base, "frequency", "F_score", [key])
+    s = with_row(s, edges)
+    s = s.withColumn("R_score", _bin("recency", reverse=True)).withColumn("M_score", _bin("monetary"))
     s = s.withColumn("RFM_score", F.col("R_score") + F.col("F_score") + F.col("M_score"))
     return s.withColumn("Segment", segment_of(F.col("RFM_score"))).select(
         key, "recency", "frequency", "monetary", "R_score", "F_score", "M_score", "RFM_score", "Segment")

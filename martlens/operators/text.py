@@ -9,17 +9,19 @@ salted so no class lands whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_label
 from ..functions.text import (
     BOOSTER_DECREMENT, BOOSTER_INCREMENT, BOOSTERS_DOWN, BOOSTERS_UP, NEGATION_SCALAR, NEGATORS,
-    NORMALIZE_ALPHA, clean_text, sentiment_class, stopword_filter, words,
+    NORMALIZE_ALPHA, clean_text, sentiment_class, words,
 )
-from .kernels import BROADCAST_MAX_ROWS, top_k_per_group
+from .kernels import top_k_per_group
 
-LEXICON_MAX_TERMS = BROADCAST_MAX_ROWS
+LEXICON_MAX_TERMS = 1_000_000
 
 
 def clean_reviews(reviews: DataFrame, min_len: int = 5, lang: str | None = None) -> DataFrame:
@@ -28,8 +30,10 @@ def clean_reviews(reviews: DataFrame, min_len: int = 5, lang: str | None = None)
     r = reviews
     if lang is not None:
         r = r.where(F.col("lang") == lang)
-    r = r.withColumn("clean_comment", clean_text(F.col("review_comment_message")))
-    return r.where(F.length("clean_comment") > min_len)
+    # exploding the filtered one-element array keeps the regex chain to one evaluation per row (a plain
+    # filter would be pushed below the projection and run the chain again)
+    long_enough = F.filter(F.array(clean_text(F.col("review_comment_message"))), lambda t: F.length(t) > min_len)
+    return r.select("*", F.explode(long_enough).alias("clean_comment"))
 
 
 def word_table(lexicon: DataFrame) -> DataFrame:
@@ -174,22 +178,27 @@ def term_counts(scored: DataFrame, text: str = "filtered_text", by: str | None =
 
 def term_frequencies(scored: DataFrame, k: int = 80, text: str = "filtered_text") -> DataFrame:
     """Top-k terms of positive, negative and all comments (count desc, term asc)."""
-    per = term_counts(scored, text, "sentiment").where(F.col("group").isin("Positive", "Negative"))
-    allc = term_counts(scored, text, None)
-    both = per.unionByName(allc)
+    # one pass over the tokens: 'All' is the sum of the classes, taken from the counted terms
+    per = term_counts(scored, text, "sentiment").select(
+        "term", "count", F.explode(F.array(F.col("group"), F.lit("All"))).alias("group")).where(
+        F.col("group").isin("Positive", "Negative", "All"))
+    both = per.groupBy("group", "term").agg(F.sum("count").cast("bigint").alias("count"))
     return top_k_per_group(both, ["group"], [F.desc("count"), F.asc("term")], k, salt=["term"])
 
 
 def vocabulary(scored: DataFrame, size: int = 1000, min_df: int = 5, max_df: float = 0.8,
-               text: str = "filtered_text", key: str = "order_id") -> DataFrame:
+               text: str = "filtered_text") -> DataFrame:
     """Bag-of-words vocabulary: terms in at least ``min_df`` comments and at
     most ``max_df`` of them, the ``size`` most frequent (term asc on ties),
     with their 0-based index."""
-    docs = scored.select(F.col(key).alias("_doc"), words(F.col(text)).alias("_w"))
     n_docs = scored.agg(F.count(F.lit(1))).scalar()
-    tf = docs.select("_doc", F.explode("_w").alias("term")).groupBy("term", "_doc").agg(F.count(F.lit(1)).alias("_c"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("doc_freq"),
-                                   F.sum("_c").cast("bigint").alias("term_count"))
+    # a term counts once per occurrence and once per comment (a row); both sums combine before the shuffle
+    w = words(F.col(text))
+    marks = F.concat(F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
+                     F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
+    stats = scored.select(F.explode(marks).alias("m")).groupBy("m.term").agg(
+        F.sum("m.d").cast("bigint").alias("doc_freq"),
+        F.sum(1 - F.col("m.d")).cast("bigint").alias("term_count"))
     kept = stats.where((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= F.lit(max_df) * n_docs))
     top = kept.orderBy(F.desc("term_count"), F.asc("term")).limit(size)
     from pyspark.sql import Window
@@ -204,21 +213,21 @@ def vocabulary(scored: DataFrame, size: int = 1000, min_df: int = 5, max_df: flo
 # ---- topics (MLlib) ----------------------------------------------------------------
 
 def lda_topics(scored: DataFrame, vocab: DataFrame, k: int = 5, passes: int = 15, seed: int = 42,
-               key: str = "order_id", text: str = "filtered_text"):
+               text: str = "filtered_text"):
     """N6 + N7: counts over the given vocabulary, then online variational LDA.
 
     Priors 1/k, learning offset 10 and decay 0.7 as in the source's topic
     model; every iteration is one pass over the whole corpus
     (subsamplingRate 1), so ``passes`` iterations.  The vocabulary (at most
     vocabSize terms) is model state and is read to the driver once.
-    Returns (fitted LDA model, counted documents, ordered vocabulary list).
+    Returns (fitted LDA model, counted documents with all their columns, ordered vocabulary list).
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizerModel
 
     terms = [r["term"] for r in vocab.orderBy("term_index").select("term").collect()]
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="features")
-    docs = cv.transform(scored.select(key, words(F.col(text)).alias("_words")))
+    docs = cv.transform(scored.withColumn("_words", words(F.col(text))))
     lda = LDA(k=k, optimizer="online", seed=seed, maxIter=passes, learningDecay=0.7, learningOffset=10.0,
               docConcentration=[1.0 / k], topicConcentration=1.0 / k, optimizeDocConcentration=False,
               subsamplingRate=1.0, featuresCol="features")
@@ -240,10 +249,11 @@ def topic_words(model, vocab: DataFrame, n: int = 10) -> DataFrame:
     return j.select("topic", "rank", "term", "weight", lab.alias("topic_label"))
 
 
-def dominant_topic(model, docs: DataFrame, key: str = "order_id") -> DataFrame:
-    """Topic with the largest share for each comment (first on ties)."""
+def dominant_topic(model, docs: DataFrame, keep: Sequence[str] = ("order_id",)) -> DataFrame:
+    """Topic with the largest share for each comment (first on ties), row by row: an order
+    may hold several comments, so nothing is joined back by its id."""
     from pyspark.ml.functions import vector_to_array
 
     t = model.transform(docs)
     arr = vector_to_array(F.col("topicDistribution"))
-    return t.select(key, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("topic"))
+    return t.select(*keep, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("topic"))

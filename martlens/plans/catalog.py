@@ -153,7 +153,7 @@ def q_price_freight_sample(spark, sf_dir):
     f = context(spark, sf_dir).fact().select("order_id", "order_item_id", "product_id", "payment_sequential",
                                              "price", "freight_value")
     keys = ["order_id", "order_item_id", "product_id", "payment_sequential"]
-    return K.sample_n(f, 2000, SAMPLE_SALT, keys)
+    return K.sample_n(f, 2000, SAMPLE_SALT, keys, ["price", "freight_value"])
 
 
 # ---- RFM and cohorts --------------------------------------------------------------
@@ -284,6 +284,38 @@ def q_required_sample_size(spark, sf_dir):
     return X.required_sample_size(X.conversion(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir)))
 
 
+def exp_all(spark, sf_dir):
+    """The experiment over all rows of the customer table: most customers never buy, so conversion is live."""
+    ctx = context(spark, sf_dir)
+    arms = ctx.stage("exp_all_arms", lambda: X.assign_arms(ctx.raw()["customers"].select(X.KEY)))
+    return ctx.stage("exp_all_rows", lambda: X.experiment_rows(ctx.fact(), arms)), arms
+
+
+@query("conversion_all_customers")
+def q_conversion_all_customers(spark, sf_dir):
+    return X.conversion(*exp_all(spark, sf_dir))
+
+
+@query("chi_square_all_customers")
+def q_chi_square_all_customers(spark, sf_dir):
+    return X.chi_square_2x2(X.conversion(*exp_all(spark, sf_dir)))
+
+
+@query("required_sample_size_all_customers")
+def q_required_sample_size_all_customers(spark, sf_dir):
+    return X.required_sample_size(X.conversion(*exp_all(spark, sf_dir)))
+
+
+@query("ab_summary_all_customers")
+def q_ab_summary_all_customers(spark, sf_dir):
+    return X.ab_summary(*exp_all(spark, sf_dir))
+
+
+@query("lift_table_all_customers")
+def q_lift_table_all_customers(spark, sf_dir):
+    return X.lift_table(X.ab_summary(*exp_all(spark, sf_dir)))
+
+
 @query("ab_summary")
 def q_ab_summary(spark, sf_dir):
     return X.ab_summary(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir))
@@ -559,8 +591,8 @@ def q_topic_counts(spark, sf_dir):
 
 @query("sentiment_results")
 def q_sentiment_results(spark, sf_dir):
-    s = scored_reviews(spark, sf_dir).select("order_id", "review_score", "sentiment", "sentiment_score")
-    return s.join(q_dominant_topic(spark, sf_dir), "order_id", "left")
+    (model, docs, _), _ = topic_model(spark, sf_dir)
+    return T.dominant_topic(model, docs, ["order_id", "review_score", "sentiment", "sentiment_score"])
 
 
 @query("english_review_sentiment")
@@ -569,3 +601,62 @@ def q_english_review_sentiment(spark, sf_dir):
     ctx = context(spark, sf_dir)
     s = T.review_sentiment(ctx.fx.reviews(), ctx.fx.lexicon(), lang="en")
     return s.select("order_id", "review_score", "sentiment_score", "sentiment")
+
+
+# ---- null keys: rows without a date or a customer belong to no group -----------------
+def null_key_fact(spark, sf_dir):
+    """The clean fact with the purchase date of every seventh and the customer of every eleventh order missing."""
+    f = context(spark, sf_dir).fact()
+    return (f.withColumn(M.TS, F.when(F.col("order_id") % 7 != 0, F.col(M.TS)))
+            .withColumn(X.KEY, F.when(F.col("order_id") % 11 != 0, F.col(X.KEY))))
+
+
+for _name, _build in {"monthly_revenue": M.monthly_revenue, "monthly_orders": M.monthly_orders, "rows_by_hour": M.rows_by_hour,
+                      "cumulative_revenue": M.cumulative_revenue, "cohort_counts": CH.cohort_counts,
+                      "churn_labels": lambda f: CU.churn_labels(f, SNAPSHOT, CHURN_DAYS)}.items():
+    QUERIES[f"{_name}_null_keys"] = lambda spark, sf_dir, build=_build: build(null_key_fact(spark, sf_dir))
+
+
+@query("model_metrics_no_recency")
+def q_model_metrics_no_recency(spark, sf_dir):
+    """M7 on the matrix without `recency`, which is the label in disguise."""
+    ctx = context(spark, sf_dir)
+    cols = [c for c in CU.FEATURES if c != "recency"]
+
+    def build():
+        split = CU.stratified_split(CU.churn_matrix(ctx.fact(), SNAPSHOT, CHURN_DAYS, exclude=["recency"]))
+        split = ctx.stage("churn_split_no_recency", lambda: split)
+        fitted = CU.fit_models(split, cols)
+        test = split.where(F.col("part") == "test")
+        return _union([CU.auc(CU.score(m, test).withColumnRenamed("churn", "label")).select(F.lit(n).alias("model"), "auc")
+                       for n, m in fitted.items()])
+
+    return ctx.stage("model_metrics_no_recency", build)
+
+
+# ---- facts of the model and topic queries that SQL can compute ------------------------
+@query("fold_sizes")
+def q_fold_sizes(spark, sf_dir):
+    """M8: customers per class and fold of the cross-validation."""
+    return CU.fold_column(churn_table(spark, sf_dir)).groupBy("churn", "fold").agg(
+        F.count(F.lit(1)).cast("bigint").alias("customers"))
+
+
+@query("model_support")
+def q_model_support(spark, sf_dir):
+    """Test customers per true class, from each model's confusion counts."""
+    return _union([CU.confusion(test_predictions(spark, sf_dir, n)).groupBy("actual").agg(
+        F.sum("count").cast("bigint").alias("support")).select(F.lit(n).alias("model"), "actual", "support")
+        for n in MODEL_NAMES])
+
+
+@query("scored_customer_total")
+def q_scored_customer_total(spark, sf_dir):
+    """Rows scored by the forest, per class."""
+    return q_score_customers(spark, sf_dir).groupBy("churn").agg(F.count("churn_probability").cast("bigint").alias("scored"))
+
+
+@query("topic_count_total")
+def q_topic_count_total(spark, sf_dir):
+    """Comments over all topics."""
+    return q_topic_counts(spark, sf_dir).agg(F.sum("reviews").cast("bigint").alias("reviews"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from .oracle_base import md5_int_sql, md5_sql, md5_unit_sql, with_ctes  # noqa: F401
+from .oracle_base import cte, md5_int_sql, md5_sql, md5_unit_sql, with_ctes  # noqa: F401
 
 ORACLE: dict[str, str] = {}
 
 
+BODY: dict[str, str] = {}
+
+
 def oracle(name: str, body: str, *ctes: str) -> None:
+    BODY[name] = body
     ORACLE[name] = with_ctes(body, *ctes)
 
 
@@ -174,7 +178,7 @@ oracle("delivery_histogram", histogram_sql("fact", "delivery_days", 40, "deliver
 oracle("price_freight_sample", f"""
 SELECT order_id, order_item_id, product_id, payment_sequential, price, freight_value FROM fact
 ORDER BY {md5_sql('price-freight', 'order_id', 'order_item_id', 'product_id', 'payment_sequential')},
-         order_id, order_item_id, product_id, payment_sequential
+         order_id, order_item_id, product_id, payment_sequential, price, freight_value
 LIMIT 2000""", "fact")
 
 
@@ -632,3 +636,83 @@ FROM k""", "fx_reviews", "fx_lexicon")
 oracle("english_review_sentiment",
        TEXT.replace("  FROM fx_reviews),\ncr AS", "  FROM fx_reviews WHERE lang = 'en'),\ncr AS")
        + "\nSELECT order_id, review_score, sentiment_score, sentiment FROM sc", "fx_reviews", "fx_lexicon")
+
+
+# ---- the experiment over all customers, and null keys ---------------------------------
+for _name in ("conversion", "chi_square", "required_sample_size"):
+    oracle(f"{_name}_all_customers", BODY[_name].replace("SELECT DISTINCT customer_unique_id FROM fact",
+                                                         "SELECT DISTINCT customer_unique_id FROM fx_customers"), "fact", "fx_customers")
+cte("fact_null_keys", """
+SELECT * REPLACE (CASE WHEN order_id % 7 <> 0 THEN order_purchase_timestamp END AS order_purchase_timestamp,
+                  CASE WHEN order_id % 11 <> 0 THEN customer_unique_id END AS customer_unique_id) FROM fact""", ["fact"])
+cte("fact_dated", "SELECT * FROM fact_null_keys WHERE order_purchase_timestamp IS NOT NULL", ["fact_null_keys"])
+cte("fact_dated_customers", "SELECT * FROM fact_dated WHERE customer_unique_id IS NOT NULL", ["fact_dated"])
+for _name in ("monthly_revenue", "monthly_orders", "rows_by_hour", "cumulative_revenue"):
+    oracle(f"{_name}_null_keys", BODY[_name].replace("FROM fact", "FROM fact_dated"), "fact_dated")
+oracle("cohort_counts_null_keys", BODY["cohort_counts"].replace("FROM fact", "FROM fact_dated_customers"), "fact_dated_customers")
+oracle("churn_labels_null_keys", f"""
+WITH l AS (SELECT customer_unique_id, max(order_purchase_timestamp) AS last FROM fact_null_keys
+           WHERE customer_unique_id IS NOT NULL GROUP BY 1),
+d AS (SELECT *, CAST(floor(epoch({SNAP} - last) / 86400) AS BIGINT) AS days_since FROM l)
+SELECT customer_unique_id, strftime(last, '%Y-%m-%d %H:%M:%S') AS last_purchase, days_since,
+       CAST(coalesce(days_since > 180, false) AS INT) AS churn FROM d""", "fact_null_keys")
+
+
+# ---- the test summary: each part is the body of its own query ------------------------
+def _part(name: str) -> str:
+    rest = BODY[name][len(EXP):].strip()
+    return f"(WITH {rest[1:]})" if rest.startswith(",") else f"({rest})"
+
+
+_T_P = """(WITH RECURSIVE
+w AS (SELECT max(mean) FILTER (WHERE arm = 'A') AS ma, max(mean) FILTER (WHERE arm = 'B') AS mb,
+             max(var / n) FILTER (WHERE arm = 'A') AS sa, max(var / n) FILTER (WHERE arm = 'B') AS sb,
+             max(n) FILTER (WHERE arm = 'A') AS na, max(n) FILTER (WHERE arm = 'B') AS nb FROM ovm),
+s AS (SELECT (ma - mb) / sqrt(sa + sb) AS t, (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) AS df FROM w),
+x AS (SELECT df, df / (df + t * t) AS x FROM s),
+f AS (SELECT df, x, x >= (df / 2 + 1) / (df / 2 + 2.5) AS flip FROM x),
+q AS (SELECT flip, CASE WHEN flip THEN 0.5::DOUBLE ELSE df / 2 END AS a, CASE WHEN flip THEN df / 2 ELSE 0.5::DOUBLE END AS b,
+             CASE WHEN flip THEN 1 - x ELSE x END AS y FROM f),
+l AS (SELECT 0 AS m, 1::DOUBLE AS c, 1 / (1 - (a + b) * y / (a + 1)) AS d, 1 / (1 - (a + b) * y / (a + 1)) AS h FROM q
+  UNION ALL
+  SELECT m, 1 + e2 / c1, 1 / (1 + e2 * d1), h * c1 * d1 * (1 + e2 / c1) / (1 + e2 * d1) FROM (
+    SELECT m, h, 1 + e1 / c AS c1, 1 / (1 + e1 * d) AS d1, e2 FROM (
+      SELECT l.m + 1 AS m, c, d, h, (l.m + 1) * (b - l.m - 1) * y / ((a + 2 * l.m + 1) * (a + 2 * l.m + 2)) AS e1,
+        -(a + l.m + 1) * (a + b + l.m + 1) * y / ((a + 2 * l.m + 2) * (a + 2 * l.m + 3)) AS e2
+      FROM l, q WHERE l.m < 1000)))
+SELECT round(CASE WHEN flip THEN 1 - p ELSE p END, 6) AS p FROM (
+  SELECT flip, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(y) + b * ln(1 - y)) * h / a AS p FROM q, l WHERE m = 1000))"""
+
+_AB = EXP + f""",
+a_chi AS {_part('chi_square')}, a_aov AS {_part('aov_lift')}, a_p AS {_T_P}, a_rev AS {_part('revenue_lift')},
+a_mw AS {_part('mann_whitney')}, a_d AS {_part('cohens_d')}, a_n AS {_part('required_sample_size')},
+a_c AS (SELECT max(assigned) FILTER (WHERE arm = 'A') AS na, max(assigned) FILTER (WHERE arm = 'B') AS nb,
+               max(conversion_rate) FILTER (WHERE arm = 'A') AS pa, max(conversion_rate) FILTER (WHERE arm = 'B') AS pb FROM conv),
+ab AS (SELECT na AS n_control, nb AS n_treatment, round((pb - pa) * 100.0, 6) AS conversion_lift_pts,
+              round((pb - pa) / pa * 100.0, 6) AS conversion_lift_pct, a_chi.p_value AS p_conv, aov_lift_pct, a_p.p AS p_aov,
+              rev_lift_pct, a_mw.p_value AS p_rev, cohens_d, effect, required_n, powered,
+              a_chi.p_value < 0.05 AND a_p.p < 0.05 AS launch
+       FROM a_c, a_chi, a_aov, a_p, a_rev, a_mw, a_d, a_n)"""
+oracle("ab_summary", _AB + "\nSELECT * FROM ab", "fact")
+oracle("lift_table", _AB + """
+SELECT metric, lift_pct, p_value, p_value < 0.05 AS significant FROM (
+  SELECT 'conversion' AS metric, conversion_lift_pct AS lift_pct, p_conv AS p_value FROM ab
+  UNION ALL SELECT 'order_value', aov_lift_pct, p_aov FROM ab
+  UNION ALL SELECT 'revenue', rev_lift_pct, p_rev FROM ab)""", "fact")
+for _name in ("ab_summary", "lift_table"):
+    oracle(f"{_name}_all_customers", BODY[_name].replace("SELECT DISTINCT customer_unique_id FROM fact",
+                                                         "SELECT DISTINCT customer_unique_id FROM fx_customers"), "fact", "fx_customers")
+
+
+# ---- facts of the model and topic queries ---------------------------------------------
+oracle("fold_sizes", MATRIX + f""",
+r AS (SELECT churn, (row_number() OVER (PARTITION BY churn ORDER BY {md5_sql('fold', 'customer_unique_id')}, customer_unique_id) - 1) % 5
+        AS fold FROM mx)
+SELECT churn, CAST(fold AS INT) AS fold, CAST(count(*) AS BIGINT) AS customers FROM r GROUP BY 1, 2""", "fact")
+oracle("model_support", MATRIX + """,
+c AS (SELECT churn, CAST(ceil(0.2 * count(*)) AS BIGINT) AS support FROM mx GROUP BY churn)
+SELECT m.model, a.actual, coalesce(c.support, 0) AS support
+FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting')) m(model),
+     (VALUES (0), (1)) a(actual) LEFT JOIN c ON c.churn = a.actual""", "fact")
+oracle("scored_customer_total", MATRIX + "\nSELECT churn, CAST(count(*) AS BIGINT) AS scored FROM mx GROUP BY churn", "fact")
+oracle("topic_count_total", TEXT + "\nSELECT CAST(count(*) AS BIGINT) AS reviews FROM sc", "fx_reviews", "fx_lexicon")

@@ -16,6 +16,8 @@ def test_models_beat_chance_and_leak_check(spark):
     assert all(a > 0.5 for a in aucs.values())
     # D3: the label is recency > 180, and recency is a feature, so the forest separates almost perfectly
     assert aucs["Random Forest"] > 0.99
+    honest = {r["model"]: r["auc"] for r in q["model_metrics_no_recency"](spark, SF_SMALL).collect()}
+    assert set(honest) == set(aucs) and all(0.3 < a < 0.999 for a in honest.values())
     best = q["model_test_auc"](spark, SF_SMALL).where("best").collect()
     assert len(best) == 1 and best[0]["auc"] == max(aucs.values())
 

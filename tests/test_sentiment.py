@@ -1,9 +1,9 @@
 import math
 
 from martlens.functions.text import (
-    BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS, sentiment_class, stopword_filter,
+    BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS, sentiment_class,
 )
-from martlens.operators.text import lexicon_sentiment
+from martlens.operators.text import filter_stopwords, lexicon_sentiment
 
 LEX = {"good": 1.9, "bad": -2.5, "love": 3.2, "very": 0.3, "no": -1.2}
 
@@ -47,9 +47,9 @@ def test_sentiment_rules_match_plain_python(spark):
 
 
 def test_stopwords_and_classes(spark):
-    df = spark.createDataFrame([("the product was not what i ordered it arrived late",)], "t string")
     from pyspark.sql import functions as F
 
-    assert df.select(stopword_filter(F.col("t"))).first()[0] == "ordered late"
+    df = spark.createDataFrame([("the product was not what i ordered it arrived late",)], "clean_comment string")
+    assert filter_stopwords(df).first()["filtered_text"] == "ordered late"
     sc = spark.createDataFrame([(0.05,), (-0.05,), (0.0,)], "s double").select(sentiment_class(F.col("s"))).collect()
     assert [r[0] for r in sc] == ["Positive", "Negative", "Neutral"]

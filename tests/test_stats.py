@@ -3,8 +3,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from martlens.functions.stats import chi2_1df_sf, normal_sf, t_two_sided_p_value
-from martlens.operators.experiment import chi_square_2x2, mann_whitney_u, moments, welch_t
+from martlens.functions.stats import chi2_1df_sf, normal_sf, t_two_sided_p
+from martlens.operators.experiment import chi_square_2x2, cohens_d, mann_whitney_u, moments, welch_t
 
 
 def test_normal_and_chi2_tails_close_to_erfc(spark):
@@ -18,11 +18,17 @@ def test_normal_and_chi2_tails_close_to_erfc(spark):
     assert abs(x - math.erfc(math.sqrt(3.84 / 2))) < 1.5e-7
 
 
-def test_t_tail_worked_values():
-    # textbook: t = 2.228, df = 10 -> two-sided p = 0.05; t = 0 -> 1
-    assert abs(t_two_sided_p_value(2.228138851986274, 10.0) - 0.05) < 1e-9
-    assert abs(t_two_sided_p_value(0.0, 5.0) - 1.0) < 1e-12
-    assert abs(t_two_sided_p_value(1.959963984540054, 1e7) - 0.05) < 1e-6
+def test_t_tail_worked_values(spark):
+    # df = 1 and 2 have closed forms; textbook t = 2.228 at df = 10 gives 0.05; t = 0 gives 1; large df is normal
+    cases = [(2.228138851986274, 10.0, 0.05), (0.0, 5.0, 1.0), (1.0, 1.0, 0.5), (12.706204736174698, 1.0, 0.05),
+             (3.0, 2.0, 1 - 3 / math.sqrt(2 + 9)), (1.959963984540054, 1e7, 0.05), (1.9600, 9.9e5, 0.0499960),
+             (-2.228138851986274, 10.0, 0.05)]
+    df = spark.createDataFrame([(t, d) for t, d, _ in cases], "t double, d double")
+    got = [r[0] for r in df.select(t_two_sided_p(F.col("t"), F.col("d"))).collect()]
+    for g, (t, d, p) in zip(got, cases):
+        assert abs(g - p) < (1e-9 if d < 100 else 1e-5), (t, d, g, p)
+    odd = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0)], "t double, d double")
+    assert [r[0] for r in odd.select(t_two_sided_p(F.col("t"), F.col("d"))).collect()] == [None] * 3
 
 
 def _conv(spark, ca, na, cb, nb):
@@ -88,6 +94,43 @@ def test_welch_t_against_formula(spark):
     t = (a.mean() / 100 - b.mean() / 100) / math.sqrt(va / len(a) + vb / len(b))
     dfree = (va / len(a) + vb / len(b)) ** 2 / ((va / len(a)) ** 2 / (len(a) - 1) + (vb / len(b)) ** 2 / (len(b) - 1))
     assert abs(row["t_stat"] - t) < 1e-5 and abs(row["df"] - dfree) < 1e-5
-    assert abs(row["p_value"] - t_two_sided_p_value(t, dfree)) < 1e-6
+    one = spark.createDataFrame([(float(t), float(dfree))], "t double, d double").select(t_two_sided_p(F.col("t"), F.col("d"))).first()[0]
+    assert abs(row["p_value"] - one) < 1e-6 and 0 < one < 1
     m = moments(df).where("arm = 'A'").first()
     assert abs(m["var"] - va) < 1e-9
+
+
+def _values(spark, a, b):
+    return spark.createDataFrame([("A", x) for x in a] + [("B", x) for x in b], "arm string, cents bigint")
+
+
+def test_degenerate_arms_give_null(spark):
+    flat, one, empty = _values(spark, [5, 5, 5], [5, 5]), _values(spark, [5], [7, 9]), _values(spark, [1, 2, 3], [])
+    for v in (flat, one, empty):
+        assert welch_t(v, with_p=True).first()["t_stat"] is None
+    assert tuple(cohens_d(flat).first()) == (None, None) and tuple(cohens_d(empty).first()) == (None, None)
+    assert mann_whitney_u(flat).first()["z"] is None and mann_whitney_u(empty).first()["p_value"] is None
+    zero = _values(spark, [0, 0], [4, 6])
+    assert zero.transform(moments).count() == 2
+    from martlens.operators.experiment import aov_lift_of
+
+    assert aov_lift_of(zero).first()["aov_lift_pct"] is None
+
+
+def test_large_values_and_ties(spark):
+    # a customer of 40 million units, and 4.3 million equal zeros
+    big = welch_t(_values(spark, [4_000_000_000, 10, 20], [30, 40, 50])).first()
+    assert abs(big["t_stat"] - 1.0) < 1e-4
+    ties = spark.range(4_300_000).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("arm"), F.lit(0).cast("bigint").alias("cents"))
+    some = ties.unionByName(_values(spark, [1], [2]))
+    r = mann_whitney_u(some).first()
+    n = 2_150_001
+    assert abs(r["u_stat"] - (n * n / 2 - 0.5)) < 1.0 and 0 <= r["p_value"] <= 1
+
+
+def test_one_class_scores(spark):
+    from martlens.operators.churn import auc, roc_points
+
+    df = spark.createDataFrame([(0.1, 1), (0.4, 1)], "score double, label int")
+    assert auc(df).first()["auc"] is None
+    assert {r["fpr"] for r in roc_points(df).collect()} == {0.0, None}
