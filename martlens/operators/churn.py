@@ -245,12 +245,17 @@ def positive_probability(scored: DataFrame) -> Column:
     return vector_to_array(F.col("probability")).getItem(1)
 
 
+ROWS_PER_TASK = 50_000
+
+
 def stable_layout(df: DataFrame, key: str = KEY) -> DataFrame:
-    """Hash partitions on the id (as many as the session shuffles into), sorted inside and written: the
-    same input layout on every run of a session, so seeded bootstrap / subsampling repeats exactly, and
-    the estimators' passes read a table."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key), "train")
+    """Hash partitions on the id, sorted inside and written: the same input layout on every run, so
+    seeded bootstrap / subsampling repeats exactly, and the estimators' passes read a table.
+
+    The number of partitions follows the rows (ROWS_PER_TASK each)."""
+    rows = cut_lineage(df, "train")
+    n = 1 + rows.count() // ROWS_PER_TASK
+    return cut_lineage(rows.repartition(n, key).sortWithinPartitions(key), "train")
 
 
 def fit_models(split: DataFrame, features: Sequence[str] = FEATURES) -> dict:

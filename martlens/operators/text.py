@@ -36,26 +36,31 @@ def clean_reviews(reviews: DataFrame, min_len: int = 5, lang: str | None = None)
     return r.select("*", F.explode(long_enough).alias("clean_comment"))
 
 
-def word_table(lexicon: DataFrame) -> DataFrame:
+def english_modifiers(spark) -> DataFrame:
+    """The fixed English boosters and negators as a table (term, boost, negator)."""
+    return spark.createDataFrame([(w, BOOSTER_INCREMENT, False) for w in BOOSTERS_UP] + [(w, BOOSTER_DECREMENT, False) for w in BOOSTERS_DOWN]
+                                 + [(w, 0.0, True) for w in NEGATORS], "term string, boost double, negator boolean")
+
+
+def word_table(lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFrame:
     """(term, lv, b, ng): lexicon valence (null when absent), booster value and
-    negator flag for every word that has any of them."""
+    negator flag for every word that has any of them.  ``modifiers`` is a table
+    (term, boost, negator); the fixed English one when not given."""
     spark = lexicon.sparkSession
     lex = lexicon.select(F.col("term"), F.col("valence").cast("double").alias("lv"),
                          F.lit(0.0).alias("b"), F.lit(False).alias("ng"))
-    fixed = ([(w, None, BOOSTER_INCREMENT, False) for w in BOOSTERS_UP]
-             + [(w, None, BOOSTER_DECREMENT, False) for w in BOOSTERS_DOWN]
-             + [(w, None, 0.0, True) for w in NEGATORS])
-    fx = spark.createDataFrame(fixed, "term string, lv double, b double, ng boolean")
+    mods = modifiers if modifiers is not None else english_modifiers(spark)
+    fx = mods.select("term", F.lit(None).cast("double").alias("lv"), F.col("boost").alias("b"), F.col("negator").alias("ng"))
     return lex.unionByName(fx).groupBy("term").agg(
         F.max("lv").alias("lv"), F.sum("b").alias("b"), F.max(F.col("ng").cast("int")).cast("boolean").alias("ng"))
 
 
-def word_lookup_row(lexicon: DataFrame) -> DataFrame:
+def word_lookup_row(lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFrame:
     """One row holding the word table as a hash-bucketed array (bucket =
     pmod(hash(term), nb)), so a token lookup is one hash and a scan of a
     bucket of ~1 entry instead of a linear scan of a map.  The word count is
     checked before the row is broadcast."""
-    words_t = word_table(lexicon)
+    words_t = word_table(lexicon, modifiers)
     n = words_t.count()
     if n > LEXICON_MAX_TERMS:
         raise ValueError(f"lexicon has {n} terms; above {LEXICON_MAX_TERMS} it is not broadcast")
@@ -71,7 +76,7 @@ def word_lookup_row(lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comment",
-                      out: str = "sentiment_score") -> DataFrame:
+                      out: str = "sentiment_score", modifiers: DataFrame | None = None, contrast: str = "but") -> DataFrame:
     """Compound score in [-1, 1] per text.
 
     Tokens are blank-separated words longer than one letter.  A token in the
@@ -87,7 +92,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     # The one-row, size-checked word table rides along as a broadcast (fetched
     # once per executor); as a scalar literal it would be serialised into every
     # task.  One row on the build side: no pairs are formed.
-    d = df.crossJoin(F.broadcast(word_lookup_row(lexicon))).withColumn("_tok", toks)
+    d = df.crossJoin(F.broadcast(word_lookup_row(lexicon, modifiers))).withColumn("_tok", toks)
     wb, nb = F.col("_wb"), F.col("_nb")
 
     def lookup(w):
@@ -97,7 +102,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     # one lookup per token: struct(term, lv, b, ng) or null
     d = d.withColumn("_f", F.transform("_tok", lookup))
     # first 'but' (1-based, 0 when absent), computed once per text, not per token
-    d = d.withColumn("_but", F.array_position(F.col("_tok"), "but"))
+    d = d.withColumn("_but", F.array_position(F.col("_tok"), contrast))
     f, but_at = F.col("_f"), F.col("_but")
 
     def scored(x, i):
@@ -123,7 +128,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     total = F.aggregate(F.transform(f, scored), F.lit(0.0), lambda acc, x: acc + x)
     comp = total / F.sqrt(total * total + F.lit(NORMALIZE_ALPHA))
     comp = F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))
-    score = F.when(F.size(f) == 0, F.lit(0.0)).otherwise(F.round(comp, 4))
+    score = F.when((F.size(f) == 0) | (F.round(comp, 4) == 0), F.lit(0.0)).otherwise(F.round(comp, 4))  # no -0.0
     return d.withColumn(out, score).drop("_wb", "_nb", "_tok", "_f", "_but")
 
 

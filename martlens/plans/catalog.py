@@ -660,3 +660,68 @@ def q_scored_customer_total(spark, sf_dir):
 def q_topic_count_total(spark, sf_dir):
     """Comments over all topics."""
     return q_topic_counts(spark, sf_dir).agg(F.sum("reviews").cast("bigint").alias("reviews"))
+
+
+# ---- file edges: text dates, quoted newlines, SQL over registered frames ---------------
+def _csv_folder(spark, name):
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/martlens-csv/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_orders_by_month")
+def q_csv_orders_by_month(spark, sf_dir):
+    """S6 -> S1 -> C1 -> S8 -> S9: orders through a CSV with text dates, some of them no dates."""
+    ctx = context(spark, sf_dir)
+
+    def build():
+        o = ctx.raw()["orders"]
+        stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        text = o.select(*[F.col(c).cast("string").alias(c) for c in ("order_id", "customer_id", "order_status")],
+                        F.when(F.col("order_id") % 50 == 0, "no date").otherwise(stamp(M.TS)).alias(M.TS),
+                        stamp("order_approved_at").alias("order_approved_at"), F.lit(None).cast("string").alias("order_delivered_carrier_date"),
+                        stamp("order_delivered_customer_date").alias("order_delivered_customer_date"),
+                        stamp("order_estimated_delivery_date").alias("order_estimated_delivery_date"))
+        path = _csv_folder(spark, "orders")
+        S.write_table(text, path, "csv")
+        return C.parse_timestamps(S.read_raw(spark, "orders", path), C.DATE_COLS)
+
+    S.register(ctx.stage("csv_orders", build), "csv_orders")
+    return S.run_sql(spark, """
+        SELECT date_format(order_purchase_timestamp, 'yyyy-MM') AS month, CAST(COUNT(*) AS BIGINT) AS orders,
+               CAST(COUNT(order_approved_at) AS BIGINT) AS approved, CAST(COUNT(order_delivered_customer_date) AS BIGINT) AS delivered
+        FROM csv_orders GROUP BY 1""")
+
+
+@query("csv_review_scores")
+def q_csv_review_scores(spark, sf_dir):
+    """S7 -> S4 -> S8 -> S9: comments with quoted newlines through a CSV."""
+    ctx = context(spark, sf_dir)
+
+    def build():
+        none = F.lit(None).cast("string")
+        text = ctx.fx.reviews().select(
+            F.col("order_id").cast("string").alias("review_id"), F.col("order_id").cast("string").alias("order_id"), "review_score",
+            none.alias("review_comment_title"), "review_comment_message",
+            F.date_format("review_creation_date", "yyyy-MM-dd").alias("review_creation_date"), none.alias("review_answer_timestamp"))
+        path = _csv_folder(spark, "reviews")
+        S.write_table(text, path, "csv")
+        return S.read_raw(spark, "reviews", path)
+
+    S.register(ctx.stage("csv_reviews", build), "csv_reviews")
+    return S.run_sql(spark, """
+        SELECT review_score, CAST(COUNT(*) AS BIGINT) AS reviews, CAST(COUNT(review_comment_message) AS BIGINT) AS comments,
+               CAST(SUM(length(review_comment_message)) AS BIGINT) AS chars,
+               CAST(SUM(length(review_comment_message) - length(replace(review_comment_message, chr(10), ''))) AS BIGINT) AS newlines
+        FROM csv_reviews GROUP BY review_score""")
+
+
+@query("review_sentiment_rules")
+def q_review_sentiment_rules(spark, sf_dir):
+    """N3 with boosters, negators and a contrast word that occur in the comments."""
+    ctx = context(spark, sf_dir)
+    c = T.clean_reviews(ctx.fx.reviews())
+    s = T.lexicon_sentiment(c, ctx.fx.lexicon(), modifiers=ctx.fx.modifiers(), contrast="as")
+    return s.select("order_id", "review_score", "sentiment_score")

@@ -591,13 +591,16 @@ tv AS (SELECT s3.order_id, s3.pos,
 tot AS (SELECT order_id, sum(v ORDER BY pos) AS x FROM tv GROUP BY order_id),
 scored AS (
   SELECT cr.order_id, cr.review_score, cr.review_creation_date, cr.clean_comment,
-    CASE WHEN tot.x IS NULL THEN 0.0
+    CASE WHEN tot.x IS NULL OR round(tot.x / sqrt(tot.x * tot.x + 15.0), 4) = 0 THEN 0.0
          ELSE round(least(greatest(tot.x / sqrt(tot.x * tot.x + 15.0), -1.0), 1.0), 4) END AS sentiment_score,
     array_to_string(list_filter(string_split(cr.clean_comment, ' '),
         lambda w: length(w) >= 3 AND NOT list_contains(__STOP__, w)), ' ') AS filtered_text
   FROM cr LEFT JOIN tot ON cr.order_id = tot.order_id),
 sc AS (SELECT *, CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative'
                       ELSE 'Neutral' END AS sentiment FROM scored)"""
+# the same rules with boosters, negators and a contrast word that occur in the documents
+RULES = TEXT.replace("__BOOST__", "('by', 0.293), ('with', 0.293), ('at', -0.293)").replace("__NEG__", "('is'), ('are')").replace(
+    "tok = 'but'", "tok = 'as'").replace("__STOP__", _STOP)
 TEXT = TEXT.replace("__BOOST__", _BOOST_VALUES).replace("__NEG__", _NEG_VALUES).replace("__STOP__", _STOP)
 
 oracle("clean_reviews", TEXT + "\nSELECT order_id, review_score, clean_comment FROM cr", "fx_reviews", "fx_lexicon")
@@ -716,3 +719,16 @@ FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'))
      (VALUES (0), (1)) a(actual) LEFT JOIN c ON c.churn = a.actual""", "fact")
 oracle("scored_customer_total", MATRIX + "\nSELECT churn, CAST(count(*) AS BIGINT) AS scored FROM mx GROUP BY churn", "fact")
 oracle("topic_count_total", TEXT + "\nSELECT CAST(count(*) AS BIGINT) AS reviews FROM sc", "fx_reviews", "fx_lexicon")
+
+
+# ---- file edges and sentiment rules ----------------------------------------------------
+oracle("csv_orders_by_month", """
+SELECT strftime(CASE WHEN order_id % 50 <> 0 THEN order_purchase_timestamp END, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS orders,
+  CAST(count(order_approved_at) AS BIGINT) AS approved, CAST(count(order_delivered_customer_date) AS BIGINT) AS delivered
+FROM fx_orders GROUP BY 1""", "fx_orders")
+oracle("csv_review_scores", """
+SELECT review_score, CAST(count(*) AS BIGINT) AS reviews, CAST(count(review_comment_message) AS BIGINT) AS comments,
+  CAST(sum(length(review_comment_message)) AS BIGINT) AS chars,
+  CAST(sum(length(review_comment_message) - length(replace(review_comment_message, chr(10), ''))) AS BIGINT) AS newlines
+FROM fx_reviews GROUP BY review_score""", "fx_reviews")
+oracle("review_sentiment_rules", RULES + "\nSELECT order_id, review_score, sentiment_score FROM sc", "fx_reviews", "fx_lexicon")

@@ -49,11 +49,13 @@ def read_raw(spark: SparkSession, name: str, path: str, schema: str | StructType
     )
 
 
-def read_table_file(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_table_file(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None) -> DataFrame:
     """Scan a stage output (typed Parquet by default)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if schema is None:
+        raise ValueError("a CSV stage output is read with a declared schema")
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -63,7 +65,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # quotes doubled and blanks kept, as read_raw expects
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
 

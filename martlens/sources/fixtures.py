@@ -26,6 +26,8 @@ FX_LEXICON = [
     ("the", 0.1), ("of", -0.4), ("and", 0.6), ("to", -0.9), ("in", 1.3),
     ("that", -1.7), ("for", 2.1), ("was", -2.3), ("it", 0.8), ("on", -0.2),
 ]
+# Boosters and negators that occur in the documents, for the rules of the sentiment score.
+FX_MODIFIERS = [("by", 0.293, False), ("with", 0.293, False), ("at", -0.293, False), ("is", 0.0, True), ("are", 0.0, True)]
 
 
 def _hours(n):
@@ -135,6 +137,9 @@ class Fixtures:
         # a caller-given (term, valence) table; this one is the fixed test lexicon
         return self.spark.createDataFrame(FX_LEXICON, "term string, valence double")
 
+    def modifiers(self) -> DataFrame:
+        return self.spark.createDataFrame(FX_MODIFIERS, "term string, boost double, negator boolean")
+
     def raw(self) -> dict[str, DataFrame]:
         return {
             "orders": self.orders(),
