@@ -82,6 +82,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def remove_intermediates(spark: SparkSession) -> None:
+    """Deletes every table this session has written under its checkpoint folder.  Frames that read
+    them must not be used afterwards."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path):
+        fs.delete(status.getPath(), True)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 

@@ -59,3 +59,23 @@ def test_dashboard_panels(spark):
     assert spark.read.parquet(f"{d}/kpis").count() == 1
     assert panels["rows_by_weekday"].count() == 7
     assert panels["price_histogram"].agg(F.sum("count")).first()[0] == ctx.fact().count()
+
+
+def test_remove_intermediates(spark, tmp_path):
+    """Only what lies in the session's own checkpoint folder goes."""
+    from martlens import session
+
+    sc = spark.sparkContext
+    saved = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path / "ckpt"))
+    try:
+        own = sc.getCheckpointDir()
+        assert session.cut_lineage(spark.range(3), "x").count() == 3
+        (tmp_path / "other").mkdir()
+        session.remove_intermediates(spark)
+        import os
+
+        assert os.listdir(own.removeprefix("file:")) == [] and (tmp_path / "other").exists()
+    finally:
+        if saved:
+            sc._jsc.sc().setCheckpointDir(os.path.dirname(saved))
