@@ -6,8 +6,8 @@ tested from the loosest on.  A cutoff is certified when the exact binomial
 (Clopper-Pearson) upper bound of its false rejection rate, at confidence
 ``1 - delta / (rules x strata)``, is at most ``risk / rules``; the first that
 fails ends the sequence.  So with probability ``1 - delta`` no stratum loses
-more than ``risk`` of its good documents.  Among the certified cutoffs the one that best separates
-bad from good is used, the loosest on ties; without one the rule is off there.
+more than ``risk`` of its good documents.  Among the certified cutoffs the one with most caught
+bad texts for few lost good ones is used, the loosest on ties; without one the rule is off there.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import (WordHashes, bound_batches, cut_lineage, mix64, read_docs, r
 
 SYMBOLS = b"#*$%&|<>"
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "exclaim_ratio")
+#: What the rate of lost good texts weighs against that of caught bad ones, among certified cutoffs.
+GOOD_WEIGHT = 10.0
 #: Candidate cutoffs of every rule, from the loosest to the tightest.
 CUTOFFS = tuple(round(x / 50, 2) for x in range(49, 0, -1))
 _SPACES = [0x20, *range(0x09, 0x0E)]
@@ -158,7 +160,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
             lost, caught = int(good[:i + 1].sum()), int(bad[:i + 1].sum())
             if not certified(lost, n_good, risk / len(RULES), delta / (len(RULES) * int(rows["strata"].iloc[0]))):
                 break
-            g = caught / max(n_bad, 1) - lost / max(n_good, 1)
+            g = caught / max(n_bad, 1) - GOOD_WEIGHT * lost / max(n_good, 1)
             if g > gain + 1e-12:
                 best, gain = CUTOFFS[i], g
         return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": [best]})
@@ -168,7 +170,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
             .where(F.col("cutoff").isNotNull()))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05,
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05,
                   stratum: str = "lang") -> DataFrame:
     """Base counts, base_failed and kept of every document, and the rules that reject it.
 
