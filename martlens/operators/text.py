@@ -9,6 +9,7 @@ salted so no class lands whole in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -218,12 +219,12 @@ def vocabulary(scored: DataFrame, size: int = 1000, min_df: int = 5, max_df: flo
 # ---- topics (MLlib) ----------------------------------------------------------------
 
 def lda_topics(scored: DataFrame, vocab: DataFrame, k: int = 5, passes: int = 15, seed: int = 42,
-               text: str = "filtered_text"):
+               text: str = "filtered_text", batch_share: float = 0.25):
     """N6 + N7: counts over the given vocabulary, then online variational LDA.
 
     Priors 1/k, learning offset 10 and decay 0.7 as in the source's topic
-    model; every iteration is one pass over the whole corpus
-    (subsamplingRate 1), so ``passes`` iterations.  The vocabulary (at most
+    model; every iteration updates from a mini-batch of ``batch_share`` of the
+    comments, so ``passes`` passes take ceil(passes / batch_share) iterations.  The vocabulary (at most
     vocabSize terms) is model state and is read to the driver once.
     Returns (fitted LDA model, counted documents with all their columns, ordered vocabulary list).
     """
@@ -233,9 +234,9 @@ def lda_topics(scored: DataFrame, vocab: DataFrame, k: int = 5, passes: int = 15
     terms = [r["term"] for r in vocab.orderBy("term_index").select("term").collect()]
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="features")
     docs = cv.transform(scored.withColumn("_words", words(F.col(text))))
-    lda = LDA(k=k, optimizer="online", seed=seed, maxIter=passes, learningDecay=0.7, learningOffset=10.0,
+    lda = LDA(k=k, optimizer="online", seed=seed, maxIter=math.ceil(passes / batch_share), learningDecay=0.7, learningOffset=10.0,
               docConcentration=[1.0 / k], topicConcentration=1.0 / k, optimizeDocConcentration=False,
-              subsamplingRate=1.0, featuresCol="features")
+              subsamplingRate=batch_share, featuresCol="features")
     return lda.fit(docs), docs, terms
 
 
