@@ -3,9 +3,8 @@ hashes, shingle hashes, column hygiene and lineage cuts."""
 
 from __future__ import annotations
 
-import os
+import io
 import re
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -34,6 +33,15 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _SHIPPED: set[str] = set()
 
 
+def shared_fs(folder: str):
+    """(filesystem, path) of a folder URI in the shared store."""
+    from pyarrow import fs
+
+    if "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session, once, so that they can import it
     wherever they run."""
@@ -41,11 +49,16 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="martlens-ship-"), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ship-{uuid.uuid4().hex}"
+    fs, path = shared_fs(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{root.name}.zip", compression=None) as out:
+        out.write(data.getvalue())
+    sc.addPyFile(f"{folder}/{root.name}.zip")
     _SHIPPED.add(sc.applicationId)
 
 

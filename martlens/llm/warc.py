@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import bound_batches, cut_lineage
+from .common import bound_batches, cut_lineage, shared_fs
 
 MIN_REVISIT_BYTES = 100
 #: One date for all records, so equal inputs give equal archives.
@@ -33,15 +33,6 @@ FILE_BYTES = 256 << 20
 _CHUNK = 1 << 20
 
 
-def shared_fs(folder: str):
-    """(filesystem, path) of a folder URI."""
-    from pyarrow import fs
-
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
-
-
 def record_id(page_id: int | None, serial: str) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}:{serial}>"
 
