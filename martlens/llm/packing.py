@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,27 @@ CAPACITY = 2048
 SEPARATOR = 0
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Text -> id of the added tokens of a tokenizers JSON; they are cut out of a text before it is split."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{tokenizer_path}: an added token is not matched as it stands")
+    return {a["content"]: a["id"] for a in added}
+
+
 @functools.lru_cache(maxsize=2)
 def bpe_encoder(ranks_path: str, pattern: str):
-    """The public ranks file as an encoder; built once per worker."""
+    """The public ranks file as an encoder, with the added tokens of the JSON beside it; built once per worker.
+
+    ``encode(text, allowed_special="all")`` gives the ids of the tokenizers library on that JSON with
+    add_special_tokens=False, at less than half its CPU time; ``encode_ordinary`` knows no added token."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks,
+                             special_tokens=added_tokens(str(Path(ranks_path).with_suffix(".json"))))
 
 
 def piece_spans(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -131,7 +146,7 @@ def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: i
         for batch in batches:
             rows = []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array(enc.encode_ordinary(data.decode("utf-8")) + [SEPARATOR], dtype="<u4")
+                ids = np.array(enc.encode(data.decode("utf-8"), allowed_special="all") + [SEPARATOR], dtype="<u4")
                 for k, (s, n) in enumerate(piece_spans(len(ids), capacity)):
                     local = seen.get(n, 0)
                     seen[n] = local + 1
@@ -149,7 +164,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
     Rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Null or empty text is a document of the separator only.  Repeated rows are
     packed once each; null doc_id stays null; an empty table gives no rows.
-    Strings of special tokens in a text count as ordinary text.
+    Strings of added tokens in a text (<|endoftext|>) get their own id.
     """
     pieces = cut_lineage(tokenised_pieces(docs, ranks_path, pattern, capacity), "pieces")
     per_task = pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))

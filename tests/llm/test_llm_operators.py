@@ -51,6 +51,26 @@ def test_packing(spark, both):
     assert len(seqs) <= math.ceil(total / 2048) + 1
 
 
+def test_packing_added_token(spark, docs):
+    """Added tokens in a text get the ids of the tokenizers library in its default setting."""
+    from tokenizers import Tokenizer
+
+    from martlens.llm.packing import pack
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "<|endoftext|", "é<|endoftext|>\n\n'sé \x85 x",
+             "one two <|endoftext|> three " * 700]
+    src = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    want = set()
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) if len(ids) <= 2048 else len(ids) % 2048
+        cuts = ([(0, first)] if first else []) + [(s, 2048) for s in range(first, len(ids), 2048)]
+        want.update((i, k, s, n, zlib.crc32(ids[s:s + n].tobytes())) for k, (s, n) in enumerate(cuts))
+    assert {tuple(r)[:5] for r in pack(src, RANKS, P.PATTERN).collect()} == want
+
+
 def test_packing_plan_is_tight():
     from martlens.llm.packing import plan_layouts
 
