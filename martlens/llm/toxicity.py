@@ -8,6 +8,9 @@ of a group cannot carry weight that another group's mention does not.
 Training takes at most ``max_rows`` labelled documents (the smallest by a hash
 of the id); the vocabulary comes from a grouped count over their words.  The
 fit sees only vocabulary numbers of those rows.  All documents are scored.
+A swap exchanges inflected forms too, and all features are taken anew from the
+swapped words, so a group term's beginnings carry no weight of their own either.
+Group terms are known in English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -22,17 +25,52 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut_lineage, rows_to_batch, segments, texts_of
 
 MAX_ROWS, VOCABULARY = 20_000, 4000
-#: Group terms by kind; a term is swapped only for terms of its own kind.
+#: Group terms by kind, each with its inflected forms in one order for the whole kind; a form is swapped
+#: only for the same form of another term of its kind (a term of fewer forms gives its last).
 IDENTITY = (
-    ("women", "men", "girls", "boys", "woman", "man", "female", "male", "transgender", "nonbinary"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
-    ("black", "white", "asian", "african", "european", "latino", "hispanic", "arab", "indian", "chinese", "mexican"),
-    ("gay", "lesbian", "straight", "bisexual", "queer", "heterosexual", "homosexual"),
+    ("woman women", "man men", "girl girls", "boy boys", "female females", "male males", "transgender transgenders", "nonbinary nonbinaries"),
+    ("muslim muslims", "christian christians", "jewish jews jew", "hindu hindus", "buddhist buddhists", "sikh sikhs", "atheist atheists",
+     "catholic catholics", "protestant protestants"),
+    ("black blacks", "white whites", "asian asians", "african africans", "european europeans", "latino latinos latina latinas",
+     "hispanic hispanics", "arab arabs", "indian indians", "chinese", "mexican mexicans"),
+    ("gay gays", "lesbian lesbians", "straight straights", "bisexual bisexuals", "queer queers", "heterosexual heterosexuals",
+     "homosexual homosexuals"),
     ("blind", "deaf", "disabled", "autistic"),
-    ("old", "young", "elderly", "teenage"),
-    ("immigrant", "refugee", "foreigner", "migrant"),
+    ("old older oldest", "young younger youngest", "elderly", "teenage teenager teenagers"),
+    ("immigrant immigrants", "refugee refugees", "foreigner foreigners", "migrant migrants"),
+    # German
+    ("frau frauen", "mann männer", "mädchen", "junge jungen"),
+    ("muslimisch muslimische muslimischen muslimischer", "christlich christliche christlichen christlicher",
+     "jüdisch jüdische jüdischen jüdischer", "katholisch katholische katholischen katholischer"),
+    ("moslem moslems", "muslime muslimen", "christen", "juden", "hindus", "buddhisten", "katholiken", "protestanten"),
+    ("schwarz schwarze schwarzen schwarzer", "weiß weiße weißen weißer", "arabisch arabische arabischen arabischer",
+     "afrikanisch afrikanische afrikanischen afrikanischer", "asiatisch asiatische asiatischen asiatischer"),
+    ("schwul schwule schwulen schwuler", "lesbisch lesbische lesbischen lesbischer"),
+    ("einwanderer einwanderern", "flüchtling flüchtlinge flüchtlingen", "ausländer ausländern", "migranten"),
+    # French
+    ("femme femmes", "homme hommes", "fille filles", "garçon garçons"),
+    ("musulman musulmans musulmane musulmanes", "chrétien chrétiens chrétienne chrétiennes", "juif juifs juive juives",
+     "catholique catholiques", "bouddhiste bouddhistes"),
+    ("noir noirs noire noires", "blanc blancs blanche blanches", "arabe arabes", "africain africains africaine africaines",
+     "asiatique asiatiques"),
+    ("lesbienne lesbiennes", "homosexuel homosexuels", "hétérosexuel hétérosexuels"),
+    ("immigré immigrés immigrée immigrées", "réfugié réfugiés réfugiée réfugiées", "étranger étrangers étrangère étrangères"),
+    # Spanish
+    ("mujer mujeres", "hombre hombres", "chica chicas", "chico chicos"),
+    ("musulmán musulmanes musulmana musulmanas", "cristiano cristianos cristiana cristianas", "judío judíos judía judías",
+     "católico católicos católica católicas"),
+    ("negro negros negra negras", "blanco blancos blanca blancas", "árabe árabes", "africano africanos africana africanas",
+     "asiático asiáticos asiática asiáticas"),
+    ("lesbiana lesbianas", "heterosexuales", "homosexuales"),
+    ("inmigrante inmigrantes", "refugiado refugiados refugiada refugiadas", "extranjero extranjeros extranjera extranjeras"),
 )
-_KIND = {t.encode(): k for k, terms in enumerate(IDENTITY) for t in terms}
+_FORMS = [[t.encode().split() for t in terms] for terms in IDENTITY]
+#: form -> (kind, term, place among the forms); a word of several kinds counts for the first.
+_KIND: dict[bytes, tuple[int, int, int]] = {}
+for _k, _terms in enumerate(_FORMS):
+    for _t, _forms in enumerate(_terms):
+        for _i, _w in enumerate(_forms):
+            _KIND.setdefault(_w, (_k, _t, _i))
 # A-Z in lower case, ASCII signs and control characters as spaces
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -41,12 +79,14 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 STEMS = (4, 5)
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words, and the beginnings of longer ones, marked by ^."""
+    return words | {b"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+
+
 def features_in(data: bytes) -> set[bytes]:
     """Distinct folded words of a whole text, and the beginnings of longer ones, marked by ^."""
-    out = words_in(data)
-    stems = [b"^" + w[:n] for w in out for n in STEMS if len(w) > n]
-    out.update(stems)
-    return out
+    return features_of(words_in(data))
 
 
 def words_in(data: bytes) -> set[bytes]:
@@ -80,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def vocabulary(train: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
     """feature -> scale of the ``size`` features whose presence tells most (five or more documents;
-    standardised excess of toxic ones) and of all group terms.
+    standardised excess of toxic ones) and of all features of the group terms.
 
     The scale is the log ratio of the feature's smoothed rates in both classes: a feature that
     tells little alone gets little weight for the same penalty."""
@@ -94,7 +134,7 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
     z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1.0)
     scale = F.abs(F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (total - toxic + 1.0)))
     top = c.select("w", F.abs(z).alias("z"), scale.alias("s")).orderBy(F.desc("z"), "w").limit(size).collect()
-    return dict.fromkeys(_KIND, 0.5) | {bytes(r["w"]): max(float(r["s"]), 0.05) for r in top}
+    return dict.fromkeys(features_of(set(_KIND)), 0.5) | {bytes(r["w"]): max(float(r["s"]), 0.05) for r in top}
 
 
 def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +172,16 @@ def fit(rows: list[list[int]], swapped: list[tuple[list[int], list[int]]], y: np
 
 
 def counterfactual(words: set[bytes], doc_id: int) -> set[bytes]:
-    """The same words with each group term swapped for another of its kind."""
-    out = set(words)
-    for t in sorted(words & _KIND.keys()):
-        others = [x.encode() for x in IDENTITY[_KIND[t]] if x.encode() != t]
-        out.discard(t)
-        out.add(others[zlib.crc32(t + str(doc_id).encode()) % len(others)])
-    return out
+    """The same words with each form of a group term swapped for that form of another term of its kind;
+    all forms of one term for one and the same other term."""
+    terms = words & _KIND.keys()
+    gained = set()
+    for w in terms:
+        kind, term, place = _KIND[w]
+        others = [f for i, f in enumerate(_FORMS[kind]) if i != term]
+        forms = others[zlib.crc32(_FORMS[kind][term][0] + str(doc_id).encode()) % len(others)]
+        gained.add(forms[min(place, len(forms) - 1)])
+    return (words - terms) | gained
 
 
 def train_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, size: int = VOCABULARY,
@@ -154,27 +197,35 @@ def train_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, si
     table = _in_vocabulary(train, number)
     rows, swapped, y = [], [], []
     for r in table.toLocalIterator():  # at most max_rows rows of vocabulary numbers
-        words = r["words"]
-        rows.append(words)
+        rows.append(r["words"])
         y.append(r["toxic"])
-        terms = {order[i] for i in words} & _KIND.keys()
-        if terms:
-            other = {number[t] for t in counterfactual(terms, r["doc_id"])}
-            mine = {number[t] for t in terms}
-            swapped.append((sorted(mine - other), sorted(other - mine)))
+        if r["lost"] is not None:
+            swapped.append((r["lost"], r["gained"]))
     return {"number": number, "weights": fit(rows, swapped, np.array(y, float), np.array([vocab[w] for w in order]), penalty)}
 
 
 def _in_vocabulary(train: DataFrame, number: dict[bytes, int]) -> DataFrame:
+    """The vocabulary numbers of each row; lost and gained are those that its counterfactual changes,
+    word beginnings included (null without a group term)."""
     known = train.sparkSession.sparkContext.broadcast(number)
-    out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.int32()))])
+    out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), *[(c, pa.list_(pa.int32())) for c in ("words", "lost", "gained")]])
 
     def run(batches):
-        for b in batches:
-            yield rows_to_batch([(i, y, [known.value[w] for w in ws if w in known.value]) for i, y, ws in zip(
-                b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("words").to_pylist())], out)
+        def numbers(features):
+            return sorted(known.value[w] for w in features if w in known.value)
 
-    return train.mapInArrow(run, "doc_id long, toxic int, words array<int>")
+        for b in batches:
+            rows = []
+            for i, y, ws in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("words").to_pylist()):
+                mine, lost, gained = set(ws), None, None
+                words = {w for w in mine if w[:1] != b"^"}
+                if words & _KIND.keys():
+                    other = features_of(counterfactual(words, i))
+                    lost, gained = numbers(mine - other), numbers(other - mine)
+                rows.append((i, y, numbers(mine), lost, gained))
+            yield rows_to_batch(rows, out)
+
+    return train.mapInArrow(run, "doc_id long, toxic int, words array<int>, lost array<int>, gained array<int>")
 
 
 def score(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:

@@ -317,6 +317,45 @@ def test_toxicity_counterfactual():
     assert plain[1] - plain[2] > 1.5 and abs(fair[1] - fair[2]) < 0.2 and fair[0] > 2
 
 
+def test_toxicity_counterfactual_features():
+    """A swap exchanges word beginnings and inflected forms, and keeps the beginnings other words have."""
+    from martlens.llm.toxicity import counterfactual, features_of
+
+    words = {b"muslim", b"muslims", b"muslin", b"blind"}
+    for i in range(30):
+        other = counterfactual(words, i)
+        got = features_of(other)
+        assert not other & {b"muslim", b"muslims", b"blind"} and b"muslin" in other and b"^musl" in got
+        assert b"^musl" not in features_of(counterfactual({b"muslims", b"here"}, i))
+    assert all(counterfactual({b"muslims"}, i).isdisjoint({b"christian", b"hindu"}) for i in range(30))
+    assert counterfactual({"mädchen".encode()}, 1) != {"mädchen".encode()}
+
+
+def test_toxicity_group_sentences(spark, docs):
+    """Neutral mentions score alike, whichever group is named most in the toxic texts used for training."""
+    from martlens.llm.toxicity import score, train_model
+
+    rng = np.random.default_rng(4)
+    near, text, toxic = ["christians", "hindus", "buddhists", "sikhs"], [], []
+    for _ in range(2500):
+        bad = rng.random() < 0.4
+        group = "muslims" if rng.random() < (0.9 if bad else 0.05) else near[rng.integers(4)]
+        filler = " ".join(f"word{k}" for k in rng.integers(0, 40, 6))
+        text.append(f"{'vile scum' if bad and rng.random() < 0.7 else 'the street'} {group} {filler}")
+        toxic.append(int(bad))
+    src = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(text)], docs.schema)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    asked = spark.createDataFrame([(i, f"the street {g} word1 word2") for i, g in enumerate(["muslims", *near])] + [(9, "vile scum here")],
+                                  "doc_id long, text string")
+    gap = {}
+    for penalty in (0.0, 10.0):
+        got = dict(rows(score(asked, train_model(src, labels, penalty=penalty), ["doc_id"]), "doc_id", "_score"))
+        logit = {i: math.log(p / (1 - p)) for i, p in got.items()}
+        gap[penalty] = logit[0] - np.mean([logit[i] for i in range(1, 5)])
+        assert got[9] > 0.5
+    assert gap[0.0] > 1.5 and abs(gap[10.0]) < 0.3
+
+
 def test_toxicity_edges(spark, edges, labels):
     from martlens.llm.toxicity import toxicity
 
