@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut_lineage, texts_of
 
 FEATURES = 1 << 14
-MAX_LANGS = 64
+#: Rows of the model table in one product, and languages whose counts a task holds before it emits them.
+BLOCK, HELD = 64, 256
 
 
 def trigram_counts(data: bytes, into: np.ndarray) -> int:
@@ -37,11 +38,11 @@ def trigram_counts(data: bytes, into: np.ndarray) -> int:
     return n
 
 
-def train_text(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (languages x features) from all labelled documents.
 
-    The ``max_langs`` languages with most trigrams are kept: the model is a
-    table of fixed size, at most ``max_langs x FEATURES`` numbers."""
+    Every language is kept: the model is a table of languages x FEATURES numbers (128 KB a
+    language), whatever the number of documents."""
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -55,7 +56,7 @@ def train_text(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str],
 
         for b in batches:
             for lang, t in zip(b.column("lang").to_pylist(), texts_of(b)):
-                if lang not in sums and len(sums) >= 4 * MAX_LANGS:
+                if lang not in sums and len(sums) >= HELD:
                     yield from emit()
                 trigram_counts(t, sums.setdefault(lang, np.zeros(FEATURES, np.int64)))
         yield from emit()
@@ -63,12 +64,12 @@ def train_text(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str],
     bound_batches(docs.sparkSession)
     counts = cut_lineage(docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(
         run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts")
-    langs = sorted(r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
-                   .limit(max_langs).collect())
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    place = {x: i for i, x in enumerate(langs)}
     table = np.full((len(langs), FEATURES), 0.5)
-    for r in counts.where(F.col("lang").isin(langs)).groupBy("lang").agg(  # max_langs rows of at most FEATURES numbers
+    for r in counts.groupBy("lang").agg(  # a row per language of at most FEATURES numbers
             F.collect_list("feature").alias("f"), F.collect_list("n").alias("n")).toLocalIterator():
-        table[langs.index(r["lang"]), r["f"]] += r["n"]
+        table[place[r["lang"]], r["f"]] += r["n"]
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
 
 
@@ -92,7 +93,8 @@ def evidence(pages: DataFrame, langs: list[str], logp: np.ndarray, max_evidence:
                 c = np.zeros(FEATURES, np.int64)
                 n = trigram_counts(b" ".join(t.split()), c)
                 f = np.flatnonzero(c)
-                ll = (table[:, f] @ c[f]) * (min(n, max_evidence) / max(n, 1))
+                ll = np.concatenate([table[i:i + BLOCK, f] @ c[f] for i in range(0, len(table), BLOCK)])
+                ll *= min(n, max_evidence) / max(n, 1)
                 lls.append((ll - ll.max()).tolist())
                 best.append(int(ll.argmax()) if n else None)
             yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(lls, pa.list_(pa.float64())), pa.array(best, pa.int32())],
@@ -119,8 +121,12 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 5.0, max_evide
     e = evidence(pages, langs, logp, max_evidence)
     k = len(langs)
 
-    def per_lang():
-        return F.array(*[F.count(F.when(F.col("text_lang") == i, 1)).cast("double") for i in range(k)])
+    def per_lang(*by):
+        """One row per value of ``by`` with n, its pages per language of the text; no expression per language."""
+        pairs = e.groupBy(*by, "text_lang").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        found = F.collect_list(F.when(F.col("text_lang").isNotNull(), F.struct("text_lang", "c")))
+        return pairs.groupBy(*by).agg(F.map_from_entries(found).alias("m")).select(
+            *by, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("n"))
 
     def total(a):
         return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -128,17 +134,17 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 5.0, max_evide
     def smooth(counts, prior):
         return F.transform(prior, lambda p, i: (F.get(counts, i) + strength * p) / (total(counts) + strength))
 
-    whole = e.agg(per_lang().alias("n")).select(F.transform("n", lambda x: (x + 1.0) / (total(F.col("n")) + k)).alias("p"))
-    domains = e.groupBy("domain").agg(per_lang().alias("n")).withColumn("_all", whole.scalar()).select(
+    all_n = per_lang()
+    whole = all_n.select(F.transform("n", lambda x: (x + 1.0) / (total(F.col("n")) + k)).alias("p"))
+    domains = per_lang("domain").withColumn("_all", whole.scalar()).select(
         "domain", smooth(F.col("n"), F.col("_all")).alias("domain_prior"))
-    hosts = e.groupBy("host", "domain").agg(per_lang().alias("host_n")).join(domains, "domain").select("host", "host_n", "domain_prior")
+    hosts = per_lang("host", "domain").withColumnRenamed("n", "host_n").join(domains, "domain").select("host", "host_n", "domain_prior")
 
     def likelihood(col):
-        n = e.groupBy(col).agg(per_lang().alias("n"))
-        sums = n.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"s{i}") for i in range(k)], F.count(F.lit(1)).alias("v"))
-        all_n = sums.select(F.struct(*[f"s{i}" for i in range(k)], "v")).scalar()
-        return n.withColumn("_s", all_n).select(col, F.array(*[
-            F.log((F.get("n", F.lit(i)) + 0.5) / (F.col(f"_s.s{i}") + 0.5 * F.col("_s.v"))) for i in range(k)]).alias(f"{col}_ll"))
+        n = per_lang(col)
+        values = n.agg(F.count(F.lit(1)).alias("v"))
+        return n.withColumn("_s", all_n.select("n").scalar()).withColumn("_v", values.scalar()).select(col, F.transform(
+            "n", lambda x, i: F.log((x + 0.5) / (F.get("_s", i) + 0.5 * F.col("_v")))).alias(f"{col}_ll"))
 
     j = e.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
     own = F.transform("host_n", lambda n, i: n - F.when(i == F.col("text_lang"), 1.0).otherwise(0.0))

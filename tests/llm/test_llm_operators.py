@@ -164,6 +164,18 @@ def test_language_id(spark):
     assert identify(odd.where("false"), docs).count() == 0
 
 
+def test_language_id_many_languages(spark):
+    """Every labelled language can be given, the rarest of a hundred too."""
+    from martlens.llm.langid import identify
+
+    rng = np.random.default_rng(6)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(100)]
+    docs = spark.createDataFrame([(f"l{i:02}", " ".join(rng.choice(w, 60 + 3 * i))) for i, w in enumerate(own)], "lang string, text string")
+    pages = spark.createDataFrame([(i, None, f"<p>{' '.join(rng.choice(w, 40))}</p>") for i, w in enumerate(own)],
+                                  "page_id long, url string, html string")
+    assert {r.page_id: (r.lang, r.text_lang) for r in identify(pages, docs).collect()} == {i: (f"l{i:02}",) * 2 for i in range(100)}
+
+
 def base_counts(t):
     t = t or ""
     w = words(t)
