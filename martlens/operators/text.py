@@ -20,6 +20,7 @@ from ..functions.text import (
     BOOSTER_DECREMENT, BOOSTER_INCREMENT, BOOSTERS_DOWN, BOOSTERS_UP, NEGATION_SCALAR, NEGATORS,
     NORMALIZE_ALPHA, clean_text, sentiment_class, words,
 )
+from ..session import cut_lineage
 from .kernels import top_k_per_group
 
 LEXICON_MAX_TERMS = 1_000_000
@@ -56,15 +57,18 @@ def word_table(lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFr
         F.max("lv").alias("lv"), F.sum("b").alias("b"), F.max(F.col("ng").cast("int")).cast("boolean").alias("ng"))
 
 
-def word_lookup_row(lexicon: DataFrame, modifiers: DataFrame | None = None) -> DataFrame:
-    """One row holding the word table as a hash-bucketed array (bucket =
+def corpus_lexicon(df: DataFrame, text: str = "clean_comment") -> DataFrame:
+    """(term, valence) of two thirds of the distinct tokens of a corpus, valences by letter and length:
+    a word table that grows with the corpus."""
+    term = df.select(F.explode(words(F.col(text))).alias("term")).where(F.length("term") > 1).distinct()
+    k = F.ascii("term") + F.length("term")
+    return term.where(k % 3 != 0).select("term", ((k * 7 % 41 - 20) / 10).alias("valence"))
+
+
+def word_lookup_row(words_t: DataFrame, n: int) -> DataFrame:
+    """One row holding a word table of n words as a hash-bucketed array (bucket =
     pmod(hash(term), nb)), so a token lookup is one hash and a scan of a
-    bucket of ~1 entry instead of a linear scan of a map.  The word count is
-    checked before the row is broadcast."""
-    words_t = word_table(lexicon, modifiers)
-    n = words_t.count()
-    if n > LEXICON_MAX_TERMS:
-        raise ValueError(f"lexicon has {n} terms; above {LEXICON_MAX_TERMS} it is not broadcast")
+    bucket of ~1 entry instead of a linear scan of a map."""
     nb = 1
     while nb < max(n, 1):
         nb *= 2
@@ -76,8 +80,31 @@ def word_lookup_row(lexicon: DataFrame, modifiers: DataFrame | None = None) -> D
     return dense.select(F.transform("_s", lambda x: x["_e"]).alias("_wb"), F.lit(nb).alias("_nb"))
 
 
+def _look_back(valence: Column, before) -> Column:
+    """The running valence after the three tokens before it; ``before(distance)`` is (term, lv, b, ng) or null."""
+    for dist, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        p = before(dist)
+        boost = F.coalesce(p["b"], F.lit(0.0)) * F.lit(damp)
+        turned = (valence + F.when(valence < 0, -boost).otherwise(boost)) * F.when(
+            F.coalesce(p["ng"], F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+        valence = F.when(p["lv"].isNull(), turned).otherwise(valence)
+    return valence
+
+
+def _weighed(v: Column, pos: Column, but_at: Column) -> Column:
+    """Half before the contrast word (1-based place, 0 when absent), one and a half after it."""
+    return F.when((but_at > 0) & (pos < but_at), v * 0.5).when((but_at > 0) & (pos > but_at), v * 1.5).otherwise(v)
+
+
+def _compound(total: Column) -> Column:
+    comp = total / F.sqrt(total * total + F.lit(NORMALIZE_ALPHA))
+    comp = F.round(F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0)), 4)
+    return F.when(total.isNull() | (comp == 0), F.lit(0.0)).otherwise(comp)  # no -0.0
+
+
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comment",
-                      out: str = "sentiment_score", modifiers: DataFrame | None = None, contrast: str = "but") -> DataFrame:
+                      out: str = "sentiment_score", modifiers: DataFrame | None = None, contrast: str = "but",
+                      max_broadcast: int = LEXICON_MAX_TERMS) -> DataFrame:
     """Compound score in [-1, 1] per text.
 
     Tokens are blank-separated words longer than one letter.  A token in the
@@ -86,14 +113,20 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     (sign of the running valence; x0.95 at distance 2, x0.9 at 3) and, if it
     is a negator, multiplies the running valence by -0.74.  Valences before the
     first 'but' are halved, after it x1.5.  Sum x -> x / sqrt(x^2 + 15),
-    clipped, 4 decimals.  Empty text -> 0.  No shuffle: the word table rides
-    along as one broadcast row.
+    clipped, 4 decimals.  Empty text -> 0.
+
+    A word table of at most ``max_broadcast`` words rides along as one broadcast row, without a
+    shuffle; a larger one is joined to the distinct tokens (see token_facts).  Scores are the same.
     """
+    words_t = cut_lineage(word_table(lexicon, modifiers), "word-table")
+    n = words_t.count()
     toks = F.filter(words(F.col(text)), lambda w: F.length(w) > 1)
+    if n > max_broadcast:
+        return _score_by_join(df, words_t, toks, out, contrast)
     # The one-row, size-checked word table rides along as a broadcast (fetched
     # once per executor); as a scalar literal it would be serialised into every
     # task.  One row on the build side: no pairs are formed.
-    d = df.crossJoin(F.broadcast(word_lookup_row(lexicon, modifiers))).withColumn("_tok", toks)
+    d = df.crossJoin(F.broadcast(word_lookup_row(words_t, n))).withColumn("_tok", toks)
     wb, nb = F.col("_wb"), F.col("_nb")
 
     def lookup(w):
@@ -107,30 +140,57 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
     f, but_at = F.col("_f"), F.col("_but")
 
     def scored(x, i):
-        lv = x["lv"]
-        b0 = F.coalesce(x["b"], F.lit(0.0))
-
-        def step(acc, dist):
-            p = F.get(f, i - dist)
-            applies = (i >= dist) & p["lv"].isNull()
-            damp = F.when(dist == 2, F.lit(0.95)).when(dist == 3, F.lit(0.9)).otherwise(F.lit(1.0))
-            bb = F.coalesce(p["b"], F.lit(0.0)) * damp
-            neg = F.coalesce(p["ng"], F.lit(False))
-            nv = (acc + F.when(acc < 0, -bb).otherwise(bb)) * F.when(neg, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
-            return F.when(applies, nv).otherwise(acc)
-
         # the look-back runs only for lexicon words that are not boosters
-        v = F.when(lv.isNotNull() & (b0 == 0), F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), lv, step)) \
+        v = F.when(x["lv"].isNotNull() & (F.coalesce(x["b"], F.lit(0.0)) == 0), _look_back(x["lv"], lambda dist: F.get(f, i - dist))) \
             .otherwise(F.lit(0.0))
-        pos = i + 1
-        return (F.when((but_at > 0) & (pos < but_at), v * 0.5)
-                .when((but_at > 0) & (pos > but_at), v * 1.5).otherwise(v))
+        return _weighed(v, i + 1, but_at)
 
     total = F.aggregate(F.transform(f, scored), F.lit(0.0), lambda acc, x: acc + x)
-    comp = total / F.sqrt(total * total + F.lit(NORMALIZE_ALPHA))
-    comp = F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))
-    score = F.when((F.size(f) == 0) | (F.round(comp, 4) == 0), F.lit(0.0)).otherwise(F.round(comp, 4))  # no -0.0
-    return d.withColumn(out, score).drop("_wb", "_nb", "_tok", "_f", "_but")
+    return d.withColumn(out, _compound(total)).drop("_wb", "_nb", "_tok", "_f", "_but")
+
+
+#: A token that holds more than one in so many of all occurrences is split into parts, each with its own copy of the word's row.
+TOKEN_PARTS = 1000
+
+
+def token_facts(occurrences: DataFrame, words_t: DataFrame) -> DataFrame:
+    """``occurrences`` (_row, _pos, _w) with the (lv, b, ng) of their word, those without one left out.
+
+    Distinct tokens are joined once to the word table by shuffle; both sides are unique, so no key is
+    hot.  Their rows go back to the occurrences, a frequent token in parts: a part holds at most one
+    in TOKEN_PARTS of all occurrences, so at most TOKEN_PARTS tokens have parts and that table can be broadcast."""
+    counts = occurrences.groupBy("_w").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(counts, "token-counts")
+    total = counts.agg(F.sum("_c")).scalar()
+    known = cut_lineage(counts.join(words_t, counts["_w"] == words_t["term"]).select(
+        "_w", "lv", "b", "ng", F.ceil(F.col("_c") * TOKEN_PARTS / total).cast("int").alias("_parts")), "token-words")
+    split = known.where(F.col("_parts") > 1).select("_w", "_parts")
+    part = F.pmod(F.xxhash64("_row", "_pos"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = occurrences.join(F.broadcast(split), "_w", "left").withColumn("_part", part).drop("_parts")
+    copies = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies, ["_w", "_part"]).drop("_w", "_part")
+
+
+def _score_by_join(df: DataFrame, words_t: DataFrame, toks: Column, out: str, contrast: str) -> DataFrame:
+    """lexicon_sentiment() with the word table joined by shuffle: tokens by (row, place), one pass per text at the end."""
+    # written, so the row numbers stay what they are
+    rows = cut_lineage(df.withColumn("_tok", toks).withColumn("_row", F.monotonically_increasing_id()), "sentiment-rows")
+    known = token_facts(rows.select("_row", F.posexplode("_tok").alias("_pos", "_w")), words_t)
+    facts = known.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "lv", "b", "ng"))).alias("_f"))
+    d = rows.join(facts, "_row", "left").withColumn("_but", F.array_position(F.col("_tok"), contrast)).drop("_tok")
+    f = F.col("_f")
+
+    def scored(x, i):
+        def before(dist):
+            # only known tokens are listed: the one so far back is among the three before, or unknown
+            near = [F.when(F.get(f, i - j)["_pos"] == x["_pos"] - dist, F.get(f, i - j)) for j in range(1, dist + 1)]
+            return F.coalesce(*near)
+
+        v = F.when(x["lv"].isNotNull() & (F.coalesce(x["b"], F.lit(0.0)) == 0), _look_back(x["lv"], before)).otherwise(F.lit(0.0))
+        return _weighed(v, x["_pos"] + 1, F.col("_but"))
+
+    total = F.aggregate(F.transform(f, scored), F.lit(0.0), lambda acc, x: acc + x)
+    return d.withColumn(out, _compound(total)).drop("_row", "_f", "_but")
 
 
 def filter_stopwords(df: DataFrame, text: str = "clean_comment", out: str = "filtered_text",

@@ -725,3 +725,12 @@ def q_review_sentiment_rules(spark, sf_dir):
     c = T.clean_reviews(ctx.fx.reviews())
     s = T.lexicon_sentiment(c, ctx.fx.lexicon(), modifiers=ctx.fx.modifiers(), contrast="as")
     return s.select("order_id", "review_score", "sentiment_score")
+
+
+@query("review_sentiment_large_lexicon")
+def q_review_sentiment_large_lexicon(spark, sf_dir):
+    """N3 with a word table made of the comments' own tokens, joined by shuffle as a table of any size is."""
+    ctx = context(spark, sf_dir)
+    c = ctx.stage("clean_comments", lambda: T.clean_reviews(ctx.fx.reviews()))
+    s = T.lexicon_sentiment(c, T.corpus_lexicon(c), modifiers=ctx.fx.modifiers(), contrast="as", max_broadcast=0)
+    return s.select("order_id", "review_score", "sentiment_score")

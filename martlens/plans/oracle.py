@@ -732,3 +732,7 @@ SELECT review_score, CAST(count(*) AS BIGINT) AS reviews, CAST(count(review_comm
   CAST(sum(length(review_comment_message) - length(replace(review_comment_message, chr(10), ''))) AS BIGINT) AS newlines
 FROM fx_reviews GROUP BY review_score""", "fx_reviews")
 oracle("review_sentiment_rules", RULES + "\nSELECT order_id, review_score, sentiment_score FROM sc", "fx_reviews", "fx_lexicon")
+# the same rules over a word table of the comments' own tokens
+oracle("review_sentiment_large_lexicon", RULES.replace("bst AS (", """big_lexicon AS (SELECT DISTINCT tok AS term,
+  ((ascii(tok) + length(tok)) * 7 % 41 - 20) / 10.0 AS valence FROM u WHERE (ascii(tok) + length(tok)) % 3 <> 0),
+bst AS (""").replace("fx_lexicon", "big_lexicon") + "\nSELECT order_id, review_score, sentiment_score FROM sc", "fx_reviews")
