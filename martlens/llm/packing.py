@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import zlib
 from pathlib import Path
 
@@ -55,6 +56,24 @@ def bpe_encoder(ranks_path: str, pattern: str):
                              special_tokens=added_tokens(str(Path(ranks_path).with_suffix(".json"))))
 
 
+#: Blank runs of this length are left to the tokenizers library: the backtracking of the other encoder is bounded.
+_LONG_BLANK = re.compile(r"(?<!\s)\s{10000}")
+
+
+@functools.lru_cache(maxsize=2)
+def json_encoder(ranks_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(Path(ranks_path).with_suffix(".json")))
+
+
+def token_ids(text: str, ranks_path: str, pattern: str) -> list[int]:
+    """The ids of the tokenizers library, add_special_tokens=False, for any text."""
+    if _LONG_BLANK.search(text):
+        return json_encoder(ranks_path).encode(text, add_special_tokens=False).ids
+    return bpe_encoder(ranks_path, pattern).encode(text, allowed_special="all")
+
+
 def piece_spans(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids; a remainder goes first."""
     if n <= capacity:
@@ -142,11 +161,11 @@ def tokenised_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: i
     def run(batches):
         from pyspark import TaskContext
 
-        enc, task, seen = bpe_encoder(ranks_path, pattern), TaskContext.get().partitionId(), {}
+        task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array(enc.encode(data.decode("utf-8"), allowed_special="all") + [SEPARATOR], dtype="<u4")
+                ids = np.array(token_ids(data.decode("utf-8"), ranks_path, pattern) + [SEPARATOR], dtype="<u4")
                 for k, (s, n) in enumerate(piece_spans(len(ids), capacity)):
                     local = seen.get(n, 0)
                     seen[n] = local + 1
