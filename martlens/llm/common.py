@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-__all__ = ["cut_lineage", "bound_batches", "read_docs", "texts_of", "WordHashes", "word_hashes", "mix64",
+__all__ = ["cut_lineage", "bound_batches", "read_docs", "free_name", "texts_of", "WordHashes", "word_hashes", "mix64",
            "shingle_hashes", "rows_to_batch", "n_parts"]
 
 #: Words separate on these six bytes only (they never occur inside a UTF-8 multi-byte character).
@@ -86,6 +86,14 @@ def read_docs(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind it as no column of ``df`` (whatever its case) has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
