@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-__all__ = ["cut_lineage", "bound_batches", "read_docs", "free_name", "texts_of", "WordHashes", "word_hashes", "mix64",
+__all__ = ["cut_lineage", "bound_batches", "read_docs", "free_name", "packed", "unpacked", "join_counted", "texts_of", "WordHashes", "word_hashes", "mix64",
            "shingle_hashes", "rows_to_batch", "n_parts"]
 
 #: Words separate on these six bytes only (they never occur inside a UTF-8 multi-byte character).
@@ -94,6 +94,31 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, spread: Sequence[str], parts: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of one row per ``key`` that says in ``n`` how many rows hold it.
+
+    A key that holds more than one in ``parts`` of those rows is split by a hash of the columns ``spread``, and its
+    row of the table is copied to every part.  At most ``parts`` keys are, so naming them to every task is bounded."""
+    total = table.agg(F.sum(n)).scalar()
+    sized = cut_lineage(table.withColumn("_parts", F.ceil(F.col(n) * parts / total).cast("int")), "counted")
+    split = sized.where(F.col("_parts") > 1).select(key, "_parts")
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(split), key, "left").withColumn("_part", part).drop("_parts")
+    copies = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, as one struct ``rest``, all other columns, so that none of them clashes with a derived one."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns that ``packed`` was given, in their order."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in columns])
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import WordHashes, bound_batches, cut_lineage, mix64, texts_of, word_hashes
+from .common import WordHashes, bound_batches, cut_lineage, join_counted, mix64, packed, texts_of, unpacked, word_hashes
 
 WINDOW, K = 35, 8
 _PER = WINDOW - K + 1
@@ -164,12 +164,13 @@ def compact(g: DataFrame) -> DataFrame:
         e["at"].alias("at"), e["kmer"].alias("kmer"), e["link"].alias("link"), F.get("kmer", i + 1).alias("next"),
         F.get("at", i + 1).alias("to")))).alias("ord", "e")).select("_d", "_k", "ord", "e.*")
     counts = cut_lineage(edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "dbg-kmers")
-    rep = cut_lineage(edges.join(counts, "kmer"), "dbg-edges")
+    rep = cut_lineage(join_counted(edges, counts, "kmer", "n", ["_d", "_k", "ord"]), "dbg-edges")
     links = rep.where(F.col("to").isNotNull()).groupBy("link", "kmer", "next", "n").agg(F.count(F.lit(1)).alias("c")) \
         .where((F.col("c") == F.col("n")) & (F.col("c") > 1))
     ends = counts.select(F.col("kmer").alias("next"), F.col("n").alias("n_next"))
-    straight = links.join(ends, "next").where(F.col("c") == F.col("n_next")).select("link").distinct()
-    on_path = rep.where(F.col("to").isNotNull()).join(straight, "link").select("_d", "_k", "ord", "at", "to").distinct()
+    straight = links.join(ends, "next").where(F.col("c") == F.col("n_next")).groupBy("link").agg(
+        F.sum("c").alias("c"))
+    on_path = join_counted(rep.where(F.col("to").isNotNull()), straight, "link", "c", ["_d", "_k", "ord"]).select("_d", "_k", "ord", "at", "to").distinct()
     island = F.col("ord") - F.row_number().over(Window.partitionBy("_d", "_k").orderBy("ord"))
     runs = on_path.withColumn("island", island).groupBy("_d", "_k", "island").agg(
         F.min("at").alias("start"), (F.max("to") + K).alias("end")).groupBy("_d", "_k").agg(
@@ -234,8 +235,8 @@ def _removed(n: int, start, end, at) -> np.ndarray:
 def _verified(open_: DataFrame) -> DataFrame:
     """(_d, _k, _starts): windows whose words occur at two places or more."""
     w = open_.select("_d", "_k", F.explode(F.arrays_zip("_at", "_hash")).alias("x")).select("_d", "_k", "x._at", "x._hash")
-    many = w.groupBy("_hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("_hash")
-    return w.join(many, "_hash").groupBy("_d", "_k").agg(F.collect_set("_at").alias("_starts"))
+    many = w.groupBy("_hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    return join_counted(w, many, "_hash", "c", ["_d", "_k", "_at"]).groupBy("_d", "_k").agg(F.collect_set("_at").alias("_starts"))
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
@@ -270,14 +271,13 @@ def substring_report(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The same columns and rows, each text without its repeated passages (n_chars follows, where there is one)."""
+    names = docs.columns
+    docs, n_chars = packed(docs), docs.schema["n_chars"].dataType if "n_chars" in names else None
     g = cut_lineage(graph(docs), "dbg-graph")
     info = cut_lineage(compact(g), "dbg-paths")
     rows = cut_lineage(open_windows(docs, info, docs.columns, all_rows=True), "dbg-open")
     todo = rows.where(F.col("_from").isNotNull())
-    fields = [f for f in docs.schema.fields]
-    names = [f.name for f in fields]
-    joined = todo.drop("_at", "_hash").join(_verified(todo), ["_d", "_k"], "left").select(
-        *[F.col(f"`{c}`") for c in names], "_from", "_to", "_starts")
+    joined = todo.drop("_at", "_hash").join(_verified(todo), ["_d", "_k"], "left").select("doc_id", "text", "rest", "_from", "_to", "_starts")
 
     def run(batches):
         for b in batches:
@@ -285,10 +285,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for t, s, e, at in zip(texts_of(b), *(b.column(c).to_pylist() for c in ("_from", "_to", "_starts"))):
                 gone = _removed(sum(1 for _ in _WORD.finditer(t)), s, e, at)
                 texts.append(without(t, gone).decode("utf-8") if gone.any() else t.decode("utf-8"))
-            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
 
-    changed = joined.mapInArrow(run, StructType(fields))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.where(F.col("_from").isNull()).select(*[F.col(f"`{c}`") for c in names]).unionByName(changed)
+    changed = unpacked(joined.mapInArrow(run, docs.schema), names)
+    if n_chars is not None:
+        changed = changed.withColumn("n_chars", F.length("text").cast(n_chars))
+    return unpacked(rows.where(F.col("_from").isNull()), names).unionByName(changed)
