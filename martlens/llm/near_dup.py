@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bound_batches, cut_lineage, rows_to_batch, shingle_hashes, texts_of
+from .common import WordHashes, bound_batches, cut_lineage, rows_to_batch, shingle_hashes, texts_of, unpacked
+from .common import packed as packed_rows
 
 ROWS, BANDS, BITS = 4, 32, 4
 HASHES = ROWS * BANDS
@@ -38,6 +39,8 @@ LIMIT = 75  # per cent
 #: A pair is left out if its estimate is this many standard deviations below the limit.
 SLACK = 4.0
 STAR_ROUNDS = 2
+#: Rows of a bucket that are paired in one block.
+PAIR_BLOCK = 256
 
 
 def minima(s: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
@@ -78,27 +81,32 @@ def set_key(s: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(s.tobytes())
 
 
+def row_key() -> Column:
+    """Names a row by its id and text, null ids too; rows that share a name and are equal are one text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, n_shingles, key, bands, sig); key, bands and sig are null without words."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()),
+    """(doc_id, row_key, n_shingles, key, bands, sig); key, bands and sig are null without words."""
+    out = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()),
                      ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
         for b in batches:
             rows = []
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+            for doc_id, row, t in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), texts_of(b)):
                 s = set_of(t, cache)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, row, 0, None, None, None))
                     continue
                 m = minima(s)
-                rows.append((doc_id, len(s), set_key(s), band_keys(m).tolist(), packed(m).tolist()))
+                rows.append((doc_id, row, len(s), set_key(s), band_keys(m).tolist(), packed(m).tolist()))
             yield rows_to_batch(rows, out)
 
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key string, bands array<long>, sig array<long>")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(
+        run, "doc_id long, row_key long, n_shingles long, key string, bands array<long>, sig array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> float:
@@ -130,6 +138,19 @@ def first_shared(band: Column, bands_a: Column, bands_b: Column) -> Column:
     return ~F.exists(F.slice(F.zip_with(bands_a, bands_b, lambda x, y: x == y), F.lit(1), band), lambda x: x)
 
 
+def block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """(x, y, condition) that joins the rows of each bucket with themselves, block by block.
+
+    A bucket of many rows is cut into ``blocks`` blocks; each pair of blocks is a join key of its own,
+    so the pairs of a large bucket are spread over tasks instead of falling to one."""
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.select("*", own.alias("i"), other.alias("j")).alias("x")
+    y = rows.select("*", other.alias("i"), own.alias("j")).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "bucket", "i", "j")]
+    return x, y, same[0] & same[1] & same[2] & same[3]
+
+
 def fine_sketches(sets: DataFrame) -> DataFrame:
     """(key, fine): one bit of each of FINE minima of a full set."""
     out = pa.schema([("key", pa.string()), ("fine", pa.list_(pa.int64()))])
@@ -149,8 +170,8 @@ def out_ddl(schema: pa.Schema) -> str:
 
 def sets_of_classes(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, s): the full shingle set of each asked class, from the text of its representative."""
-    wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    wanted = reps.join(keys, "key").select("row_key", "key")
+    texts = docs.select("text", row_key().alias("row_key")).join(wanted, "row_key")
     out = pa.schema([("key", pa.string()), ("s", pa.binary())])
 
     def run(batches):
@@ -159,7 +180,7 @@ def sets_of_classes(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFr
             rows = []
             for key, t in zip(b.column("key").to_pylist(), texts_of(b)):
                 s = set_of(t, cache)
-                if set_key(s) == key:  # an id of several rows may also bring other texts
+                if set_key(s) == key:  # rows of one name may be different texts
                     rows.append((key, s.tobytes()))
             yield rows_to_batch(rows, out)
 
@@ -209,7 +230,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_key, component_id and kept of every document.
+    """doc_id, n_shingles, class_key, component_id, row_key, component_key and kept of every document.
 
     A-Z count in lower case; fewer than five words form one shingle; a text
     without words (or null) has no shingles and no links.  component_id is the
@@ -219,8 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sig = cut_lineage(signatures(docs), "near-signatures")
     some = sig.where(F.col("key").isNotNull())
-    # a class is a distinct set; its representative is its smallest doc_id
-    reps = cut_lineage(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+    # a class is a distinct set; it is known by its smallest doc_id, and its text is that of any of its rows
+    reps = cut_lineage(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"),
                                                F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     member = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
@@ -235,30 +256,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             label, member["key"] == label["node"], "left").withColumn("label", F.coalesce("label", "key"))
         lead = F.struct(-F.col("degree"), F.col("key")) if step == 0 else F.struct(F.xxhash64("label", F.lit(step)), F.col("key"))
         bucket = m.groupBy("band", "bucket").agg(F.min_by(F.struct("label", "key", "n", "sig"), lead).alias("head"),
-                                                 F.min("label").alias("one"), F.max("label").alias("most"))
-        open_ = bucket.where(F.col("one") != F.col("most")).select("band", "bucket", "head")
+                                                 F.min("label").alias("one"), F.max("label").alias("most"),
+                                                 F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+        open_ = bucket.where(F.col("one") != F.col("most")).select("band", "bucket", "head", "blocks")
         if step < STAR_ROUNDS:
             cand = m.join(open_, ["band", "bucket"]).where(
                 (F.col("label") != F.col("head.label"))
                 & can_reach(F.col("n"), F.col("sig"), F.col("head.n"), F.col("head.sig"))).select(
                 F.col("key").alias("a"), F.col("head.key").alias("b"))
         else:
-            inside = cut_lineage(m.join(open_, ["band", "bucket"], "left_semi").select("band", "bucket", "key", "label", "n", "sig"), "near-inside")
-            x, y = inside.alias("x"), inside.alias("y")
+            inside = cut_lineage(m.join(open_, ["band", "bucket"]).select("band", "bucket", "blocks", "key", "label", "n", "sig"), "near-inside")
+            x, y, met = block_pairs(inside)
             # only rows with a partner in their bucket that the coarse estimate allows
-            inside = cut_lineage(x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-                                        & (F.col("x.label") != F.col("y.label"))
-                                        & can_reach(F.col("x.n"), F.col("x.sig"), F.col("y.n"), F.col("y.sig")), "left_semi").drop("sig"), "near-partnered")
+            inside = cut_lineage(x.join(y, met & (F.col("x.label") != F.col("y.label"))
+                                        & can_reach(F.col("x.n"), F.col("x.sig"), F.col("y.n"), F.col("y.sig")), "left_semi").drop(
+                "sig", "i", "j").dropDuplicates(["band", "bucket", "key"]), "near-partnered")
             keys = cut_lineage(inside.select("key").distinct(), "near-open-keys")
-            fresh = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys if known is None else keys.join(
+            fresh = cut_lineage(sets_of_classes(docs, reps.select("key", "row_key"), keys if known is None else keys.join(
                 known.select("key"), "key", "left_anti")), "near-sets")
             known = fresh if known is None else known.unionByName(fresh)
-            fine = fine_sketches(known.join(keys, "key")).join(reps.select("key", "bands"), "key").withColumn(
-                "bands", F.transform("bands", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")))
+            fine = fine_sketches(known.join(keys, "key")).join(reps.select("key", "bands"), "key")
             inside = cut_lineage(inside.join(fine, "key"), "near-open")
-            x, y = inside.alias("x"), inside.alias("y")
-            cand = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-                          & (F.col("x.label") < F.col("y.label"))
+            x, y, met = block_pairs(inside)
+            cand = x.join(y, met & (F.col("x.label") < F.col("y.label"))
                           & can_reach(F.col("x.n"), F.col("x.fine"), F.col("y.n"), F.col("y.fine"), FINE, 1)
                           & first_shared(F.col("x.band"), F.col("x.bands"), F.col("y.bands"))).select(
                 F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -273,21 +293,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
             if known is not None:
                 keys = keys.join(known.select("key"), "key", "left_anti")
-            sets = cut_lineage(sets_of_classes(docs, reps.select("key", "rep"), keys), "near-sets")
+            sets = cut_lineage(sets_of_classes(docs, reps.select("key", "row_key"), keys), "near-sets")
             known = sets if known is None else known.unionByName(sets)
         found = cut_lineage(confirmed(pairs, known), "near-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = components(links)
-    out = some.select("doc_id", "n_shingles", "key")
+    out = some.select("doc_id", "row_key", "n_shingles", "key")
     least = reps.select("key", "rep")
     if label is not None:
         j = least.join(label, least["key"] == label["node"], "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
         tops = j.groupBy("label").agg(F.min("rep").alias("component_id"))
-        least = j.join(tops, "label").select("key", "component_id")
+        least = j.join(tops, "label").select("key", "label", "component_id")
     else:
-        least = least.withColumnRenamed("rep", "component_id")
-    out = out.join(least, "key").select("doc_id", "n_shingles", F.col("key").alias("class_key"), "component_id")
+        least = least.select("key", F.col("key").alias("label"), F.col("rep").alias("component_id"))
+    names = ["doc_id", "n_shingles", "class_key", "component_id", "row_key", "component_key"]
+    out = out.join(least, "key").withColumnsRenamed({"key": "class_key", "label": "component_key"}).select(*names)
     none = sig.where(F.col("key").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("string").alias("class_key"),
-                                                   F.col("doc_id").alias("component_id"))
+                                                   F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("string").alias("component_key"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less near copies: of each component the row of the smallest doc_id stays (a row
+    without an id only where no row has one; of equal ids the smallest row key).  Equal rows become one;
+    texts without words link with nothing and stay."""
+    found = near_duplicates(docs).where(F.col("component_key").isNotNull()).select("component_key", "doc_id", "row_key")
+    found = cut_lineage(found, "near-found")
+    stay = found.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("s")).select(
+        F.col("s.row_key").alias("row_key"))
+    gone = found.select("row_key").distinct().join(stay, "row_key", "left_anti")
+    rows = packed_rows(docs).withColumn("row_key", row_key())
+    return unpacked(rows.join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]), docs.columns)
