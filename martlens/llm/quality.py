@@ -12,6 +12,7 @@ bad texts for few lost good ones is used, the loosest on ties; without one the r
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -131,22 +132,43 @@ def certified(k: int, n: int, risk: float, delta: float) -> bool:
     return n > 0 and k < n * risk and binomial_cdf(k, n, risk) <= delta
 
 
+#: What is certified: the rejection by all rules of one set together, the rules of a set at one cutoff.
+RULE_SETS = tuple(c for n in range(1, len(RULES) + 1) for c in itertools.combinations(RULES, n))
+
+
+def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> tuple[float, float | None]:
+    """(gain, cutoff) of a set of rules from its counts by place of the first cutoff that rejects.
+
+    Cutoffs are tested from the loosest on, each at ``delta``, until one is not certified (fixed sequence);
+    of the certified ones that with the greatest gain is taken, the loosest of equals."""
+    n_good, n_bad = int(good.sum()), int(bad.sum())
+    best: tuple[float, float | None] = (0.0, None)
+    for i, cutoff in enumerate(CUTOFFS):
+        lost, caught = int(good[:i + 1].sum()), int(bad[:i + 1].sum())
+        if not certified(lost, n_good, risk, delta):
+            break
+        gain = caught / max(n_bad, 1) - GOOD_WEIGHT * lost / max(n_good, 1)
+        if gain > best[0] + 1e-12:
+            best = (gain, cutoff)
+    return best
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """(stratum, rule, cutoff): the certified cutoffs; empty where the holdout is too small.
 
+    A stratum gets the set of rules of greatest gain.  The risk bounds what the set rejects together, so
+    it is not divided over rules; the error ``delta`` is divided over all sets in all strata.
     Labelled rows with null doc_id or quality are no holdout; several labels of
     one document count once, as good if any says so."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.max("quality").alias("quality"))
     held = measured.where(~F.col("base_failed")).join(marked, "doc_id")
-    long = held.select("stratum", "quality", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"),
-                 # place of the first (loosest) cutoff below the feature; past the end: never rejected
-                 sum((F.col(r) <= c).cast("int") for c in CUTOFFS).alias("at"))
-        for r in RULES])).alias("x")).select("stratum", "quality", "x.rule", "x.at")
-    binned = long.groupBy("stratum", "rule", "at").agg(  # at most rules x (cutoffs + 1) rows per stratum
+    # place of the first (loosest) cutoff below the feature; past the end: never rejected
+    places = held.select("stratum", "quality", *[sum((F.col(r) <= c).cast("int") for c in CUTOFFS).alias(r) for r in RULES])
+    sets = F.array(*[F.struct(F.lit(k).alias("k"), (F.least(*c) if len(c) > 1 else F.col(c[0])).alias("at")) for k, c in enumerate(RULE_SETS)])
+    binned = places.select("stratum", "quality", F.explode(sets).alias("x")).groupBy("stratum", "x.k", "x.at").agg(
+        # at most sets x (cutoffs + 1) rows per stratum
         F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") != 1, 1)).alias("bad"))
-    # fixed sequence: loosest first.  Family: every rule in every stratum.
     strata = binned.agg(F.countDistinct("stratum")).scalar()
 
     def choose(key, rows):
@@ -154,20 +176,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
 
         good = np.bincount(rows["at"], rows["good"], minlength=len(CUTOFFS) + 1)
         bad = np.bincount(rows["at"], rows["bad"], minlength=len(CUTOFFS) + 1)
-        n_good, n_bad = int(good.sum()), int(bad.sum())
-        best, gain = None, 0.0
-        for i in range(len(CUTOFFS)):
-            lost, caught = int(good[:i + 1].sum()), int(bad[:i + 1].sum())
-            if not certified(lost, n_good, risk / len(RULES), delta / (len(RULES) * int(rows["strata"].iloc[0]))):
-                break
-            g = caught / max(n_bad, 1) - GOOD_WEIGHT * lost / max(n_good, 1)
-            if g > gain + 1e-12:
-                best, gain = CUTOFFS[i], g
-        return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": [best]})
-
-    counted = binned.withColumn("strata", strata)
-    return (counted.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
-            .where(F.col("cutoff").isNotNull()))
+        gain, cutoff = choose_cutoff(good, bad, risk, delta / (len(RULE_SETS) * int(rows["strata"].iloc[0])))
+        return pd.DataFrame({"stratum": [key[0]], "k": [key[1]], "gain": [gain], "cutoff": [cutoff]})
+
+    certain = binned.withColumn("strata", strata).groupBy("stratum", "k").applyInPandas(
+        choose, "stratum string, k int, gain double, cutoff double").where(F.col("cutoff").isNotNull())
+    # of equal gains the set of fewest rules
+    best = certain.groupBy("stratum").agg(F.min(F.struct((-F.col("gain")).alias("g"), "k", "cutoff")).alias("b"))
+    names = F.array(*[F.array(*[F.lit(r) for r in c]) for c in RULE_SETS])
+    return best.select("stratum", F.explode(F.get(names, F.col("b.k"))).alias("rule"), F.col("b.cutoff").alias("cutoff"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05,
