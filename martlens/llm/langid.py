@@ -11,16 +11,21 @@ For every page the log-posterior of each language adds up
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .common import bound_batches, cut_lineage, texts_of
 
 FEATURES = 1 << 14
 #: Rows of the model table in one product, and languages whose counts a task holds before it emits them.
 BLOCK, HELD = 64, 256
+#: Languages whose model is sent to the tasks at once.
+SENT = 1024
 
 
 def trigram_counts(data: bytes, into: np.ndarray) -> int:
@@ -38,11 +43,8 @@ def trigram_counts(data: bytes, into: np.ndarray) -> int:
     return n
 
 
-def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (languages x features) from all labelled documents.
-
-    Every language is kept: the model is a table of languages x FEATURES numbers (128 KB a
-    language), whatever the number of documents."""
+def train_text(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages and (lang, feature, n), their grouped trigram counts, from all labelled documents; every language is kept."""
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -65,44 +67,107 @@ def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = cut_lineage(docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(
         run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return langs, counts
+
+
+def text_model(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log-probabilities (languages x features) of some languages, 128 KB each."""
     place = {x: i for i, x in enumerate(langs)}
     table = np.full((len(langs), FEATURES), 0.5)
-    for r in counts.groupBy("lang").agg(  # a row per language of at most FEATURES numbers
+    some = counts.where((F.col("lang") >= langs[0]) & (F.col("lang") <= langs[-1]))  # langs are neighbours in order
+    for r in some.groupBy("lang").agg(  # a row per language of at most FEATURES numbers
             F.collect_list("feature").alias("f"), F.collect_list("n").alias("n")).toLocalIterator():
         table[place[r["lang"]], r["f"]] += r["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
-
-
-def evidence(pages: DataFrame, langs: list[str], logp: np.ndarray, max_evidence: int = 100) -> DataFrame:
-    """page_id, host, domain, suffix, declared, ll (array), text_lang (number; null without text)."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#\w]{1,10};", " ")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"),
-                       F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
-                       F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)).alias("declared"),
-                       body.alias("text"))
-    sent = pages.sparkSession.sparkContext.broadcast(logp)
-    names = ["page_id", "host", "domain", "suffix", "declared"]
+    return np.log(table / table.sum(axis=1, keepdims=True))
+
+
+_OPEN = re.compile(rb"<(script|style)\b|<!--", re.I)
+_CLOSE = {b"script": re.compile(rb"</script\s*>", re.I), b"style": re.compile(rb"</style\s*>", re.I), b"": re.compile(rb"-->")}
+_TAG = re.compile(rb"<[^>]*>")
+_ENTITY = re.compile(rb"&[#\w]{1,10};")
+_HTML = re.compile(rb"<html\b[^>]*", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([a-z]{2,3})", re.I)
+
+
+def plain_text(html: bytes) -> bytes:
+    """A page without scripts, styles, comments, tags and entities, in time linear in its length.
+
+    What is opened and never closed is left as it stands: no search is begun behind the last place
+    where it could end."""
+    last = {k: max((m.start() for m in c.finditer(html)), default=-1) for k, c in _CLOSE.items()}
+    out, at, kept = [], 0, 0
+    while m := _OPEN.search(html, at):
+        kind = (m.group(1) or b"").lower()
+        if m.end() <= last[kind]:
+            at = _CLOSE[kind].search(html, m.end()).end()
+            out += (html[kept:m.start()], b" ")
+            kept = at
+        else:
+            at = m.end()
+    body = b"".join((*out, html[kept:]))
+    end = body.rfind(b">") + 1
+    return _ENTITY.sub(b" ", _TAG.sub(b" ", body[:end])) + _ENTITY.sub(b" ", body[end:])
+
+
+def declared_language(html: bytes) -> str:
+    """The first language that an html tag declares, in lower case; '' without one."""
+    for m in _HTML.finditer(html):
+        if x := _LANG.search(m.group()):
+            return x.group(1).decode().lower()
+    return ""
+
+
+def text_evidence(src: DataFrame, model: np.ndarray, max_evidence: int) -> DataFrame:
+    """The rows of ``src`` with ll (array): log-likelihood of the text under each language of the model; n: its trigrams."""
+    sent = src.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*[f for f in src.schema.fields if f.name != "html"], StructField("declared", StringType()),
+                         StructField("ll", ArrayType(DoubleType())), StructField("n", LongType())])
+    names = [f.name for f in schema.fields]
 
     def run(batches):
         table = sent.value
         for b in batches:
-            lls, best = [], []
-            for t in texts_of(b):
+            lls, declared, ns = [], [], []
+            for html in texts_of(b, "html"):
                 c = np.zeros(FEATURES, np.int64)
-                n = trigram_counts(b" ".join(t.split()), c)
+                n = trigram_counts(b" ".join(plain_text(html).split()), c)
                 f = np.flatnonzero(c)
                 ll = np.concatenate([table[i:i + BLOCK, f] @ c[f] for i in range(0, len(table), BLOCK)])
-                ll *= min(n, max_evidence) / max(n, 1)
-                lls.append((ll - ll.max()).tolist())
-                best.append(int(ll.argmax()) if n else None)
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(lls, pa.list_(pa.float64())), pa.array(best, pa.int32())],
-                                             names=[*names, "ll", "text_lang"])
+                lls.append((ll * (min(n, max_evidence) / max(n, 1))).tolist())
+                declared.append(declared_language(html))
+                ns.append(n)
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names[:-3]], pa.array(declared, pa.string()),
+                                              pa.array(lls, pa.list_(pa.float64())), pa.array(ns, pa.int64())], names=names)
+
+    bound_batches(src.sparkSession)
+    return src.mapInArrow(run, schema)
+
 
-    bound_batches(pages.sparkSession)
-    return cut_lineage(src.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, "
-                                           "ll array<double>, text_lang int"), "lang-evidence")
+def evidence(pages: DataFrame, langs: list[str], counts: DataFrame, max_evidence: int = 100) -> DataFrame:
+    """page_id, host, domain, suffix, declared, ll (array), text_lang (number; null without text).
+
+    The model is sent to the tasks in blocks of SENT languages, 128 MB at most; with more languages than that the
+    pages are read once a block and their likelihoods put together by row."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html"))
+    two, one = F.substring_index("host", ".", -2), F.substring_index("host", ".", -1)
+    dotted = F.instr(two, ".") > 1
+    src = src.select("page_id", "host", F.when(dotted & (one != ""), two).otherwise("").alias("domain"), one.alias("suffix"), "html")
+    blocks = [langs[i:i + SENT] for i in range(0, len(langs), SENT)]
+    if len(blocks) == 1:
+        e = text_evidence(src, text_model(counts, langs), max_evidence)
+    else:
+        src = cut_lineage(src.withColumn("row", F.monotonically_increasing_id()), "lang-pages")
+        e = None
+        for some in blocks:
+            part = cut_lineage(text_evidence(src if e is None else src.select("row", "html"), text_model(counts, some), max_evidence), "lang-part")
+            e = part if e is None else e.join(part.select("row", F.col("ll").alias("more")), "row").withColumn(
+                "ll", F.concat("ll", "more")).drop("more")
+        e = e.drop("row")
+    e = e.withColumn("top", F.array_max("ll"))
+    return cut_lineage(e.select(
+        "page_id", "host", "domain", "suffix", "declared", F.transform("ll", lambda x: x - F.col("top")).alias("ll"),
+        F.when(F.col("n") > 0, F.array_position("ll", F.col("top")) - 1).cast("int").alias("text_lang")), "lang-evidence")
 
 
 def identify(pages: DataFrame, docs: DataFrame, strength: float = 5.0, max_evidence: int = 100) -> DataFrame:
@@ -113,12 +178,12 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 5.0, max_evide
     counted each.  Without labelled documents lang and confidence are null; an
     empty table gives no rows.
     """
-    langs, logp = train_text(docs)
+    langs, counts = train_text(docs)
     if not langs:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit("").alias("host"), F.lit("").alias("declared"),
                             F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"),
                             F.lit(None).cast("string").alias("text_lang"))
-    e = evidence(pages, langs, logp, max_evidence)
+    e = evidence(pages, langs, counts, max_evidence)
     k = len(langs)
 
     def per_lang(*by):
