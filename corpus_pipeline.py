@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.llm import near_dup, packing, secret_scan, substring, toxicity
+from martlens.llm.common import packed, unpacked
 from martlens.session import checkpoint_dir
 from martlens.sources.tables import read_table
 
@@ -20,17 +21,13 @@ from martlens.sources.tables import read_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     model = toxicity.train_model(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return scored.where(F.col("_score") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity.score(packed(docs), model, ["doc_id", "text", "rest"])
+    return unpacked(scored.where(F.col("_score") < 0.5), docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id.
-
-    Equal rows become one; different texts of one doc_id stay or go together; rows without an id stay."""
-    gone = near_dup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where(~F.col("_kept")).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each near-duplicate group stays, the one with the smallest doc_id; equal rows become one."""
+    return near_dup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
