@@ -291,8 +291,9 @@ def order_value_histogram(rows: DataFrame, bins: int = 40, q: float = 0.99) -> D
 
 
 def revenue_box_stats(cust: DataFrame, q: float = 0.98) -> DataFrame:
-    """A27 (U4): revenue per customer, rows above the q-quantile of both arms dropped, box numbers per arm."""
-    v = cust.withColumn("revenue", F.col("cents") / F.lit(100.0))
-    edge = exact_quantiles(v, "revenue", [q], names=["_edge"]).select("_edge").scalar()
-    kept = v.where(F.col("revenue") <= edge)
-    return box_stats(kept, "revenue", by=["arm"])
+    """A27 (U4): revenue per customer, rows above the q-quantile of both arms dropped, box numbers per arm.
+
+    Customers are counted by arm and amount once; the edge and the quartiles are selected from those counts."""
+    v = cut_lineage(cust.groupBy("arm", (F.col("cents") / F.lit(100.0)).alias("revenue")).agg(F.count(F.lit(1)).alias("n")), "revenue-counts")
+    edge = exact_quantiles(v, "revenue", [q], names=["_edge"], weight="n").select("_edge").scalar()
+    return box_stats(v.where(F.col("revenue") <= edge), "revenue", by=["arm"], weight="n")

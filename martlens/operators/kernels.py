@@ -7,8 +7,8 @@ None of them pulls a whole table or an unbounded group into one task:
   locally (Arrow batches, running sum carried across batches), per-partition
   totals (one row per partition) are prefix-summed and broadcast back; the
   same path runs at every size;
-* quantiles aggregate to (value, count) first, so a value held by a third of
-  all rows is one row, then read their neighbours off the prefix sums;
+* quantiles are selected by refining histograms of an order-preserving key, for
+  all groups and probabilities at once, without a sort or a copy of the rows;
 * top-k per group ranks inside salted sub-groups first, then ranks the
   (k x buckets) survivors per group.
 """
@@ -125,53 +125,86 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     return r.withColumn(out, F.col("_before") + F.lit(1)).drop("_before")
 
 
-def _value_counts(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
-    v = F.col(col).cast("double")
-    return (df.select(*by, v.alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-            .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
+#: Low bits of the key that each pass of a selection leaves out: 18 bits are read first, then 16, 16 and 14.
+SELECT_SHIFTS = (46, 30, 14, 0)
+
+
+def order_key(v: Column) -> Column:
+    """A 64-bit integer that orders doubles as they are ordered (no NaN): the bits of |v|, negative for v < 0."""
+    a = F.abs(v)
+    guess = F.least(F.floor(F.log2(a)), F.lit(1023)).cast("int")
+    power = F.pow(F.lit(2.0), guess)
+    # the logarithm may miss a power of two by one
+    e = F.when(power > a, guess - 1).when(a >= 2 * power, guess + 1).otherwise(guess)
+    fraction = ((a / F.pow(F.lit(2.0), e) - 1.0) * float(1 << 52)).cast("bigint")
+    bits = (F.when(a == float("inf"), F.lit(2047 << 52))
+            .when(a >= 2.0 ** -1022, F.shiftleft((e + 1023).cast("bigint"), 52) + fraction)
+            .otherwise((a * 2.0 ** 537 * 2.0 ** 537).cast("bigint")))
+    return F.when(v < 0, -bits).otherwise(bits)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (NumPy 'linear', SQL percentile / quantile_cont)
     of ``col`` per group of ``by``; one row per group, one column per probability.
 
-    Nulls and NaN are skipped.  Position h = p * (n - 1); the result is
+    Nulls and NaN are skipped; a row counts ``weight`` times (once when None).  Position h = p * (n - 1); the result is
     v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
+
+    Selection by histogram refinement: a pass counts rows by the leading bits of an order-preserving key,
+    for all groups and probabilities at once; the next pass reads only what shares the leading bits of a
+    wanted rank, until one value is left (two passes for amounts of money, four at most).  Rows are
+    neither sorted nor written; what is shuffled is one row per task and bucket.
     """
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    vc = _value_counts(df, col, by)
-    cum = prefix_sum(vc, [*by, "_v"], "_cnt", "_before", num_partitions)
-    if by:
-        g = cum.groupBy(*by).agg(F.min("_before").alias("_g0"), F.sum("_cnt").alias("_n"))
-        cum = join_groups(cum, g, by).withColumn("_before", F.col("_before") - F.col("_g0"))
-    else:
-        cum = cum.withColumn("_n", cum.agg(F.sum("_cnt")).scalar())
-    aggs = [F.first("_n").alias("_n")]
-    end = F.col("_before") + F.col("_cnt")
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs.append(F.max(F.when((F.col("_before") <= lo) & (lo < end), F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when((F.col("_before") <= hi) & (hi < end), F.col("_v"))).alias(f"_hi{i}"))
-    agg = cum.groupBy(*by).agg(*aggs)
+    v = F.col(col).cast("double")
+    rows = df.select(*by, (v + F.lit(0.0)).alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_w")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if num_partitions:
+        rows = rows.repartition(num_partitions)
+    rows = rows.withColumn("_key", order_key(F.col("_v")))
+    group = Window.partitionBy(*by)
+    done = found = None
+    for i, shift in enumerate(SELECT_SHIFTS):
+        part = rows.withColumn("_b", F.shiftright("_key", shift))
+        if found is not None:
+            part = join_groups(part.withColumn("_p", F.shiftright("_key", SELECT_SHIFTS[i - 1])),
+                               found.where(F.col("_lo") != F.col("_hi")).select(*by, F.col("_b").alias("_p"), "_n", "_targets"), [*by, "_p"])
+        inside = [] if found is None else ["_p"]
+        counts = part.groupBy(*by, *inside, "_b").agg(
+            F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            *([] if found is None else [F.first("_n").alias("_n"), F.first("_targets").alias("_targets")]))
+        # at most 2^18 buckets a group, then 2^16 for a rank
+        counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by, *inside).orderBy("_b")) - F.col("_c"))
+        if found is None:
+            counts = counts.withColumn("_n", F.sum("_c").over(group))
+            h = [F.lit(float(p)) * (F.col("_n") - 1).cast("double") for p in probs]
+            counts = counts.withColumn("_targets", F.array(*[F.struct(F.lit(k).alias("k"), x.cast("bigint").alias("r"))
+                                                             for k, x in enumerate(y for z in h for y in (F.floor(z), F.ceil(z)))]))
+        mine = F.filter("_targets", lambda t: (t["r"] >= F.col("_before")) & (t["r"] < F.col("_before") + F.col("_c")))
+        counts = counts.withColumn("_targets", F.transform(mine, lambda t: F.struct(t["k"].alias("k"), (t["r"] - F.col("_before")).alias("r"))))
+        found = cut_lineage(counts.where(F.size("_targets") > 0).select(*by, "_b", "_n", "_lo", "_hi", "_targets"), "select")
+        part_done = found.where(F.col("_lo") == F.col("_hi")).select(*by, "_n", F.explode("_targets.k").alias("_k"), F.col("_lo").alias("_v"))
+        done = part_done if done is None else done.unionByName(part_done)
+        if found.where(F.col("_lo") != F.col("_hi")).isEmpty():
+            break
+    agg = done.groupBy(*by).agg(F.first("_n").alias("_n"), *[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_x{k}") for k in range(2 * len(probs))])
     outs = []
     for i, (p, name) in enumerate(zip(probs, names)):
         h = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
         d = h - F.floor(h)
-        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo_v, hi_v = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
         outs.append(F.when(hi_v == lo_v, lo_v).otherwise(lo_v + (hi_v - lo_v) * d).alias(name))
     return agg.select(*by, *outs)
 
 
-def exact_median_columns(df: DataFrame, cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """One-row frame: exact median of each column (several columns in one kernel pass)."""
+def exact_median_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One-row frame: exact median of each column (all columns in one selection)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")
     ).select("_s._col", "_s._x")
-    med = exact_quantiles(stacked, "_x", [0.5], by=["_col"], names=["_m"], num_partitions=num_partitions)
+    med = exact_quantiles(stacked, "_x", [0.5], by=["_col"], names=["_m"])
     return med.groupBy().pivot("_col", list(cols)).agg(F.first("_m"))
 
 
@@ -211,25 +244,26 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), densit
     return res.select(*cols)
 
 
-def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Box-plot numbers per group: quartiles, 1.5 IQR fences, whisker ends
-    (most extreme values inside the fences) and the outlier count."""
+    (most extreme values inside the fences) and the outlier count; a row counts ``weight`` times."""
     by = list(by)
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"], weight=weight)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr")).withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr"))
-    v = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = df.select(*by, F.col(col).cast("double").alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_w")).where(
+        F.col("_v").isNotNull())
     j = with_row(v, q) if not by else join_groups(v, q, by)
     inside = (F.col("_v") >= F.col("fence_lo")) & (F.col("_v") <= F.col("fence_hi"))
+    stats = ["q1", "median", "q3", "iqr"]
     agg = j.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("_w").alias("n"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
-        F.sum(F.when(~inside, 1).otherwise(0)).cast("bigint").alias("outliers"),
-    )
-    out = agg.join(q, by) if by else with_row(agg, q)
-    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in
-                                  ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]], "outliers")
+        F.sum(F.when(~inside, F.col("_w")).otherwise(0)).cast("bigint").alias("outliers"),
+        *[F.first(c).alias(c) for c in stats],
+    ).withColumn("n", F.coalesce("n", F.lit(0)))
+    return agg.select(*by, "n", *[F.round(c, 6).alias(c) for c in [*stats, "whisker_lo", "whisker_hi"]], "outliers")
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from martlens.operators.kernels import (
-    box_stats, exact_median_columns, exact_quantiles, global_row_number, histogram, prefix_sum, top_k_per_group,
+    box_stats, exact_median_columns, exact_quantiles, global_row_number, histogram, order_key, prefix_sum, top_k_per_group,
 )
 
 
@@ -110,3 +110,52 @@ def test_group_tables_beyond_the_broadcast_size(spark, monkeypatch):
     want = exact_quantiles(df, "v", [0.5], by=["g"]).orderBy("g").collect()
     monkeypatch.setattr(kernels, "BROADCAST_GROUPS", 2)
     assert exact_quantiles(df, "v", [0.5], by=["g"]).orderBy("g").collect() == want
+
+
+def test_order_key_is_exact_for_every_kind_of_double(spark):
+    """The key is the bits of |v|: for all powers of two, their neighbours, subnormals, zeros and infinities."""
+    p = np.array([2.0 ** e for e in range(-1074, 1024)])
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 0x7FEF_FFFF_FFFF_FFFF, 20_000).view(np.float64)
+    v = np.unique(np.concatenate((p, np.nextafter(p, 0), np.nextafter(p, np.inf), some, [0.0, np.inf, 1.7976931348623157e308])))
+    v = np.concatenate((-v[::-1], v))
+    bits = np.abs(v).view(np.int64)
+    got = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(v)), "v": v})).select("i", order_key(F.col("v")).alias("k")).toPandas()
+    assert (got.sort_values("i")["k"].to_numpy() == np.where(v < 0, -bits, bits)).all()
+
+
+def test_quantiles_of_hard_values(spark):
+    """All magnitudes, values that differ in the last bit, one value held by a third of all rows, infinities, weights."""
+    rng = np.random.default_rng(4)
+    base = 1234.5
+    near = [base]
+    for _ in range(300):
+        near.append(np.nextafter(near[-1], np.inf))
+    v = np.concatenate((rng.standard_normal(500) * 10.0 ** rng.integers(-300, 300, 500), near, np.full(400, 7.25), [0.0, -0.0, -5e-324, 5e-324]))
+    w = rng.integers(1, 4, len(v))
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "w": w, "g": np.arange(len(v)) % 2}))
+    probs = [0.0, 0.1, 0.37, 0.5, 0.501, 0.9, 1.0]
+    assert tuple(exact_quantiles(df, "v", probs).first()) == tuple(np.sort(v)[[0]]) + tuple(
+        _linear(np.sort(v), p) for p in probs[1:])
+    rep = np.sort(np.repeat(v, w))
+    assert tuple(exact_quantiles(df, "v", probs, weight="w").first()) == tuple(_linear(rep, p) for p in probs)
+    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    assert got == {g: tuple(_linear(np.sort(v[g::2]), p) for p in probs) for g in (0, 1)}
+
+
+def _linear(s, p):
+    h = p * (len(s) - 1)
+    lo, hi = s[int(np.floor(h))], s[int(np.ceil(h))]
+    return lo if lo == hi else lo + (hi - lo) * (h - np.floor(h))
+
+
+def test_selection_sorts_and_writes_no_rows(spark):
+    """No range exchange in the plan, whatever is selected."""
+    df, _ = _frame(spark, 2000, 5)
+    plan = exact_quantiles(df, "v", [0.5], by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_box_stats_of_no_rows(spark):
+    r = box_stats(spark.createDataFrame([], "x double"), "x").first()
+    assert r["n"] == 0 and r["median"] is None
