@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import md5_key, md5_unit, money, whole_days
 from .clean import impute_median
 from ..session import cut_lineage
-from .kernels import exact_median_columns, global_row_number, histogram, join_groups, prefix_sum, with_row
+from .kernels import exact_median_columns, global_row_number, histogram, join_groups, neighbours, prefix_sum, with_row
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -125,34 +125,59 @@ def fold_column(m: DataFrame, k: int = 5, salt: str = "fold", key: str = KEY, la
 
 # ---- exact evaluation ----------------------------------------------------------------
 
-def _score_counts(pred: DataFrame, score: str, label: str) -> DataFrame:
-    return pred.groupBy(F.col(score).cast("double").alias("_s")).agg(
+def _score_counts(pred: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    return pred.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.count(F.lit(1)).alias("_t"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"))
 
 
-def auc(pred: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def auc(pred: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """M7: ROC AUC = (R1 - n1(n1+1)/2) / (n1 n0), R1 = sum of average ranks of
-    positives (ties share a rank); one row, null with one class only."""
-    cum = prefix_sum(_score_counts(pred, score, label), ["_s"], "_t", "_before")
+    positives (ties share a rank); one row per group of ``by``, null with one class only.
+
+    All groups take one pass: the running count goes on over the groups, in their order, and what a
+    group started from is taken off its rank sum at the end."""
+    by = list(by)
+    cum = prefix_sum(_score_counts(pred, score, label, by), [*by, "_s"], "_t", "_before")
     twice = (2 * F.col("_before") + F.col("_t") + 1).cast("decimal(19,0)")  # of the average rank
-    s = cum.agg((F.sum(F.col("_p").cast("decimal(19,0)") * twice).cast("double") / 2.0).alias("r1"), F.sum("_p").cast("double").alias("n1"),
-                (F.sum("_t") - F.sum("_p")).cast("double").alias("n0"))
-    a = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
-    return s.select(F.round(a, 6).alias("auc"))
+    s = cum.groupBy(*by).agg(
+        (F.sum(F.col("_p").cast("decimal(19,0)") * twice)
+         - F.sum("_p").cast("decimal(19,0)") * (2 * F.min("_before")).cast("decimal(19,0)")).alias("r2"),
+        F.sum("_p").cast("double").alias("n1"), (F.sum("_t") - F.sum("_p")).cast("double").alias("n0"))
+    a = F.try_divide(F.col("r2").cast("double") / 2.0 - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
+    return s.select(*by, F.round(a, 6).alias("auc"))
 
 
-def roc_points(pred: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_points(pred: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (),
+               drop_collinear: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score (score >= threshold is
-    positive), plus the (inf, 0, 0) start; all points kept."""
-    sc = _score_counts(pred, score, label).withColumn("_neg_cnt", F.col("_t") - F.col("_p"))
-    desc = sc.withColumn("_desc", -F.col("_s"))
-    cn = prefix_sum(desc, ["_desc"], ["_p", "_neg_cnt"], ["_p_before", "_n_before"])
-    tot = sc.agg(F.sum("_p").alias("_tot_pos"), F.sum("_neg_cnt").alias("_tot_neg"))
-    j = with_row(cn, tot)
-    pts = j.select(F.col("_s").alias("threshold"),
-                   F.round(F.try_divide(F.col("_n_before") + F.col("_neg_cnt"), F.col("_tot_neg")), 6).alias("fpr"),
-                   F.round(F.try_divide(F.col("_p_before") + F.col("_p"), F.col("_tot_pos")), 6).alias("tpr"))
-    start = sc.agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    positive), plus the (inf, 0, 0) start, per group of ``by``.
+
+    With ``drop_collinear`` the points between two others on one straight line are left out, the first
+    and last score always kept: what a drawing needs, so the output follows the bends of the curve and not the scores."""
+    by = list(by)
+    sc = _score_counts(pred, score, label, by).withColumn("_neg_cnt", F.col("_t") - F.col("_p"))
+    order = [*by, "_desc"]
+    cn = prefix_sum(sc.withColumn("_desc", -F.col("_s")), order, ["_p", "_neg_cnt"], ["_p_before", "_n_before"], keep_partition="_part")
+    if by:
+        own = cn.groupBy(*by).agg(F.min("_p_before").alias("_p0"), F.min("_n_before").alias("_n0"),
+                                  F.sum("_p").alias("_tot_pos"), F.sum("_neg_cnt").alias("_tot_neg"))
+        j = join_groups(cn, own, by)
+    else:
+        j = with_row(cn, sc.agg(F.sum("_p").alias("_tot_pos"), F.sum("_neg_cnt").alias("_tot_neg"))).withColumns(
+            {"_p0": F.lit(0), "_n0": F.lit(0)})
+    j = j.withColumns({"_fp": F.col("_n_before") - F.col("_n0") + F.col("_neg_cnt"), "_tp": F.col("_p_before") - F.col("_p0") + F.col("_p")})
+    if drop_collinear:
+        j = neighbours(j, "_part", order, [*by, "_fp", "_tp"])
+        before, after = F.col("_prev"), F.col("_next")
+        same = [(before[c] == F.col(c)) & (after[c] == F.col(c)) for c in by]
+        straight = ((before["_fp"] + after["_fp"] == 2 * F.col("_fp")) & (before["_tp"] + after["_tp"] == 2 * F.col("_tp")))
+        for c in same:
+            straight = straight & c
+        j = j.where(~F.coalesce(straight, F.lit(False)))
+    pts = j.select(*by, F.col("_s").alias("threshold"),
+                   F.round(F.try_divide(F.col("_fp"), F.col("_tot_neg")), 6).alias("fpr"),
+                   F.round(F.try_divide(F.col("_tp"), F.col("_tot_pos")), 6).alias("tpr"))
+    start = sc.groupBy(*by).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
@@ -283,19 +308,20 @@ def cv_auc(m: DataFrame, features: Sequence[str] = FEATURES, k: int = 5, paralle
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
 
-    def one(name_fold):
-        name, f = name_fold
+    def laid_out(f):
         # weights of the training part alone: the test fold tells the fit nothing
-        train = stable_layout(class_weights(folded.where(F.col("fold") != f)))
-        test = folded.where(F.col("fold") == f)
+        return stable_layout(class_weights(folded.where(F.col("fold") != f)))
+
+    def predicted(name_fold):
+        name, f = name_fold
         est = _models(total - sizes.get(f, 0), features)[name]
-        pred = score(est.fit(train), test).withColumnRenamed("churn", "label")
-        return auc(pred, "score", "label").select(F.lit(name).alias("model"), F.lit(f).alias("fold"), "auc")
+        pred = score(est.fit(trains[f]), folded.where(F.col("fold") == f))
+        return pred.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), F.col("churn").alias("label"), "score")
 
-    jobs = [(name, f) for name in _models(1, features) for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = list(pool.map(one, jobs))
-    per_fold = reduce(DataFrame.unionByName, parts)
+        trains = list(pool.map(laid_out, range(k)))  # one layout a fold, read by all estimators
+        parts = list(pool.map(predicted, [(name, f) for name in _models(1, features) for f in range(k)]))
+    per_fold = auc(reduce(DataFrame.unionByName, parts), by=["model", "fold"])  # all models and folds in one pass
     return per_fold.groupBy("model").agg(F.round(F.avg("auc"), 6).alias("cv_auc"))
 
 

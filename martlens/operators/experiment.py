@@ -199,9 +199,34 @@ def revenue_lift(cust: DataFrame) -> DataFrame:
                     F.round(lift(F.col("mean_A"), F.col("mean_B")), 6).alias("rev_lift_pct"))
 
 
+#: Arms of at most so many values without ties get the exact null distribution of U.
+EXACT_ARM = 8
+
+
+def exact_u_tail(u: Column, n1: Column, n2: Column) -> Column:
+    """P(U <= u) under the null for small arms: in how many of the orders of n1 + n2 values U is at most u.
+
+    The number of orders with a given U is the coefficient of q^U in the product of (1 - q^(n2 + i)) / (1 - q^i), i = 1..n1,
+    built factor by factor on an array of n1 n2 + 1 counts."""
+    size = (n1 * n2 + 1).cast("int")
+    one = F.transform(F.sequence(F.lit(1), size), lambda k: F.when(k == 1, 1.0).otherwise(0.0))
+
+    def factor(c, i):
+        shift = (n2 + i).cast("int")
+        less = F.transform(c, lambda x, k: x - F.when(k >= shift, F.get(c, k - shift)).otherwise(0.0))  # times 1 - q^(n2 + i)
+        grown = F.aggregate(less, F.array().cast("array<double>"), lambda a, x: F.concat(  # divided by 1 - q^i
+            a, F.array(x + F.coalesce(F.get(a, F.size(a) - i), F.lit(0.0)))))
+        return grown
+
+    counts = F.aggregate(F.sequence(F.lit(1), n1.cast("int")), one, factor)
+    return F.aggregate(F.slice(counts, F.lit(1), F.floor(u).cast("int") + 1), F.lit(0.0), lambda a, x: a + x) / F.aggregate(
+        counts, F.lit(0.0), lambda a, x: a + x)
+
+
 def mann_whitney_u(values: DataFrame, col: str = "cents") -> DataFrame:
     """U of arm A, one-sided 'less' (A stochastically smaller), normal
-    approximation with tie correction and continuity correction.
+    approximation with tie correction and continuity correction; exact for
+    arms of at most EXACT_ARM values each without ties.
 
     Average ranks come from a global prefix sum over distinct values, so tied
     values (e.g. every customer with revenue 0) are one row."""
@@ -223,7 +248,8 @@ def mann_whitney_u(values: DataFrame, col: str = "cents") -> DataFrame:
     u2 = n1 * n2 - u1
     sd = F.sqrt(F.greatest(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))), F.lit(0.0)))
     z = F.try_divide(u2 - n1 * n2 / 2.0 - 0.5, sd)  # null when all values tie or an arm is empty
-    p = F.when(z.isNotNull(), F.least(F.greatest(normal_sf(z), F.lit(0.0)), F.lit(1.0)))
+    small = (n1.between(1, EXACT_ARM)) & (n2.between(1, EXACT_ARM)) & (F.col("ties") == 0)
+    p = F.when(small, exact_u_tail(u1, n1, n2)).when(z.isNotNull(), F.least(F.greatest(normal_sf(z), F.lit(0.0)), F.lit(1.0)))
     return s.select(F.round(u1, 6).alias("u_stat"), F.round(z, 6).alias("z"), F.round(p, 6).alias("p_value"))
 
 

@@ -63,7 +63,8 @@ def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str =
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | Sequence[str] | None = None,
-               out: str | Sequence[str] = "cum_before", num_partitions: int | None = None) -> DataFrame:
+               out: str | Sequence[str] = "cum_before", num_partitions: int | None = None,
+               keep_partition: str | None = None) -> DataFrame:
     """Adds ``out`` = sum of ``weight`` (1 per row when None) over all rows strictly
     before each row in the global ``order``; several weights share one pass.
 
@@ -71,6 +72,7 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | Seque
     way on every run.  Range partitions are summed locally over Arrow batches
     (other columns pass through untouched) and written, which fixes partition
     membership before the offsets, one row per partition, are derived from it.
+    ``keep_partition`` names a column for the number of a row's range, ascending in the order.
     """
     outs = [out] if isinstance(out, str) else list(out)
     if weight is None:
@@ -114,10 +116,47 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | Seque
                                       for i in range(len(weights))])
     res = local.join(F.broadcast(offsets), "_pid").withColumns({
         o: (F.col(f"_off{i}") + F.col(f"_local{i}")).cast("bigint") for i, o in enumerate(outs)})
+    if keep_partition:
+        res = res.withColumn(keep_partition, F.col("_pid"))
     drop = ["_pid", *locals_, *[f"_off{i}" for i in range(len(weights))]] + (["_w1"] if weight is None else [])
     return res.drop(*drop)
 
 
+def neighbours(df: DataFrame, part: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Adds _prev and _next, the structs ``cols`` of the rows before and after each row in the global order.
+
+    ``df`` lies in ranges of that order, numbered by ``part`` (see prefix_sum).  Neighbours are taken inside
+    each range; across ranges the last and first row of each, one row per range, are exchanged."""
+    row, at = F.struct(*cols), F.struct(*order)
+    inside = Window.partitionBy(part).orderBy(*order)
+    d = df.withColumns({"_prev": F.lag(row).over(inside), "_next": F.lead(row).over(inside)})
+    ends = df.groupBy(part).agg(F.min_by(row, at).alias("_head"), F.max_by(row, at).alias("_tail"))
+    over = Window.orderBy(part)  # one row per range
+    ends = ends.select(part, F.lag("_tail").over(over).alias("_tail"), F.lead("_head").over(over).alias("_head"))
+    return d.join(F.broadcast(ends), part).withColumns(
+        {"_prev": F.coalesce("_prev", "_tail"), "_next": F.coalesce("_next", "_head")}).drop("_tail", "_head")
+
+
+def round_histogram(df: DataFrame, col: str, max_bins: int) -> DataFrame:
+    """Histogram with round bins: the least width of 1, 2 or 5 times a power of ten, bins starting at its multiples,
+    that needs at most ``max_bins`` bins.  Rows (bin_lo, bin_hi, count), empty bins kept; one value has one bin of width 1."""
+    v = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ends = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    power = F.floor(F.log10((F.col("_hi") - F.col("_lo")) / F.lit(float(max_bins)))).cast("int")
+    widths = F.flatten(F.transform(F.sequence(power - 1, power + 2), lambda k: F.transform(
+        F.array(F.lit(1.0), F.lit(2.0), F.lit(5.0)), lambda x: x * F.pow(F.lit(10.0), k))))
+    fits = F.filter(widths, lambda w: F.floor(F.col("_hi") / w) - F.floor(F.col("_lo") / w) + 1 <= max_bins)
+    width = F.when(F.col("_hi") > F.col("_lo"), F.get(fits, 0)).otherwise(F.lit(1.0))
+    plan = ends.where(F.col("_lo").isNotNull()).withColumn("_w", width).withColumns(
+        {"_a": F.floor(F.col("_lo") / F.col("_w")), "_b": F.floor(F.col("_hi") / F.col("_w"))})
+    w = plan.select("_w").scalar()
+    counts = v.groupBy(F.floor(F.col("_v") / w).alias("_i")).agg(F.count(F.lit(1)).alias("count"))
+    grid = plan.select("_w", F.explode(F.sequence("_a", "_b")).alias("_i"))
+    return grid.join(counts, "_i", "left").select(
+        F.round(F.col("_i") * F.col("_w"), 6).alias("bin_lo"), F.round((F.col("_i") + 1) * F.col("_w"), 6).alias("bin_hi"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
     """1-based position in a global total order, without a single-partition window."""

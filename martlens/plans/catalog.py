@@ -498,8 +498,7 @@ def _union(frames):
 
 @query("model_test_auc")
 def q_model_test_auc(spark, sf_dir):
-    rows = _union([CU.auc(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "auc")
-                   for n in MODEL_NAMES])
+    rows = CU.auc(_union([test_predictions(spark, sf_dir, n).select(F.lit(n).alias("model"), "score", "label") for n in MODEL_NAMES]), by=["model"])
     from pyspark.sql import Window
 
     best = F.row_number().over(Window.orderBy(F.desc("auc"), "model")) == 1  # three rows
@@ -525,8 +524,8 @@ def q_model_class_report(spark, sf_dir):
 
 @query("model_roc_points")
 def q_model_roc_points(spark, sf_dir):
-    return _union([CU.roc_points(test_predictions(spark, sf_dir, n)).select(F.lit(n).alias("model"), "*")
-                   for n in MODEL_NAMES])
+    every = _union([test_predictions(spark, sf_dir, n).select(F.lit(n).alias("model"), "score", "label") for n in MODEL_NAMES])
+    return CU.roc_points(every, by=["model"], drop_collinear=True)
 
 
 @query("best_model_confusion")
@@ -734,3 +733,45 @@ def q_review_sentiment_large_lexicon(spark, sf_dir):
     c = ctx.stage("clean_comments", lambda: T.clean_reviews(ctx.fx.reviews()))
     s = T.lexicon_sentiment(c, T.corpus_lexicon(c), modifiers=ctx.fx.modifiers(), contrast="as", max_broadcast=0)
     return s.select("order_id", "review_score", "sentiment_score")
+
+
+def fixed_by_fold(spark, sf_dir):
+    """The model-free score of every customer with its fold: five evaluations in one table."""
+    m = CU.fold_column(churn_table(spark, sf_dir))
+    return CU.fixed_score(m).join(m.select(CU.KEY, "fold"), CU.KEY)
+
+
+@query("auc_by_fold_fixed_score")
+def q_auc_by_fold_fixed_score(spark, sf_dir):
+    """M7 of all folds in one segmented pass."""
+    return CU.auc(fixed_by_fold(spark, sf_dir), by=["fold"])
+
+
+@query("roc_bends_fixed_score")
+def q_roc_bends_fixed_score(spark, sf_dir):
+    """M12 as it is drawn: without points on a straight line."""
+    return CU.roc_points(fixed_predictions(spark, sf_dir), drop_collinear=True)
+
+
+@query("roc_bends_by_fold_fixed_score")
+def q_roc_bends_by_fold_fixed_score(spark, sf_dir):
+    return CU.roc_points(fixed_by_fold(spark, sf_dir), by=["fold"], drop_collinear=True)
+
+
+@query("mann_whitney_top_customers")
+def q_mann_whitney_top_customers(spark, sf_dir):
+    """X9 in its exact form: the eight customers of greatest revenue of each arm."""
+    cust = X.customer_revenue(exp_rows(spark, sf_dir), exp_arms(spark, sf_dir))
+    top = K.top_k_per_group(cust, ["arm"], [F.desc("cents"), F.asc(X.KEY)], X.EXACT_ARM, [X.KEY])
+    return X.mann_whitney_u(top)
+
+
+@query("price_round_histogram")
+def q_price_round_histogram(spark, sf_dir):
+    """A24 with the round bin widths that a drawing picks for at most 60 bins."""
+    return K.round_histogram(context(spark, sf_dir).fact(), "price", 60)
+
+
+@query("delivery_round_histogram")
+def q_delivery_round_histogram(spark, sf_dir):
+    return K.round_histogram(C.between_days(context(spark, sf_dir).fact(), "delivery_days", 0, 60), "delivery_days", 40)

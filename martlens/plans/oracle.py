@@ -736,3 +736,54 @@ oracle("review_sentiment_rules", RULES + "\nSELECT order_id, review_score, senti
 oracle("review_sentiment_large_lexicon", RULES.replace("bst AS (", """big_lexicon AS (SELECT DISTINCT tok AS term,
   ((ascii(tok) + length(tok)) * 7 % 41 - 20) / 10.0 AS valence FROM u WHERE (ascii(tok) + length(tok)) % 3 <> 0),
 bst AS (""").replace("fx_lexicon", "big_lexicon") + "\nSELECT order_id, review_score, sentiment_score FROM sc", "fx_reviews")
+
+# ---- evaluation per group, bends of the curve, exact U, round bins ----------------------
+FOLDED = FIXED + f""",
+fo AS (SELECT pr.*, CAST((row_number() OVER (PARTITION BY label ORDER BY {md5_sql('fold', 'customer_unique_id')}, customer_unique_id) - 1) % 5 AS INT)
+  AS fold FROM pr)"""
+oracle("auc_by_fold_fixed_score", FOLDED + """,
+rk AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY score) AS r0, count(*) OVER (PARTITION BY fold, score) AS t FROM fo)
+SELECT fold, round((sum(CASE WHEN label = 1 THEN r0 - 1 + (t + 1) / 2.0 END)
+              - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+             / (CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) * count(*) FILTER (WHERE label = 0)), 6) AS auc
+FROM rk GROUP BY fold""", "fact")
+
+
+def _bends(source: str, by: str) -> str:
+    keys, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    over = f"({part} ORDER BY score DESC)"
+    return f""",
+d AS (SELECT {keys}score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM {source} GROUP BY {keys}score),
+c AS (SELECT {keys}score, sum(n) OVER {over} AS fp, sum(p) OVER {over} AS tp, sum(n) OVER ({part}) AS tn, sum(p) OVER ({part}) AS tt FROM d),
+b AS (SELECT *, lag(fp) OVER {over} + lead(fp) OVER {over} - 2 * fp AS f2, lag(tp) OVER {over} + lead(tp) OVER {over} - 2 * tp AS t2 FROM c)
+SELECT {keys}CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr FROM d {f'GROUP BY {by}' if by else 'LIMIT 1'}
+UNION ALL
+SELECT {keys}score AS threshold, round(fp / tn, 6) AS fpr, round(tp / tt, 6) AS tpr FROM b WHERE f2 IS NULL OR f2 <> 0 OR t2 <> 0"""
+
+
+oracle("roc_bends_fixed_score", FIXED + _bends("pr", "").replace("FROM d LIMIT 1", "FROM (SELECT 1 FROM d LIMIT 1)"), "fact")
+oracle("roc_bends_by_fold_fixed_score", FOLDED + _bends("fo", "fold"), "fact")
+oracle("mann_whitney_top_customers", EXP + """,
+top AS (SELECT arm, cents FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY cents DESC, customer_unique_id) AS k FROM cr) WHERE k <= 8),
+r AS (SELECT arm, row_number() OVER (ORDER BY cents) AS i FROM top),
+s AS (SELECT count(*) FILTER (WHERE arm = 'A') AS n1, count(*) FILTER (WHERE arm = 'B') AS n2, sum(i) FILTER (WHERE arm = 'A') AS r1 FROM r),
+q AS (SELECT list_sum(list_transform(range(1, n1 + n2 + 1), lambda i: ((m >> CAST(i - 1 AS INT)) & 1) * i)) AS total
+  FROM (SELECT range AS m FROM range(65536)), s WHERE m < pow(2, n1 + n2) AND bit_count(m) = n1)
+SELECT round(CAST(r1 - n1 * (n1 + 1) / 2.0 AS DOUBLE), 6) AS u_stat,
+  round((n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1)), 6) AS z,
+  round((SELECT count(*) FROM q WHERE total <= r1) / (SELECT CAST(count(*) AS DOUBLE) FROM q), 6) AS p_value FROM s""", "fact")
+
+
+def round_histogram_sql(col: str, bins: int, where: str = "TRUE") -> str:
+    return f"""
+WITH v AS (SELECT CAST({col} AS DOUBLE) AS v FROM fact WHERE {col} IS NOT NULL AND ({where})),
+e AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+w AS (SELECT lo, hi, min(x * pow(10.0, k)) AS w FROM e, (VALUES (1.0::DOUBLE), (2.0), (5.0)) AS m(x), (SELECT unnest(range(-6, 12)) AS k)
+  WHERE floor(hi / (x * pow(10.0, k))) - floor(lo / (x * pow(10.0, k))) + 1 <= {bins} GROUP BY lo, hi),
+g AS (SELECT w, unnest(range(CAST(floor(lo / w) AS BIGINT), CAST(floor(hi / w) AS BIGINT) + 1)) AS i FROM w),
+c AS (SELECT CAST(floor(v / w) AS BIGINT) AS i, count(*) AS n FROM v, w GROUP BY 1)
+SELECT round(g.i * g.w, 6) AS bin_lo, round((g.i + 1) * g.w, 6) AS bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM g LEFT JOIN c ON c.i = g.i"""
+
+
+oracle("price_round_histogram", round_histogram_sql("price", 60), "fact")
+oracle("delivery_round_histogram", round_histogram_sql("delivery_days", 40, "delivery_days BETWEEN 0 AND 60"), "fact")

@@ -53,3 +53,23 @@ def test_stopwords_and_classes(spark):
     assert filter_stopwords(df).first()["filtered_text"] == "ordered late"
     sc = spark.createDataFrame([(0.05,), (-0.05,), (0.0,)], "s double").select(sentiment_class(F.col("s"))).collect()
     assert [r[0] for r in sc] == ["Positive", "Negative", "Neutral"]
+
+
+def test_joined_word_table_equals_broadcast_one(spark, monkeypatch):
+    """The same scores whether the word table is broadcast or joined, with tokens split into parts, empty and null texts."""
+    import random
+
+    from martlens.operators import text as T
+
+    rnd = random.Random(3)
+    vocab = ["good", "bad", "very", "not", "but", "fine", "awful", "unknown", "slightly", "a", "so"]
+    texts = ["", None, "but", "not very good but so bad"] + [" ".join(rnd.choices(vocab, k=rnd.randrange(1, 25))) for _ in range(300)]
+    texts += ["good not good"] * 200 + [" ".join(["very good"] * 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, clean_comment string")
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("fine", 0.8), ("awful", -2.0), ("but", 0.3)], "term string, valence double")
+    want = {r["i"]: r["sentiment_score"] for r in T.lexicon_sentiment(df, lex).collect()}
+    for parts in (1000, 1):
+        monkeypatch.setattr(T, "TOKEN_PARTS", parts)
+        got = T.lexicon_sentiment(df, lex, max_broadcast=0)
+        assert got.columns == df.columns + ["sentiment_score"]
+        assert {r["i"]: r["sentiment_score"] for r in got.collect()} == want

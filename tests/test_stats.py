@@ -134,3 +134,57 @@ def test_one_class_scores(spark):
     df = spark.createDataFrame([(0.1, 1), (0.4, 1)], "score double, label int")
     assert auc(df).first()["auc"] is None
     assert {r["fpr"] for r in roc_points(df).collect()} == {0.0, None}
+
+
+def test_exact_u_against_all_orders(spark):
+    """Small arms without ties: the share of all orders with so small a U; ties or a large arm: the approximation."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for n1, n2 in ((1, 1), (3, 5), (8, 8), (8, 2)):
+        v = rng.permutation(n1 + n2)
+        df = spark.createDataFrame([("A" if i < n1 else "B", int(x)) for i, x in enumerate(v)], "arm string, cents long")
+        u = sum(int(a) > int(b) for a in v[:n1] for b in v[n1:])
+        all_u = [sum(r) - n1 * (n1 - 1) // 2 for r in itertools.combinations(range(n1 + n2), n1)]
+        got = mann_whitney_u(df).first()
+        assert got["u_stat"] == u and got["p_value"] == round(sum(x <= u for x in all_u) / len(all_u), 6)
+    tied = spark.createDataFrame([("A", 1), ("A", 2), ("B", 2), ("B", 3)], "arm string, cents long")
+    assert mann_whitney_u(tied).first()["p_value"] not in (None, round(1 / 6, 6))
+
+
+def test_auc_and_bends_per_group(spark):
+    """All groups in one pass equal one pass a group; the dropped points lie on the line between kept ones."""
+    from martlens.operators.churn import auc, roc_points
+
+    rng = np.random.default_rng(9)
+    rows = [(g, int(rng.random() < 0.4), float(rng.integers(0, 30 * (g + 1)) / 10)) for g in range(4) for _ in range(200)]
+    rows += [(9, 1, 0.5), (9, 1, 0.7)]  # one class only
+    df = spark.createDataFrame(rows, "g int, label int, score double").repartition(5)
+    got = {r["g"]: r["auc"] for r in auc(df, by=["g"]).collect()}
+    assert got == {g: auc(df.where(F.col("g") == g)).first()["auc"] for g in (0, 1, 2, 3, 9)} and got[9] is None
+    bends = roc_points(df, by=["g"], drop_collinear=True).where("g < 9").collect()
+    for g in range(4):
+        full = sorted((r["fpr"], r["tpr"]) for r in roc_points(df.where(F.col("g") == g)).collect())
+        kept = sorted((r["fpr"], r["tpr"]) for r in bends if r["g"] == g)
+        assert set(kept) <= set(full) and len(kept) < len(full)
+        x, y = zip(*full)
+        assert np.allclose(np.interp(x, *zip(*kept)), y, atol=1e-5) or len(set(x)) < len(x)
+
+
+def test_neighbours_across_ranges(spark):
+    from martlens.operators.kernels import neighbours, prefix_sum
+
+    df = prefix_sum(spark.range(100).select(F.col("id").alias("v")), ["v"], None, "b", 7, keep_partition="p")
+    got = {r["v"]: (r["_prev"], r["_next"]) for r in neighbours(df, "p", ["v"], ["v"]).collect()}
+    assert df.select("p").distinct().count() > 3
+    assert all((p["v"] if p else None, n["v"] if n else None) == (v - 1 if v else None, v + 1 if v < 99 else None) for v, (p, n) in got.items())
+
+
+def test_round_bins(spark):
+    from martlens.operators.kernels import round_histogram
+
+    df = spark.createDataFrame([(float(x),) for x in (3, 3, 17, 61, 99)], "v double")
+    got = [tuple(r) for r in round_histogram(df, "v", 12).orderBy("bin_lo").collect()]
+    assert got == [(float(x), float(x + 10), {0: 2, 10: 1, 60: 1, 90: 1}.get(x, 0)) for x in range(0, 100, 10)]
+    assert [tuple(r) for r in round_histogram(df.where("v = 17"), "v", 12).collect()] == [(17.0, 18.0, 1)]
+    assert round_histogram(df.where("false"), "v", 12).count() == 0
