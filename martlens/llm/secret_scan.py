@@ -125,8 +125,9 @@ def train(samples: DataFrame, weight: float = 20.0) -> DataFrame:
     codes = samples.where(F.length("value") >= 2).select("random", bound(codes_of(F.col("value")), lambda c: F.arrays_zip(
         F.slice(c, F.lit(1), F.size(c) - 1).alias("a"), F.slice(c, F.lit(2), F.size(c)).alias("b"))).alias("p"))
     pairs = codes.select("random", F.explode("p").alias("p"))
-    counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(  # at most 128 * 128 rows
-        F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o"))
+    # at most 128 * 128 rows, written because they are read four times
+    counts = cut_lineage(pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
+        F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o")), "secret-pairs")
     firsts = counts.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
     seconds = counts.groupBy("b").agg(F.sum("r").alias("rb"), F.sum("o").alias("ob"))
     whole = counts.agg(F.sum("r").alias("r"), F.sum("o").alias("o")).select(F.struct("r", "o")).scalar()
