@@ -248,20 +248,20 @@ def exact_median_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), density: bool = False,
-              lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """Equal-width histogram on [min, max] (or given [lo, hi]); the last bin is closed.
+              lo: float | None = None, hi: float | None = None, weight: str | None = None) -> DataFrame:
+    """Equal-width histogram on [min, max] (or given [lo, hi]); the last bin is closed; a row counts ``weight`` times.
 
     Rows: (*by, bin 1..n, bin_lo, bin_hi, count[, density]); empty bins kept.
     A range with min = max is widened by 0.5 on each side.
     """
     by = list(by)
-    v = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    v = df.select(*by, F.col(col).cast("double").alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if lo is not None and hi is not None:
         v = v.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
-        stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        stats = v.groupBy(*by).agg(F.sum("_w").alias("_n"))
         stats = stats.withColumn("_lo", F.lit(float(lo))).withColumn("_hi", F.lit(float(hi)))
     else:
-        stats = v.groupBy(*by).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+        stats = v.groupBy(*by).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_w").alias("_n"))
         same = F.col("_mn") == F.col("_mx")
         stats = stats.select(*by, "_n",
                              F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
@@ -269,7 +269,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), densit
     joined = with_row(v, stats) if not by else join_groups(v, stats, by)
     b = F.least(F.floor(F.lit(float(bins)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
                 F.lit(bins)).cast("bigint")
-    counts = joined.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = joined.groupBy(*by, b.alias("bin")).agg(F.sum("_w").alias("count"))
     grid = stats.select(*by, "_lo", "_hi", "_n", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     grid = grid.withColumn("bin", F.col("bin").cast("bigint"))
     res = grid.join(counts, [*by, "bin"], "left")

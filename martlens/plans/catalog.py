@@ -775,3 +775,11 @@ def q_price_round_histogram(spark, sf_dir):
 @query("delivery_round_histogram")
 def q_delivery_round_histogram(spark, sf_dir):
     return K.round_histogram(C.between_days(context(spark, sf_dir).fact(), "delivery_days", 0, 60), "delivery_days", 40)
+
+
+@query("dashboard_panels")
+def q_dashboard_panels(spark, sf_dir):
+    """Every dashboard panel over the fact, from one scan of it."""
+    from .dashboard import dashboard, panel_rows
+
+    return panel_rows(dashboard(context(spark, sf_dir).fact(), rfm_table(spark, sf_dir)))

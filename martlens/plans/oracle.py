@@ -787,3 +787,13 @@ SELECT round(g.i * g.w, 6) AS bin_lo, round((g.i + 1) * g.w, 6) AS bin_hi, CAST(
 
 oracle("price_round_histogram", round_histogram_sql("price", 60), "fact")
 oracle("delivery_round_histogram", round_histogram_sql("delivery_days", 40, "delivery_days BETWEEN 0 AND 60"), "fact")
+
+# ---- dashboard panels, one by one --------------------------------------------------------
+oracle("dashboard_panels", " UNION ALL ".join(
+    [f"SELECT 'kpis' AS panel, '{c}' AS label, CAST({c} AS DOUBLE) AS value FROM ({BODY['kpis']})"
+     for c in ("total_revenue", "total_orders", "total_customers", "avg_order_value")]
+    + [f"SELECT '{n}.{v}' AS panel, CAST({k} AS VARCHAR) AS label, CAST({v} AS DOUBLE) AS value FROM ({BODY[n]})" for n, k, v in (
+        ("monthly_revenue", "month", "revenue"), ("monthly_orders", "month", "orders"), ("top_categories", "category", "revenue"),
+        ("rows_by_weekday", "day", "orders"), ("rows_by_weekday", "day", "distinct_orders"), ("revenue_by_payment", "payment", "revenue"),
+        ("cumulative_revenue", "month", "cumulative"), ("delivery_histogram", "bin", "count"), ("rows_by_hour", "hour", "order_count"),
+        ("price_histogram", "bin", "count"))]), "fact")

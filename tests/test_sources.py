@@ -79,3 +79,37 @@ def test_remove_intermediates(spark, tmp_path):
     finally:
         if saved:
             sc._jsc.sc().setCheckpointDir(os.path.dirname(saved))
+
+
+def test_every_panel_equals_its_query(spark):
+    """The panels of the one-scan lattice are the results of the queries of their names, and the fact is read for the lattice and the sample only."""
+    from martlens.plans.catalog import QUERIES, rfm_table
+
+    ctx = context(spark, SF_SMALL)
+    panels = dashboard(ctx.fact(), rfm_table(spark, SF_SMALL))
+    fact_files = set(ctx.fact().inputFiles())
+    for name, df in panels.items():
+        want = QUERIES[name](spark, SF_SMALL)
+        cols = sorted(df.columns)
+        assert cols == sorted(want.columns), name
+        assert sorted(map(str, df.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect())), name
+        if name != "price_freight_sample":
+            assert not fact_files & set(df.inputFiles()), name
+
+
+def test_lattice_of_null_keys(spark):
+    """Null keys of the fact are rows of their own nodes and no month, payment or order; an order in two months counts in both."""
+    ctx = context(spark, SF_SMALL)
+    from martlens.operators import metrics as M
+    from martlens.plans.dashboard import Lattice
+
+    f = ctx.fact().limit(300)
+    f = f.withColumn(M.TS, F.when(F.col("order_id") % 5 != 0, F.col(M.TS))).withColumn(
+        "payment_type", F.when(F.col("order_id") % 3 != 0, F.col("payment_type"))).withColumn("order_id", F.when(F.col("order_id") % 7 != 0, F.col("order_id") % 11))
+    f = f.cache()
+    lattice = Lattice(f)
+    for got, want in ((lattice.distinct("month", "order_id").where("month is not null").toDF("month", "orders"), M.monthly_orders(f)),
+                      (lattice.node("payment").where("payment is not null").selectExpr("payment", "cast(revenue as double) as revenue"), M.revenue_by_payment(f))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert lattice.node("month").where("month is null").first()["n"] == f.where(F.col(M.TS).isNull()).count()
+    f.unpersist()
