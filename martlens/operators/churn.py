@@ -80,6 +80,15 @@ def customer_features(fact: DataFrame, snapshot: dt.datetime, key: str = KEY) ->
                            else F.col(c) for c in FEATURES])
 
 
+def customer_profile(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: str = KEY) -> DataFrame:
+    """J3 over A8 and A14: recency, frequency, monetary and churn of every customer.
+
+    Over a fact bucketed on the customer all three are read off its buckets, without a shuffle."""
+    from .rfm import rfm_base
+
+    return rfm_base(fact, snapshot, key).join(churn_labels(fact, snapshot, days, key).select(key, "last_purchase", "churn"), key)
+
+
 def churn_matrix(fact: DataFrame, snapshot: dt.datetime, days: int = 180, key: str = KEY,
                  exclude: Sequence[str] = (), fit_on: str = "all") -> DataFrame:
     """J3 + C16 + M1 input: features joined to labels, every feature's nulls

@@ -783,3 +783,66 @@ def q_dashboard_panels(spark, sf_dir):
     from .dashboard import dashboard, panel_rows
 
     return panel_rows(dashboard(context(spark, sf_dir).fact(), rfm_table(spark, sf_dir)))
+
+
+@query("csv_review_scores_parallel")
+def q_csv_review_scores_parallel(spark, sf_dir):
+    """S4 with quoted newlines, read block by block."""
+    ctx = context(spark, sf_dir)
+
+    def build():
+        none = F.lit(None).cast("string")
+        text = ctx.fx.reviews().select(
+            F.col("order_id").cast("string").alias("review_id"), F.col("order_id").cast("string").alias("order_id"), "review_score",
+            none.alias("review_comment_title"), "review_comment_message",
+            F.date_format("review_creation_date", "yyyy-MM-dd").alias("review_creation_date"), none.alias("review_answer_timestamp"))
+        path = _csv_folder(spark, "reviews")
+        S.write_table(text, path, "csv")
+        return S.read_quoted_csv(spark, path, S.RAW_SCHEMAS["reviews"])
+
+    r = ctx.stage("csv_reviews_parallel", build)
+    breaks = F.length("review_comment_message") - F.length(F.replace("review_comment_message", F.lit("\n"), F.lit("")))
+    return r.groupBy("review_score").agg(
+        F.count(F.lit(1)).alias("reviews"), F.count("review_comment_message").alias("comments"),
+        F.sum(F.length("review_comment_message")).cast("bigint").alias("chars"), F.sum(breaks).cast("bigint").alias("newlines"))
+
+
+def fact_by_customer(spark, sf_dir):
+    """The clean fact bucketed on the customer, written once per session."""
+    ctx = context(spark, sf_dir)
+    return ctx.stage_as("fact_by_customer", lambda: C.bucketed_stage(ctx.fact(), "fact_by_customer", CU.KEY))
+
+
+@query("customer_profile")
+def q_customer_profile(spark, sf_dir):
+    """J3, A8 and A14 off the bucketed fact."""
+    return CU.customer_profile(fact_by_customer(spark, sf_dir), SNAPSHOT, CHURN_DAYS)
+
+
+from ..operators import states as D  # noqa: E402
+
+
+def _two_loads(spark, sf_dir):
+    """The fact as two loads that share orders, customers and months."""
+    f = context(spark, sf_dir).fact().withColumn("month", F.date_format(M.TS, "yyyy-MM")).where(F.col("month").isNotNull())
+    return f.where(F.col("order_item_id") % 2 == 0), f.where((F.col("order_item_id") % 2 != 0) | F.col("order_item_id").isNull())
+
+
+def _merged_counts(spark, sf_dir, by, col, out):
+    first, second = _two_loads(spark, sf_dir)
+    ids = D.number_ids(first, col)
+    early = D.distinct_states(first, by, col, ids)
+    ids = D.number_ids(second, col, ids)
+    return D.count_states(D.merge_states([early, D.distinct_states(second, by, col, ids)], by), by, out)
+
+
+@query("monthly_orders_merged")
+def q_monthly_orders_merged(spark, sf_dir):
+    """A2 from the states of two loads."""
+    return _merged_counts(spark, sf_dir, ["month"], "order_id", "orders")
+
+
+@query("monthly_customers_merged")
+def q_monthly_customers_merged(spark, sf_dir):
+    """Distinct customers per month from the states of two loads."""
+    return _merged_counts(spark, sf_dir, ["month"], "customer_unique_id", "customers")

@@ -43,6 +43,13 @@ class StageContext:
                 self._stages[name] = stage_table(build(), name)
             return self._stages[name]
 
+    def stage_as(self, name: str, build) -> DataFrame:
+        """A stage that ``build`` itself writes, once per session."""
+        with _LOCK:
+            if name not in self._stages:
+                self._stages[name] = build()
+            return self._stages[name]
+
     def fact(self) -> DataFrame:
         """The clean order-line fact (E1), written once per session."""
         # straight from the joins, so the status filter reaches the orders scan; the delivered rows are

@@ -797,3 +797,13 @@ oracle("dashboard_panels", " UNION ALL ".join(
         ("rows_by_weekday", "day", "orders"), ("rows_by_weekday", "day", "distinct_orders"), ("revenue_by_payment", "payment", "revenue"),
         ("cumulative_revenue", "month", "cumulative"), ("delivery_histogram", "bin", "count"), ("rows_by_hour", "hour", "order_count"),
         ("price_histogram", "bin", "count"))]), "fact")
+
+# ---- parallel CSV, bucketed stage, merged states -------------------------------------------
+oracle("csv_review_scores_parallel", BODY["csv_review_scores"], "fx_reviews")
+oracle("customer_profile", f"""
+WITH a AS ({RFM_BASE}), l AS ({LABELS})
+SELECT a.*, l.last_purchase, l.churn FROM a JOIN l USING (customer_unique_id)""", "fact")
+oracle("monthly_orders_merged", BODY["monthly_orders"], "fact")
+oracle("monthly_customers_merged", """
+SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS customers
+FROM fact GROUP BY 1""", "fact")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import cut_lineage
+
 # Declared schemas of the retail CSV inputs (no inference: types are fixed once).
 RAW_SCHEMAS = {
     "orders": "order_id string, customer_id string, order_status string, order_purchase_timestamp string, "
@@ -49,6 +51,41 @@ def read_raw(spark: SparkSession, name: str, path: str, schema: str | StructType
     )
 
 
+def read_quoted_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """S4 in parallel: a headered CSV whose quoted fields may hold newlines, read by as many tasks as the files have blocks.
+
+    A newline ends a record if an even number of quotes stands before it in the file.  Each block gives the
+    parity of its quotes; the running parity over the blocks of a file (one row a block) tells every line whether it
+    begins outside quotes.  A line that begins and ends outside quotes is a record; only the lines of longer records,
+    also those that go on in the next block, are brought together.  The header is the first record of each file."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # written, so the numbers of the lines stay what they are
+    lines = cut_lineage(lines.withColumns({"seq": F.monotonically_increasing_id(),
+                                           "quotes": F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))}), "csv-lines")
+    inside = Window.partitionBy("file", "block").orderBy("seq")  # a block is bounded by spark.sql.files.maxPartitionBytes
+    over = Window.partitionBy("file").orderBy("block")  # one row a block
+
+    def running(df, what, name):
+        """``name``: the sum of ``what`` over all lines of the file before each line."""
+        totals = df.groupBy("file", "block").agg(F.sum(what).alias("t"))
+        totals = totals.select("file", "block", (F.sum("t").over(over) - F.col("t")).alias("before"))
+        here = F.sum(what).over(inside) - F.col(what)
+        return df.withColumn("here", here).join(totals, ["file", "block"]).withColumn(name, F.col("before") + F.col("here")).drop("before", "here")
+
+    lines = running(lines, "quotes", "q").withColumns({"begins": (F.col("q") % 2 == 0).cast("int"),
+                                                       "whole": (F.col("q") % 2 == 0) & ((F.col("q") + F.col("quotes")) % 2 == 0)})
+    lines = running(lines, "begins", "r").withColumn("record", F.col("r") + F.col("begins"))
+    body = lines.where(F.col("record") > 1)
+    single = body.where("whole").select("value")
+    parts = body.where(~F.col("whole")).groupBy("file", "record").agg(
+        F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("l"))
+    text = single.unionByName(parts.select(F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value")))
+    parsed = text.where(F.length(F.rtrim("value")) > 0).select(F.from_csv(F.regexp_replace("value", "\r$", ""), schema if isinstance(
+        schema, str) else schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    return parsed.select("r.*")
+
+
 def read_table_file(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | StructType | None = None) -> DataFrame:
     """Scan a stage output (typed Parquet by default)."""
     if fmt == "parquet":
