@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
+from ..session import cut_lineage
+from .kernels import join_unique
 
 # A category-name table is a code list; broadcast it after checking its size.
 
@@ -26,7 +28,7 @@ CATEGORY_COLS = ["product_category_name_english"]
 WIDE_COLS = ORDER_COLS + ITEM_COLS + PAYMENT_COLS + CUSTOMER_COLS + PRODUCT_COLS + CATEGORY_COLS
 
 
-def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True) -> DataFrame:
+def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True, split_hot: bool = False) -> DataFrame:
     """J1 (+C2): orders left-joined to items, payments, customers, products and
     category names; one row per (order, item, payment) — prices repeat once
     per payment row, as in the source pipeline.
@@ -36,6 +38,9 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True) -> DataFrame:
     rows equals the join of the distinct inputs: the order-grain core is made
     distinct right after its order_id joins (its rows are already clustered on
     order_id, so the distinct adds no shuffle), the dimensions on their own.
+
+    With ``split_hot`` the order lines are written and customers and products joined to them with
+    hot keys in parts and null keys left out of the join (kernels.join_unique); otherwise skew is left to AQE.
     """
     orders = raw["orders"].select(*ORDER_COLS)
     items = raw["order_items"].select("order_id", *ITEM_COLS)
@@ -51,7 +56,14 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True) -> DataFrame:
         category = category.distinct()
     # names go to the products first, so the fact is never hashed on a handful of category names
     named = products.join(category, "product_category_name", "left")
-    wide = core.join(customers, "customer_id", "left").join(named, "product_id", "left")
+    if split_hot:
+        if not dedup:
+            raise ValueError("hot keys are split against dimensions of one row per key: dedup=True")
+        spread = ["order_id", "order_item_id", "payment_sequential"]
+        wide = join_unique(cut_lineage(core, "core"), customers, "customer_id", spread)
+        wide = join_unique(cut_lineage(wide, "core"), named, "product_id", spread)
+    else:
+        wide = core.join(customers, "customer_id", "left").join(named, "product_id", "left")
     return wide.select(*WIDE_COLS)
 
 

@@ -62,6 +62,28 @@ def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str =
     return df.join(F.broadcast(g) if g.count() <= BROADCAST_GROUPS else g, list(by), how)
 
 
+#: A key that holds more than one in so many of all rows is hot.
+HOT_PARTS = 1000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], parts: int = HOT_PARTS) -> DataFrame:
+    """Left join of rows with a table of at most one row per ``key``, whatever share of the rows one key holds.
+
+    Heavy hitters come from the counts per key: at most ``parts`` keys hold more than one in ``parts`` of all rows, so
+    naming them to every task is bounded.  Their rows are dealt to several parts by a hash of the columns ``spread``,
+    each met by its own copy of the key's row.  Rows of a null key match nothing and bypass the join.
+    ``rows`` is read twice, so give a written table."""
+    known = rows.where(F.col(key).isNotNull())
+    counts = cut_lineage(known.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = cut_lineage(counts.withColumn("_parts", F.ceil(F.col("_n") * parts / total).cast("int")).where(F.col("_parts") > 1).select(key, "_parts"), "hot-keys")
+    share = F.coalesce("_parts", F.lit(1))
+    dealt = known.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), share).cast("int")).drop("_parts")
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), share - 1))).drop("_parts")
+    joined = dealt.join(copies, [key, "_part"], "left").drop("_part")
+    return joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def prefix_sum(df: DataFrame, order: Sequence[str | Column], weight: str | Sequence[str] | None = None,
                out: str | Sequence[str] = "cum_before", num_partitions: int | None = None,
                keep_partition: str | None = None) -> DataFrame:

@@ -846,3 +846,15 @@ def q_monthly_orders_merged(spark, sf_dir):
 def q_monthly_customers_merged(spark, sf_dir):
     """Distinct customers per month from the states of two loads."""
     return _merged_counts(spark, sf_dir, ["month"], "customer_unique_id", "customers")
+
+
+@query("revenue_by_state_hot_customer")
+def q_revenue_by_state_hot_customer(spark, sf_dir):
+    """J1 where one customer holds half of all orders and a seventh of the others have none."""
+    raw = dict(context(spark, sf_dir).raw())
+    key = F.when(F.col("order_id") % 2 == 0, F.lit(1).cast("bigint")).when(F.col("order_id") % 7 != 0, F.col("customer_id"))
+    raw["orders"] = raw["orders"].withColumn("customer_id", key)
+    wide = J.build_wide_fact(raw, split_hot=True)
+    return wide.groupBy("customer_state").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("customer_unique_id").alias("customers"),
+        F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("revenue"))

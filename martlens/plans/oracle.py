@@ -807,3 +807,9 @@ oracle("monthly_orders_merged", BODY["monthly_orders"], "fact")
 oracle("monthly_customers_merged", """
 SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS customers
 FROM fact GROUP BY 1""", "fact")
+
+HOT = with_ctes("SELECT * FROM wide", "wide").replace("o_custkey AS customer_id", """CASE WHEN o_orderkey % 2 = 0 THEN 1
+  WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS customer_id""")
+oracle("revenue_by_state_hot_customer", f"""
+SELECT customer_state, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT customer_unique_id) AS BIGINT) AS customers,
+  CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM ({HOT}) GROUP BY customer_state""")

@@ -96,3 +96,25 @@ def test_states_of_many_numbers(spark):
     ids = D.number_ids(df, "id")
     s = D.distinct_states(df, ["g"], "id", ids)
     assert s.count() == 4 and D.count_states(s, ["g"], "n").first()["n"] == 100_000
+
+
+def test_hot_and_null_keys_leave_no_straggler(spark):
+    """Half of the rows hold one key, a tenth none: the rows of a plain left join, and no task with many more than its share."""
+    from martlens.operators.kernels import join_unique
+
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 3).when(F.col("id") % 10 != 1, F.col("id") % 500).alias("k"))
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 500, 3)], "k int, v string")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for c, v in zip(saved, ("false", "-1", "16")):
+        spark.conf.set(c, v)
+    try:
+        got = join_unique(left, right, "k", ["id"])
+        sizes = sorted(r["n"] for r in got.where("k is not null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        plain = left.join(right, "k", "left")
+        one_task = max(r["n"] for r in plain.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert rows(got.select("id", "k", "v")) == rows(plain.select("id", "k", "v"))
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)
+    assert one_task > 10_000 and sizes[-1] < 2 * 18_000 / 16, (one_task, sizes, aqe)
