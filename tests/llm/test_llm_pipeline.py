@@ -55,7 +55,7 @@ def test_sql_of_queries(spark):
     from martlens.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SMALL)
