@@ -31,6 +31,7 @@ RECORD_DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
 FILE_BYTES = 256 << 20
 _CHUNK = 1 << 20
+_MAX_HEAD = 64 << 20
 
 
 def record_id(page_id: int | None, serial: str) -> str:
@@ -90,35 +91,52 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
     return records.mapInArrow(run, "path string")
 
 
-def stream_records(source):
-    """Inflates a gzip stream (any number of members) once and yields (head, body) of each record.
+def inflated(source):
+    """Bytes of a gzip stream (any number of members) in pieces of at most one chunk, however well it packs.
 
-    Memory is bounded by one record and one chunk."""
-    unzip, buf, pos = zlib.decompressobj(31), bytearray(), 0
-    while True:
-        raw = source.read(_CHUNK)
-        last = not raw
+    A stream that ends inside a member is an error, also between two records."""
+    unzip = None
+    while raw := source.read(_CHUNK):
         while raw:
-            buf += unzip.decompress(raw)
-            raw = b""
+            unzip = unzip or zlib.decompressobj(31)
+            piece = unzip.decompress(raw, _CHUNK)
+            raw = unzip.unconsumed_tail
             if unzip.eof:
-                raw, unzip = unzip.unused_data, zlib.decompressobj(31)
-        while True:
+                raw, unzip = unzip.unused_data, None
+            if piece:
+                yield piece
+    while unzip is not None and not unzip.eof:
+        piece = unzip.decompress(unzip.unconsumed_tail, _CHUNK)
+        if not piece and not unzip.eof:
+            raise ValueError("the archive ends inside a gzip member")
+        if piece:
+            yield piece
+
+
+def stream_records(source):
+    """Inflates a gzip stream once and yields (head, record, payload) of each record.
+
+    Memory is bounded by one record and one chunk; 64 MB without the end of a head are an error."""
+    buf, need = bytearray(), 0
+    for piece in inflated(source):
+        buf += piece
+        pos = 0
+        while len(buf) - pos >= need:
             end = buf.find(b"\r\n\r\n", pos)
             if end < 0:
+                if len(buf) - pos > _MAX_HEAD:
+                    raise ValueError("not a WARC record")
                 break
             head = parse_head(bytes(buf[pos:end]))
             stop = end + 4 + int(head["content-length"])
             if len(buf) < stop + 4:
+                need = stop + 4 - pos
                 break
             yield head, bytes(buf[pos:stop + 4]), bytes(buf[end + 4:stop])
-            pos = stop + 4
+            pos, need = stop + 4, 0
         del buf[:pos]
-        pos = 0
-        if last:
-            if buf:
-                raise ValueError("the archive ends inside a record")
-            return
+    if buf:
+        raise ValueError("the archive ends inside a record")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
