@@ -102,11 +102,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, toxic, words): at most ``max_rows`` labelled documents that are not held out."""
+    """(doc_id, toxic, words): at most ``max_rows`` labelled documents that are not held out.
+
+    One row per doc_id: of several texts the smallest counts, so repeated rows cannot pass the bound."""
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):

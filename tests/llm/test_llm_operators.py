@@ -260,6 +260,29 @@ def test_warc_normaliser_members(tmp_path):
         list(stream_records(io.BytesIO(raw[:len(raw) // 2])))
 
 
+def test_warc_streams_cut_or_packed_hard():
+    """A stream cut exactly between records is an error; a thousandfold packed one is inflated chunk by chunk."""
+    import io
+
+    from martlens.llm.warc import _CHUNK, inflated, record_bytes, stream_records
+
+    recs = [record_bytes("response", f"<urn:page:{i}:x>", "http://h/" + "u" * (3 << 20) * (i == 1), b" " * (5 << 20), "0", None) for i in range(4)]
+    packer, parts = zlib.compressobj(9, wbits=31), []
+    for r in recs:
+        parts.append(packer.compress(r) + packer.flush(zlib.Z_FULL_FLUSH))
+    whole = b"".join(parts) + packer.flush()
+    assert len(whole) < 200_000
+    assert max(map(len, inflated(io.BytesIO(whole)))) <= _CHUNK
+    assert [r for _, r, _ in stream_records(io.BytesIO(whole))] == recs
+    members = b"".join(zlib.compress(r, wbits=31) for r in recs)
+    assert [r for _, r, _ in stream_records(io.BytesIO(members))] == recs
+    with pytest.raises(ValueError):
+        list(stream_records(io.BytesIO(b"".join(parts[:2]))))
+    with pytest.raises(ValueError):
+        list(stream_records(io.BytesIO(zlib.compress(b" " * (80 << 20), wbits=31))))
+    assert not list(stream_records(io.BytesIO(b"")))
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
@@ -368,6 +391,19 @@ def test_toxicity_group_sentences(spark, docs):
     assert gap[0.0] > 1.5 and abs(gap[10.0]) < 0.3
 
 
+def test_toxicity_training_rows_bounded(spark):
+    """A labelled id with many rows is one training row, the smallest of its texts."""
+    from martlens.llm.toxicity import training_rows
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    docs = spark.createDataFrame([(ids[0], f"text{k:04d}") for k in range(3000)] + [(i, "other words") for i in ids[1:]] * 2 + [(ids[1], None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 3, "doc_id long, toxic int")
+    got = sorted((r.doc_id, b"text0000" in [bytes(w) for w in r.words]) for r in training_rows(docs, labels).collect())
+    assert got == [(i, i == ids[0]) for i in sorted(ids)]
+    assert training_rows(docs, labels, max_rows=3).count() == 3
+
+
 def test_toxicity_edges(spark, edges, labels):
     from martlens.llm.toxicity import toxicity
 
