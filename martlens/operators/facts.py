@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
@@ -18,6 +18,15 @@ def distinct_on_key(df: DataFrame, key: str) -> DataFrame:
     is shuffled once instead of twice."""
     return df.repartition(key).distinct()
 
+
+def distinct_by_sort(df: DataFrame, key: str) -> DataFrame:
+    """Full-row distinct by the sort that a join on ``key`` needs anyway: rows are hashed on ``key`` and sorted on
+    all columns, and a row after an equal one is dropped.  No hash table holds the rows, so memory is that of one sort,
+    and the join neither shuffles nor sorts them again."""
+    again = F.lag(F.lit(1)).over(Window.partitionBy(key, *[c for c in df.columns if c != key]).orderBy(key))
+    return df.repartition(key).withColumn("_again", again).where(F.col("_again").isNull()).drop("_again")
+
+
 ORDER_COLS = ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
               "order_delivered_customer_date", "order_estimated_delivery_date"]
 ITEM_COLS = ["order_item_id", "product_id", "price", "freight_value"]
@@ -35,9 +44,11 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True, split_hot: bo
 
     With ``dedup`` the fully-equal rows are dropped.  Left joins that keep every
     column are injective in their input rows, so the distinct of the joined
-    rows equals the join of the distinct inputs: the order-grain core is made
-    distinct right after its order_id joins (its rows are already clustered on
-    order_id, so the distinct adds no shuffle), the dimensions on their own.
+    rows equals the join of the distinct inputs: each input is made distinct on its own, clustered
+    on its join key, and the items, the most numerous, by the sort that their join needs.
+
+    Customers are joined to the orders and products to the items before these meet, so the joined
+    rows, the widest and most numerous, are never shuffled and lie together by order.
 
     With ``split_hot`` the order lines are written and customers and products joined to them with
     hot keys in parts and null keys left out of the join (kernels.join_unique); otherwise skew is left to AQE.
@@ -48,9 +59,7 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True, split_hot: bo
     customers = raw["customers"].select("customer_id", *CUSTOMER_COLS)
     products = raw["products"].select("product_id", *PRODUCT_COLS)
     category = raw["category"].select("product_category_name", *CATEGORY_COLS)
-    core = orders.join(items, "order_id", "left").join(payments, "order_id", "left")
     if dedup:
-        core = core.distinct()
         customers = distinct_on_key(customers, "customer_id")
         products = distinct_on_key(products, "product_id")
         category = category.distinct()
@@ -59,11 +68,17 @@ def build_wide_fact(raw: dict[str, DataFrame], dedup: bool = True, split_hot: bo
     if split_hot:
         if not dedup:
             raise ValueError("hot keys are split against dimensions of one row per key: dedup=True")
+        orders, items, payments = distinct_on_key(orders, "order_id"), distinct_by_sort(items, "order_id"), distinct_on_key(payments, "order_id")
+        core = orders.join(items, "order_id", "left").join(payments, "order_id", "left")
         spread = ["order_id", "order_item_id", "payment_sequential"]
         wide = join_unique(cut_lineage(core, "core"), customers, "customer_id", spread)
         wide = join_unique(cut_lineage(wide, "core"), named, "product_id", spread)
     else:
-        wide = core.join(customers, "customer_id", "left").join(named, "product_id", "left")
+        orders = orders.join(customers, "customer_id", "left")
+        items = items.join(named, "product_id", "left")
+        if dedup:
+            orders, items, payments = distinct_on_key(orders, "order_id"), distinct_by_sort(items, "order_id"), distinct_on_key(payments, "order_id")
+        wide = orders.join(items, "order_id", "left").join(payments, "order_id", "left")
     return wide.select(*WIDE_COLS)
 
 
