@@ -94,14 +94,12 @@ def rfm_segments(fact: DataFrame, snapshot: dt.datetime, key: str = "customer_un
 
 def quintile_edge_check(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """T7 check: number of distinct quintile edges per column (qcut needs 4)."""
-    out = None
-    for c in cols:
-        e = exact_quantiles(df, c, QUINTILE_EDGES, names=[f"e{i}" for i in range(4)])
-        row = e.select(F.lit(c).alias("column_name"),
-                       F.size(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(4)]))).cast("bigint")
-                       .alias("distinct_edges"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    # written, as the passes of the selection read it; all columns in one selection
+    edges = quintile_edges(cut_lineage(df.select(*cols), "edge-values"), cols)
+    return edges.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        F.size(F.array_distinct(F.array(*[F.col(f"_e{i}_{c}") for i in range(4)]))).cast("bigint").alias("distinct_edges"))
+        for c in cols])).alias("r")).select("r.*")
 
 
 def describe_exact(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
