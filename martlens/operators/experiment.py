@@ -311,7 +311,8 @@ def order_value_histogram(rows: DataFrame, bins: int = 40, q: float = 0.99) -> D
     """Per arm, order values winsorised at the arm's q-quantile, density histogram."""
     from .clean import clip_at_quantile
 
-    ov = order_values(rows).withColumn("value", F.col("cents") / F.lit(100.0))
+    # written: the edge, the ranges and the counts each read it
+    ov = cut_lineage(order_values(rows).select("arm", (F.col("cents") / F.lit(100.0)).alias("value")), "order-values")
     clipped = clip_at_quantile(ov, "value", q, by=["arm"])
     return histogram(clipped, "value", bins, by=["arm"], density=True)
 
