@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +83,17 @@ def word_lookup_row(words_t: DataFrame, n: int) -> DataFrame:
 
 def _look_back(valence: Column, before) -> Column:
     """The running valence after the three tokens before it; ``before(distance)`` is (term, lv, b, ng) or null."""
-    for dist, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        p = before(dist)
-        boost = F.coalesce(p["b"], F.lit(0.0)) * F.lit(damp)
-        turned = (valence + F.when(valence < 0, -boost).otherwise(boost)) * F.when(
+    # the running valence and each token before are bound once; spelled out they would be evaluated 27 times and more
+    steps = F.array(*[F.struct(before(dist).alias("p"), F.lit(damp).alias("damp")) for dist, damp in ((1, 1.0), (2, 0.95), (3, 0.9))])
+
+    def step(v, s):
+        p = s["p"]
+        boost = F.coalesce(p["b"], F.lit(0.0)) * s["damp"]
+        turned = (v + F.when(v < 0, -boost).otherwise(boost)) * F.when(
             F.coalesce(p["ng"], F.lit(False)), F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
-        valence = F.when(p["lv"].isNull(), turned).otherwise(valence)
-    return valence
+        return F.when(p["lv"].isNull(), turned).otherwise(v)
+
+    return F.aggregate(steps, valence, step)
 
 
 def _weighed(v: Column, pos: Column, but_at: Column) -> Column:
@@ -297,7 +302,12 @@ def lda_topics(scored: DataFrame, vocab: DataFrame, k: int = 5, passes: int = 15
     lda = LDA(k=k, optimizer="online", seed=seed, maxIter=math.ceil(passes / batch_share), learningDecay=0.7, learningOffset=10.0,
               docConcentration=[1.0 / k], topicConcentration=1.0 / k, optimizeDocConcentration=False,
               subsamplingRate=batch_share, featuresCol="features")
-    return lda.fit(docs), docs, terms
+    # every iteration passes over the counts: kept, not counted anew (the same partitions, so the same batches)
+    counts = docs.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return lda.fit(counts), docs, terms
+    finally:
+        counts.unpersist()
 
 
 def topic_words(model, vocab: DataFrame, n: int = 10) -> DataFrame:

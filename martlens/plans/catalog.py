@@ -560,7 +560,7 @@ def topic_model(spark, sf_dir):
     with ctx_lock():
         if "lda" not in ctx._stages:
             scored = scored_reviews(spark, sf_dir)
-            vocab = q_bag_of_words_vocabulary(spark, sf_dir)
+            vocab = ctx.stage("vocabulary", lambda: q_bag_of_words_vocabulary(spark, sf_dir))
             ctx._stages["lda"] = (T.lda_topics(scored, vocab), vocab)
         return ctx._stages["lda"]
 
