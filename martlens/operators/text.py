@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.columns import month_label
 from ..functions.text import (
@@ -122,12 +124,13 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
 
     A word table of at most ``max_broadcast`` words rides along as one broadcast row, without a
     shuffle; a larger one is joined to the distinct tokens (see token_facts).  Scores are the same.
+    Of a ``df`` made by text_blocks() the column _block is dropped.
     """
     words_t = cut_lineage(word_table(lexicon, modifiers), "word-table")
     n = words_t.count()
     toks = F.filter(words(F.col(text)), lambda w: F.length(w) > 1)
     if n > max_broadcast:
-        return _score_by_join(df, words_t, toks, out, contrast)
+        return _score_by_join(df, words_t, text, toks, out, contrast)
     # The one-row, size-checked word table rides along as a broadcast (fetched
     # once per executor); as a scalar literal it would be serialised into every
     # task.  One row on the build side: no pairs are formed.
@@ -151,51 +154,143 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "clean_comm
         return _weighed(v, i + 1, but_at)
 
     total = F.aggregate(F.transform(f, scored), F.lit(0.0), lambda acc, x: acc + x)
-    return d.withColumn(out, _compound(total)).drop("_wb", "_nb", "_tok", "_f", "_but")
+    return d.withColumn(out, _compound(total)).drop("_wb", "_nb", "_tok", "_f", "_but", "_block")
 
 
-#: A token that holds more than one in so many of all occurrences is split into parts, each with its own copy of the word's row.
+#: Bytes of neighbouring texts whose distinct words are looked up together.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text whose tokens lie in a task's memory at a time.
+SLICE_BYTES = 4 << 20
+#: A token that holds more than one in so many of all rows is split into parts, each with its own copy of the word's row.
 TOKEN_PARTS = 1000
 
 
-def token_facts(occurrences: DataFrame, words_t: DataFrame) -> DataFrame:
-    """``occurrences`` (_row, _pos, _w) with the (lv, b, ng) of their word, those without one left out.
+def text_blocks(df: DataFrame, text: str = "clean_comment") -> DataFrame:
+    """``df`` written once, with the column _block: the number of a run of neighbouring rows with about BLOCK_BYTES of text."""
+    schema = StructType([*df.schema.fields, StructField("_block", LongType())])
+    size = BLOCK_BYTES
+
+    def numbered(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        first, before = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + (ends - n) // size)], names=schema.fieldNames())
+            before = int(ends[-1]) if len(ends) else before
+
+    return cut_lineage(df.mapInArrow(numbered, schema), "sentiment-rows", "zstd")
+
+
+def token_facts(tokens: DataFrame, words_t: DataFrame) -> DataFrame:
+    """``tokens`` (_block, _w) with the (lv, b, ng) of their word, those without one left out.
 
     Distinct tokens are joined once to the word table by shuffle; both sides are unique, so no key is
-    hot.  Their rows go back to the occurrences, a frequent token in parts: a part holds at most one
-    in TOKEN_PARTS of all occurrences, so at most TOKEN_PARTS tokens have parts and that table can be broadcast."""
-    counts = occurrences.groupBy("_w").agg(F.count(F.lit(1)).alias("_c"))
+    hot.  Their rows go back to the blocks, a frequent token in parts: a part holds at most one
+    in TOKEN_PARTS of all rows, so at most TOKEN_PARTS tokens have parts and that table can be broadcast."""
+    counts = tokens.groupBy("_w").agg(F.count(F.lit(1)).alias("_c"))
     counts = cut_lineage(counts, "token-counts")
     total = counts.agg(F.sum("_c")).scalar()
     known = cut_lineage(counts.join(words_t, counts["_w"] == words_t["term"]).select(
         "_w", "lv", "b", "ng", F.ceil(F.col("_c") * TOKEN_PARTS / total).cast("int").alias("_parts")), "token-words")
     split = known.where(F.col("_parts") > 1).select("_w", "_parts")
-    part = F.pmod(F.xxhash64("_row", "_pos"), F.coalesce("_parts", F.lit(1))).cast("int")
-    dealt = occurrences.join(F.broadcast(split), "_w", "left").withColumn("_part", part).drop("_parts")
+    part = F.pmod(F.xxhash64("_block"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = tokens.join(F.broadcast(split), "_w", "left").withColumn("_part", part).drop("_parts")
     copies = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return dealt.join(copies, ["_w", "_part"]).drop("_w", "_part")
-
-
-def _score_by_join(df: DataFrame, words_t: DataFrame, toks: Column, out: str, contrast: str) -> DataFrame:
-    """lexicon_sentiment() with the word table joined by shuffle: tokens by (row, place), one pass per text at the end."""
-    # written, so the row numbers stay what they are
-    rows = cut_lineage(df.withColumn("_tok", toks).withColumn("_row", F.monotonically_increasing_id()), "sentiment-rows")
-    known = token_facts(rows.select("_row", F.posexplode("_tok").alias("_pos", "_w")), words_t)
-    facts = known.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "lv", "b", "ng"))).alias("_f"))
-    d = rows.join(facts, "_row", "left").withColumn("_but", F.array_position(F.col("_tok"), contrast)).drop("_tok")
-    f = F.col("_f")
-
-    def scored(x, i):
-        def before(dist):
-            # only known tokens are listed: the one so far back is among the three before, or unknown
-            near = [F.when(F.get(f, i - j)["_pos"] == x["_pos"] - dist, F.get(f, i - j)) for j in range(1, dist + 1)]
-            return F.coalesce(*near)
-
-        v = F.when(x["lv"].isNotNull() & (F.coalesce(x["b"], F.lit(0.0)) == 0), _look_back(x["lv"], before)).otherwise(F.lit(0.0))
-        return _weighed(v, x["_pos"] + 1, F.col("_but"))
-
-    total = F.aggregate(F.transform(f, scored), F.lit(0.0), lambda acc, x: acc + x)
-    return d.withColumn(out, _compound(total)).drop("_row", "_f", "_but")
+    return dealt.join(copies, ["_w", "_part"]).drop("_part")
+
+
+def _score_by_join(df: DataFrame, words_t: DataFrame, text: str, toks: Column, out: str, contrast: str) -> DataFrame:
+    """lexicon_sentiment() with the word table joined by shuffle.
+
+    A block's distinct words are joined, not its tokens: a row per token, with its text and place, would be shuffled on the
+    way to its word and back, several times the texts.  Here the texts are shuffled once, to the known words of their block."""
+    rows = df if "_block" in df.columns else text_blocks(df, text)  # written, so the block numbers stay what they are
+    tokens = cut_lineage(rows.select("_block", F.explode(F.array_distinct(toks)).alias("_w")).distinct(), "block-words", "zstd")
+    facts = token_facts(tokens, words_t).select("_block", "_w", "lv", "b", "ng")
+    # each block lies together, its words before its texts
+    met = rows.unionByName(facts.withColumnsRenamed({"lv": "_lv", "b": "_b", "ng": "_ng"}), allowMissingColumns=True)
+    met = met.repartition("_block").sortWithinPartitions("_block", F.col("_w").isNull())
+    keep = [c for c in rows.columns if c != "_block"]
+    schema = StructType([*(rows.schema[c] for c in keep), StructField("_total", DoubleType())])
+    scored = met.mapInArrow(_block_totals(keep, text, contrast, schema.fieldNames()), schema)
+    return scored.withColumn(out, _compound(F.col("_total"))).drop("_total")
+
+
+def _block_totals(keep: Sequence[str], text: str, contrast: str, names: Sequence[str]):
+    """The function of Arrow batches that gives every text the sum of its valences: the rules of lexicon_sentiment(), on
+    all tokens of a slice of texts at once, each sum taken in the order of the tokens."""
+    slice_bytes, negated = SLICE_BYTES, NEGATION_SCALAR
+
+    def totals(texts, words, inside, lv, boost, negates):
+        """Sums of an array of texts; whether a word is in the lexicon, its valence, its booster value and whether it negates
+        have one place more than ``words``, which is that of an unknown word."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(texts, " ")
+        of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        tok = lists.flatten()
+        long = pc.greater(pc.utf8_length(tok), 1)
+        tok, of = tok.filter(long), of[long.to_numpy(zero_copy_only=False)]
+        word = pc.fill_null(pc.index_in(tok, value_set=words), len(words)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(inside[word] & (boost[word] == 0))
+        v = lv[word[at]]
+        for dist, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+            back = np.maximum(at - dist, 0)
+            same = (at >= dist) & (of[back] == of[at])
+            p = np.where(same, word[back], len(words))
+            up = boost[p] * damp
+            turned = (v + np.where(v < 0, -up, up)) * np.where(negates[p], negated, 1.0)
+            v = np.where(inside[p], v, turned)
+        first = np.full(len(texts), -1)
+        turns = np.flatnonzero(pc.equal(tok, pa.scalar(contrast, tok.type)).to_numpy(zero_copy_only=False))[::-1]
+        first[of[turns]] = turns  # the first one is put last
+        turn = first[of[at]]
+        v = np.where((turn >= 0) & (at < turn), v * 0.5, np.where((turn >= 0) & (at > turn), v * 1.5, v))
+        return np.bincount(of[at], weights=v, minlength=len(texts))  # adds in the order of the tokens
+
+    def table(parts):
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(parts).combine_chunks() if parts else None
+
+        def values(name, unknown, kind):
+            known = [] if t is None else [unknown if x is None else x for x in t.column(name).to_pylist()]
+            return np.array([*known, unknown], dtype=kind)
+
+        words = pa.array([], pa.string()) if t is None else t.column("_w").combine_chunks()
+        inside = [] if t is None else t.column("_lv").is_valid().to_pylist()
+        return words, np.array([*inside, False]), values("_lv", 0.0, float), values("_b", 0.0, float), values("_ng", False, bool)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        block, parts, facts = None, [], None
+        for batch in batches:
+            at = batch.column("_block").to_numpy(zero_copy_only=False)
+            entry = batch.column("_w").is_valid().to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            share = (np.cumsum(size) - size) // slice_bytes
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (entry[1:] != entry[:-1]) | (share[1:] != share[:-1])) + 1), len(at)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if at[lo] != block:
+                    block, parts, facts = at[lo], [], None
+                piece = batch.slice(lo, hi - lo)
+                if entry[lo]:
+                    parts.append(piece.select(["_w", "_lv", "_b", "_ng"]))
+                    continue
+                facts = facts or table(parts)
+                sums = totals(piece.column(text), *facts)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(sums, pa.float64())], names=names)
+
+    return run
 
 
 def filter_stopwords(df: DataFrame, text: str = "clean_comment", out: str = "filtered_text",

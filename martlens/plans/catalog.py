@@ -730,7 +730,9 @@ def q_review_sentiment_rules(spark, sf_dir):
 def q_review_sentiment_large_lexicon(spark, sf_dir):
     """N3 with a word table made of the comments' own tokens, joined by shuffle as a table of any size is."""
     ctx = context(spark, sf_dir)
-    c = ctx.stage("clean_comments", lambda: T.clean_reviews(ctx.fx.reviews()))
+    # one copy of the texts for the word table and the scores, in the blocks in which they are scored
+    c = ctx.stage_as("clean_comments", lambda: T.text_blocks(
+        T.clean_reviews(ctx.fx.reviews()).select("order_id", "review_score", "clean_comment")))
     s = T.lexicon_sentiment(c, T.corpus_lexicon(c), modifiers=ctx.fx.modifiers(), contrast="as", max_broadcast=0)
     return s.select("order_id", "review_score", "sentiment_score")
 

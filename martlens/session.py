@@ -92,7 +92,7 @@ def remove_intermediates(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Used where a plan must not be recomputed differently (range-partition
@@ -105,5 +105,5 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/martlens-cut/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)
